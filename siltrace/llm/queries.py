@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode
 from siltrace.llm.license_scan import license_labels, license_scan
 from siltrace.llm.url_filter import url_filter
 
@@ -24,12 +25,24 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(license_scan(_read(spark, sf_dir, "documents")))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary()
+    return bpe_digests(bpe_decode(bpe_encode(_read(spark, sf_dir, "documents"), path), path))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
 QUERIES = {
     "op6_license_scan": op6_license_scan,
+    "op8_bpe": op8_bpe,
     "op10_url_filter": op10_url_filter,
 }
 
