@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode
+from siltrace.llm.language_id import held_out, predict_language, train_language_model
 from siltrace.llm.license_scan import license_labels, license_scan
+from siltrace.llm.quality_rules import quality_rules
+from siltrace.llm.topk_search import sparse_rows, topk_search
 from siltrace.llm.url_filter import url_filter
 
 URL_RULES = (
@@ -21,10 +25,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sparse_rows(_read(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"))
+    return topk_search(rows, rows.filter(F.col("id") % 100 == 0), k=10)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents")).drop("removed_lines")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(license_scan(_read(spark, sf_dir, "documents")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    model = train_language_model(docs.filter(~out))
+    return predict_language(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -41,12 +61,58 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
+    "op4_quality_rules": op4_quality_rules,
     "op6_license_scan": op6_license_scan,
+    "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
+    "op1_topk_search": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+""",
+    "op4_quality_rules": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+tri AS (
+  SELECT doc_id, i, w[i : i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+often AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
+marked AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM often, (VALUES (0), (1), (2)) AS o(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM w),
+worded AS (
+  SELECT doc_id, host, text, line,
+    list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT text) AS docs FROM w GROUP BY host),
+freq AS (
+  SELECT host, lw FROM (SELECT host, lw, count(DISTINCT text) AS n FROM worded GROUP BY host, lw) JOIN hosts USING (host)
+  WHERE n > 20 AND n > docs * 0.2),
+lost AS (SELECT doc_id, sum(len(lw)) AS n FROM worded JOIN freq USING (host, lw) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(marked.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_removed_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN marked USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  CAST(n_removed_words AS BIGINT) AS n_removed_words,
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= 0.5 * n_words AS kept
+FROM m
+""",
     "op10_url_filter": r"""
 WITH parts AS (
   SELECT page_id,
