@@ -9,6 +9,7 @@ from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode
 from siltrace.llm.language_id import held_out, predict_language, train_language_model
 from siltrace.llm.license_scan import license_labels, license_scan
 from siltrace.llm.quality_rules import quality_rules
+from siltrace.llm.substring_dedup import substring_dedup, substring_digests
 from siltrace.llm.topk_search import sparse_rows, topk_search
 from siltrace.llm.url_filter import url_filter
 
@@ -34,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents")).drop("removed_lines")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(substring_dedup(_read(spark, sf_dir, "documents")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(license_scan(_read(spark, sf_dir, "documents")))
 
@@ -63,6 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
