@@ -10,6 +10,7 @@ from siltrace.llm.language_id import held_out, predict_language, train_language_
 from siltrace.llm.license_scan import license_labels, license_scan
 from siltrace.llm.quality_rules import quality_rules
 from siltrace.llm.substring_dedup import substring_dedup, substring_digests
+from siltrace.llm.suffix_dedup import suffix_dedup, suffix_digests
 from siltrace.llm.topk_search import sparse_rows, topk_search
 from siltrace.llm.url_filter import url_filter
 
@@ -31,6 +32,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(rows, rows.filter(F.col("id") % 100 == 0), k=10)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digests(suffix_dedup(_read(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents")).drop("removed_lines")
 
@@ -67,6 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_license_scan": op6_license_scan,
