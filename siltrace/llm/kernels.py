@@ -14,6 +14,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_CODES = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
+_LOWERED = np.arange(256)
+_LOWERED[ord("A") : ord("Z") + 1] += 32
+_LOWER_CODES = _BYTE_CODES[_LOWERED]  # A-Z count as a-z
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -80,7 +83,7 @@ class Words:
     start, end: byte positions; text: index of each word's text; count, first: by text.  hash: 64 bits of each word.
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, codes: np.ndarray = _BYTE_CODES):
         n = len(offsets) - 1
         space = _SPACE[buf]
         border = np.zeros(len(buf) + 1, bool)
@@ -95,7 +98,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(n), self.count)
-        self.hash = range_hash(range_sums(_BYTE_CODES[buf]), self.start, self.end)
+        self.hash = range_hash(range_sums(codes[buf]), self.start, self.end)
 
 
 def rolling(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

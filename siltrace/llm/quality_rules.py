@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.kernels import _BYTE_CODES, Words, chunks, range_hash, range_sums, rolling, text_bytes
+from siltrace.llm.kernels import _BYTE_CODES, _LOWER_CODES, Words, chunks, range_hash, range_sums, rolling, text_bytes
 from siltrace.llm.storage import written
 
 MIN_DOCS = 20  # a line in at most so many documents of a host is never boilerplate
@@ -24,9 +24,6 @@ MAX_LOST = 0.5  # a document may lose this share of its words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_LOWER = np.arange(256)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_LOWER_CODES = _BYTE_CODES[_LOWER]
 
 _SCHEMA = (
     "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"

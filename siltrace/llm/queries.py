@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode
 from siltrace.llm.language_id import held_out, predict_language, train_language_model
 from siltrace.llm.license_scan import license_labels, license_scan
+from siltrace.llm.minhash_dedup import near_duplicates
 from siltrace.llm.quality_rules import quality_rules
 from siltrace.llm.substring_dedup import substring_dedup, substring_digests
 from siltrace.llm.suffix_dedup import suffix_dedup, suffix_digests
@@ -66,6 +67,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe_decode(bpe_encode(_read(spark, sf_dir, "documents"), path), path))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, threshold=80)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltrace.llm.exchange import Rounds, ids_of, mail, opened, to_batches, to_buckets
-from siltrace.llm.kernels import _BYTE_CODES, chunks, covered, range_hash, range_sums, runs, text_bytes
+from siltrace.llm.kernels import _BYTE_CODES, chunks, covered, range_hash, range_sums, text_bytes
 
 WIDTH = 50  # bytes
 ANCHOR = 16
@@ -117,7 +117,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if not 48 <= width <= 64 or not 8 <= anchor < width:
         raise ValueError("width must lie between 48 and 64 bytes and the anchor below it")
     rounds = Rounds(docs, id_col, text_col)
-    n_buckets, n_batches = rounds.buckets, rounds.batches
+    n_buckets = rounds.buckets
 
     def send(batch: int, texts: pa.Table) -> pa.Table:
         ids = ids_of(texts)
@@ -237,7 +237,6 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         columns = [texts["doc_id"], *[pa.array(x, t) for x, t in zip(out, _OUT_ARROW.types[1:], strict=True)]]
         return pa.table(columns, schema=_OUT_ARROW)
 
-    assert n_batches
     first_round = rounds.answer(rounds.ask(send), refine)
     second_round = rounds.answer(rounds.ask(fetch, first_round), sort)
     return rounds.each(remove, _OUT, second_round)
