@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = 8 << 20
 MAIL = "bucket long, batch long, kind int, blob binary"
@@ -79,18 +80,26 @@ def opened(table: pa.Table, kind: int, n: int) -> list[np.ndarray]:
 class Rounds:
     """Texts dealt into batches, and how many buckets their digests take."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = BATCH_BYTES, buckets_per_batch: float = 0.5):
-        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, buckets_per_batch: float = 0.5):
+        own = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own)
         self.bytes = source.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         self.batches = max(1, -(-self.bytes // batch_bytes))
         self.buckets = max(12, int(self.batches * buckets_per_batch))
+        self.carried = source.select("carried").schema.fields if carry else []
         self.texts = source.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(self.batches)))
 
     def ask(self, send: Callable[[int, pa.Table], pa.Table], answers: DataFrame | None = None) -> DataFrame:
         """Mail of ``send(batch, texts[, mail])`` for every batch."""
         return self.each(send, MAIL, answers)
 
-    def each(self, run: Callable, schema: str, answers: DataFrame | None = None) -> DataFrame:
+    def finish(self, run: Callable, schema: str, answers: DataFrame) -> DataFrame:
+        """Rows of ``run(batch, texts, mail)``, one for each text in order, with the carried columns."""
+        full = T.StructType.fromDDL(schema)
+        out = self.each(lambda b, t, m: with_carried(run(b, t, m), t), T.StructType([*full.fields, *self.carried]), answers)
+        return out.select(*full.names, "carried.*") if self.carried else out
+
+    def each(self, run: Callable, schema: str | T.StructType, answers: DataFrame | None = None) -> DataFrame:
         grouped = self.texts.groupBy("batch")
         if answers is None:
             return grouped.applyInArrow(lambda key, t: run(key[0].as_py(), in_order(t)), schema)
@@ -106,6 +115,11 @@ def in_order(texts: pa.Table) -> pa.Table:
     return texts.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
+def with_carried(out: pa.Table, texts: pa.Table) -> pa.Table:
+    """``out`` with the carried columns of its batch, row by row."""
+    return out.append_column("carried", texts["carried"]) if "carried" in texts.column_names else out
+
+
 def ids_of(texts: pa.Table) -> np.ndarray:
     import pyarrow.compute as pc
 

@@ -26,7 +26,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 _SCHEMA = (
-    "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
+    "doc_id long, text_key long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
     " n_repeat_words long, lines array<long>, line_words array<int>"
 )
 
@@ -103,7 +103,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = offsets[lo : hi + 1]
             part = batch.slice(lo, hi - lo)
             columns = _measure(buf[own[0] : own[-1]], own - own[0])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *columns], names)
 
 
 def text_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -111,6 +111,7 @@ def text_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(text_col).alias("text_key"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
     )
     return source.mapInArrow(_measured, _SCHEMA)
@@ -135,7 +136,7 @@ def quality_rules(
     max_share: float = MAX_SHARE,
     max_lost: float = MAX_LOST,
 ) -> DataFrame:
-    """One row per input row: the base counts, base_failed, n_removed_words, removed_lines (hashes), kept.
+    """One row per input row: text_key (a hash of the text), the base counts, base_failed, n_removed_words, removed_lines (hashes), kept.
 
     Null texts have no words and fail the base rules; texts are measured whole whatever their length.  A null host is a
     host of its own.  Repeated rows are judged one by one but count as one document of their host.  An empty table gives
@@ -155,6 +156,7 @@ def quality_rules(
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return m.join(removed, "rid", "left").select(
         "doc_id",
+        "text_key",
         *counts,
         failed.alias("base_failed"),
         lost.alias("n_removed_words"),
@@ -174,3 +176,26 @@ def without_lines(text: str, hashes: set[int]) -> str:
     line = range_hash(range_sums(lowered), w0, w1).view(np.int64)
     stays = [a == b or h not in hashes for a, b, h in zip(w0, w1, line.tolist(), strict=True)]
     return "\n".join(x for x, keep in zip(text.split("\n"), stays, strict=True) if keep)
+
+
+def quality_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns and without their boilerplate lines."""
+    verdicts = quality_rules(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
+    verdicts = verdicts.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed_lines").alias("_lines"))
+    verdicts = written(verdicts.dropDuplicates(["_id", "_key"]), "verdicts")
+    joined = docs.join(verdicts, (F.xxhash64(docs[text_col]) == F.col("_key")) & docs[id_col].cast("long").eqNullSafe(F.col("_id")))
+    at = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, lines = batch.columns[:-1], batch.column(batch.num_columns - 1)
+            some = {i: set(x) for i, x in enumerate(lines.to_pylist()) if x}
+            if some:
+                texts = columns[at].to_pylist()
+                for i, hashes in some.items():
+                    texts[i] = without_lines(texts[i], hashes)
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = docs.columns
+    return joined.select(*[docs[c] for c in names], "_lines").mapInArrow(cut, docs.schema)

@@ -9,6 +9,7 @@ from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode
 from siltrace.llm.language_id import held_out, predict_language, train_language_model
 from siltrace.llm.license_scan import license_labels, license_scan
 from siltrace.llm.minhash_dedup import near_duplicates
+from siltrace.llm.mixing import DOMAINS, mix_to_targets
 from siltrace.llm.quality_rules import quality_rules
 from siltrace.llm.substring_dedup import substring_dedup, substring_digests
 from siltrace.llm.suffix_dedup import suffix_dedup, suffix_digests
@@ -37,8 +38,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digests(suffix_dedup(_read(spark, sf_dir, "documents")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mix_to_targets(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    own = [F.get("posteriors", i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    return rates.select("doc_id", "n_tokens", *own, "rate")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_read(spark, sf_dir, "documents")).drop("removed_lines")
+    return quality_rules(_read(spark, sf_dir, "documents")).drop("removed_lines", "text_key")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +82,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_license_scan": op6_license_scan,
@@ -85,6 +99,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filter": op10_url_filter,
+    "pipeline": pipeline,
 }
 
 ORACLES = {

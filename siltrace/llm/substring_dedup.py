@@ -43,19 +43,27 @@ def _unique(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def substring_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = 16
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    filter_bits: int = 16,
+    carry: tuple[str, ...] = (),
+    keep_layout: bool = False,
 ) -> DataFrame:
     """Remove every word in a ``window``-word sequence that also starts in a text of smaller id; judged on the input.
 
     One row per input row: (doc_id, n_words, n_removed, spans of removed words, kept words joined by one space).
 
+    carry: further columns to return.  keep_layout: texts that lose nothing are returned as they were.
     filter_bits: probes travel as hashes of log2(words) + filter_bits bits, so that about one in 2**filter_bits is kept
     without need; windows are then compared by 64-bit hashes.  Null and empty texts have no words.  Rows of equal id never
     remove each other's words; null ids count as larger than all others.  Whole texts are used whatever their length; an
     empty table gives an empty result; other columns are not read.
     """
     block = window // 2
-    rounds = Rounds(docs, id_col, text_col)
+    rounds = Rounds(docs, id_col, text_col, carry)
     n_buckets = rounds.buckets
     bits = min(62, filter_bits + max(10, math.ceil(math.log2(rounds.bytes / 4 + 2))))
     short = np.uint64(64 - bits)
@@ -162,6 +170,9 @@ def substring_dedup(
                 out[1].append(int(removed[i]))
                 a, b = per[i], per[i + 1]
                 out[2].append([{"first": int(x - w.first[i]), "last": int(y - 1 - w.first[i])} for x, y in zip(starts[a:b], stops[a:b], strict=True)])
+                if keep_layout and not removed[i]:
+                    out[3].append(texts["text"][lo + i].as_py())
+                    continue
                 out[3].append(flat[edge[i] : max(edge[i], edge[i + 1] - 1)].tobytes().decode())
         columns = [texts["doc_id"], *[pa.array(x, t) for x, t in zip(out, _OUT_ARROW.types[1:], strict=True)]]
         return pa.table(columns, schema=_OUT_ARROW)
@@ -169,7 +180,7 @@ def substring_dedup(
     probes = rounds.ask(probe)
     found = rounds.answer(probes, hits)
     extended = rounds.answer(rounds.ask(windows, found), repeats)
-    return rounds.each(remove, _OUT, extended)
+    return rounds.finish(remove, _OUT, extended)
 
 
 _OUT_ARROW = pa.schema(

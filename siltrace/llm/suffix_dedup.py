@@ -106,17 +106,20 @@ def deep_buckets(text: np.ndarray, room: np.ndarray, suffixes: np.ndarray, depth
     return pointer[suffixes]
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+def suffix_dedup(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Remove every byte in a ``width``-byte string that also starts in a text of smaller id; judged on the input.
 
-    One row per input row: (doc_id, n_bytes, n_removed, maximal removed spans, remaining bytes).  Texts are UTF-8 bytes and
+    One row per input row: (doc_id, n_bytes, n_removed, maximal removed spans, remaining bytes), with the
+    columns named in ``carry``.  Texts are UTF-8 bytes and
     may be cut inside a character.  Null and empty texts have no bytes.  Rows of equal id never remove each other's bytes;
     null ids count as larger than all others.  Whole texts are used whatever their length; an empty table gives an empty
     result; other columns are not read.
     """
     if not 48 <= width <= 64 or not 8 <= anchor < width:
         raise ValueError("width must lie between 48 and 64 bytes and the anchor below it")
-    rounds = Rounds(docs, id_col, text_col)
+    rounds = Rounds(docs, id_col, text_col, carry)
     n_buckets = rounds.buckets
 
     def send(batch: int, texts: pa.Table) -> pa.Table:
@@ -239,7 +242,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     first_round = rounds.answer(rounds.ask(send), refine)
     second_round = rounds.answer(rounds.ask(fetch, first_round), sort)
-    return rounds.each(remove, _OUT, second_round)
+    return rounds.finish(remove, _OUT, second_round)
 
 
 def suffix_digests(deduped: DataFrame) -> DataFrame:
