@@ -25,6 +25,7 @@ from siltrace.llm.kernels import _BYTE_CODES, chunks, covered, range_hash, range
 
 WIDTH = 50  # bytes
 ANCHOR = 16
+SORTED_BYTES = 1 << 20  # of stretches whose suffixes are sorted at once
 
 _OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 _OUT_ARROW = pa.schema(
@@ -106,6 +107,26 @@ def deep_buckets(text: np.ndarray, room: np.ndarray, suffixes: np.ndarray, depth
     return pointer[suffixes]
 
 
+def _repeated(text: np.ndarray, size: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, start, end) of the spans whose strings also stand in a stretch of a smaller document."""
+    ends = np.cumsum(size)
+    room = np.repeat(ends, size) - np.arange(len(text))
+    suffixes = np.flatnonzero(room >= width)
+    owner = np.repeat(np.arange(len(size)), size - width + 1)
+    pointer = deep_buckets(text, room, suffixes, width)
+    order = np.lexsort((doc[owner], pointer))
+    p, d = pointer[order], doc[owner][order]
+    new = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+    later = np.empty(len(order), bool)
+    later[order] = d > np.repeat(d[new], np.diff(np.append(new, len(p))))
+    own, at = owner[later], suffixes[later] - (ends - size)[owner[later]]
+    if not len(own):
+        return own, at, at
+    cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (np.diff(at) != 1))))
+    last = np.append(cut[1:], len(own)) - 1
+    return own[cut], at[cut], at[last] + width
+
+
 def suffix_dedup(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -119,7 +140,7 @@ def suffix_dedup(
     """
     if not 48 <= width <= 64 or not 8 <= anchor < width:
         raise ValueError("width must lie between 48 and 64 bytes and the anchor below it")
-    rounds = Rounds(docs, id_col, text_col, carry)
+    rounds = Rounds(docs, id_col, text_col, carry, buckets_per_batch=1.0)
     n_buckets = rounds.buckets
 
     def send(batch: int, texts: pa.Table) -> pa.Table:
@@ -182,7 +203,7 @@ def suffix_dedup(
                 start = offsets[row[own]] + first[own]
                 ends = np.cumsum(size)
                 data = buf[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
-                head = to_buckets(np.full(len(own), s), batch, 3, row[own], ids[row[own]], first[own], count[own])
+                head = to_buckets(np.full(len(own), s), batch, 3, row[own], ids[row[own]], first[own], count[own], a[own])
                 out += head + [(s, batch, 4, data.tobytes())]
         return mail(out)
 
@@ -190,32 +211,26 @@ def suffix_dedup(
         kinds, batches, blobs = m["kind"].to_pylist(), m["batch"].to_pylist(), m["blob"].to_pylist()
         passed = [(0, x, k, y) for k, x, y in zip(kinds, batches, blobs, strict=True) if k == 1]
         data = {x: y for k, x, y in zip(kinds, batches, blobs, strict=True) if k == 4}
-        row, doc, first, count, batch = opened(m, 3, 4)
+        row, doc, first, count, anchor_id, batch = opened(m, 3, 5)
         if not len(row):
             return mail(passed)
         # Kind 3 is one blob for each batch, joined in the order of the mail.
         text = np.concatenate([np.frombuffer(data[x], np.uint8) for k, x in zip(kinds, batches, strict=True) if k == 3])
         row, doc, first, count = (x.astype(np.int64) for x in (row, doc, first, count))
         size = count + width - 1
-        ends = np.cumsum(size)
-        room = np.repeat(ends, size) - np.arange(len(text))
-        suffixes = np.flatnonzero(room >= width)
-        owner = np.repeat(np.arange(len(row)), count)
-        pointer = deep_buckets(text, room, suffixes, width)
-        docs_ = doc[owner]
-        order = np.lexsort((docs_, pointer))
-        p, d = pointer[order], docs_[order]
-        new = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-        later = np.empty(len(order), bool)
-        later[order] = d > np.repeat(d[new], np.diff(np.append(new, len(p))))
-        if not later.any():
-            return mail(passed)
-        at = suffixes[later]
-        own = owner[later]
-        start = first[own] + at - (ends - size)[own]
-        cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (np.diff(start) != 1))))
-        last = np.append(cut[1:], len(own)) - 1
-        return mail(passed + to_batches(batch[own[cut]], 1, row[own[cut]], start[cut], start[last] + width))
+        start = np.cumsum(size) - size
+        # Stretches with one anchor are sorted together; others need not be, so that the arrays stay small.
+        shares = -(-len(text) // SORTED_BYTES)
+        share = (anchor_id // np.uint64(n_buckets) % np.uint64(shares)).astype(np.int64)
+        out = passed
+        for k in range(shares):
+            own = np.flatnonzero(share == k)
+            if len(own):
+                piece = text[np.repeat(start[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())]
+                i, a, b = _repeated(piece, size[own], doc[own], width)
+                i = own[i]
+                out += to_batches(batch[i], 1, row[i], first[i] + a, first[i] + b)
+        return mail(out)
 
     def remove(_batch: int, texts: pa.Table, m: pa.Table) -> pa.Table:
         buf, offsets = text_bytes(texts["text"])
