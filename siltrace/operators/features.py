@@ -24,6 +24,16 @@ FEATURES = (*GLOBAL, *STRUCTURAL, *POSITION, *ROBUST)
 CLEAN_FRAC, OUTER, ANGLE_BINS, RADIAL_BINS, SIGNIFICANT = 0.02, 0.75, 24, 5, 3
 
 
+def upward_angle(uy: Column, ux: Column) -> Column:
+    """Angle of (ux, -uy) in [-pi, pi); the left horizontal axis is -pi."""
+    return F.when((uy == 0) & (ux < 0), F.lit(-pi)).otherwise(F.atan2(-uy, ux))
+
+
+def settled_angle(y: Column, x: Column) -> Column:
+    """atan2 of values that may be rounding noise about 0: such count as 0."""
+    return F.atan2(F.round(y, 12) + 0.0, F.round(x, 12) + 0.0)
+
+
 def with_box(cells: DataFrame, id_col: str = "wafer") -> DataFrame:
     """Adds the box geometry: ux, uy (unit coordinates about the box centre), rn, ang, half widths hx, hy, and edge dies."""
     w = Window.partitionBy(id_col)
@@ -36,7 +46,7 @@ def with_box(cells: DataFrame, id_col: str = "wafer") -> DataFrame:
         cells.withColumns({"hx": half("x"), "hy": half("y"), "mx": mid("x"), "my": mid("y")})
         .withColumn("edge", ~F.coalesce(next_to(x, row) & next_to(y, column), F.lit(False)))
         .withColumns({"ux": (x - F.col("mx")) / F.col("hx"), "uy": (y - F.col("my")) / F.col("hy")})
-        .withColumns({"rn": norm2(F.col("ux"), F.col("uy")), "ang": F.atan2(-F.col("uy"), F.col("ux"))})
+        .withColumns({"rn": norm2(F.col("ux"), F.col("uy")), "ang": upward_angle(F.col("uy"), F.col("ux"))})
     )
 
 
@@ -100,7 +110,7 @@ def component_table(boxed: DataFrame, id_col: str = "wafer") -> DataFrame:
         F.avg("ux").alias("mux"),
         F.avg("uy").alias("muy"),
         F.min("rn").alias("rn_min"),
-        F.atan2(F.avg(F.sin("ang")), F.avg(F.cos("ang"))).alias("mean_ang"),
+        settled_angle(F.avg(F.sin("ang")), F.avg(F.cos("ang"))).alias("mean_ang"),
         (F.max("x") - F.min("x") + 1).alias("w"),
         (F.max("y") - F.min("y") + 1).alias("h"),
         F.first("hx").alias("hx"),
@@ -112,7 +122,7 @@ def component_table(boxed: DataFrame, id_col: str = "wafer") -> DataFrame:
     small = lambda a, b, c: (a + b) / 2 - F.sqrt((a - b) * (a - b) / 4 + c * c)
     floor = lambda c: F.greatest(c, F.lit(1e-9))
     v = [F.col(c) for c in ("vx", "vy", "vxy")]
-    theta = F.atan2(2 * F.col("wxy"), F.col("wx") - F.col("wy")) / 2
+    theta = settled_angle(2 * F.col("wxy"), F.col("wx") - F.col("wy")) / 2
     dev = F.transform("cells", lambda s: wrapped(s["ang"] - F.col("mean_ang")))
     along = F.transform("cells", lambda s: s["ux"] * F.cos("theta") + s["uy"] * F.sin("theta"))
     spread = lambda a: F.array_max(a) - F.array_min(a)
