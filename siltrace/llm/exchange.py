@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltrace.llm.kernels import release_memory
+
 BATCH_BYTES = 8 << 20
 MAIL = "bucket long, batch long, kind int, blob binary"
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than all others
@@ -29,12 +31,12 @@ def pack(*arrays: np.ndarray) -> bytes:
         v = np.asarray(a).astype(np.uint64, copy=False) if np.asarray(a).dtype != np.int64 else np.asarray(a).view(np.uint64)
         d = np.diff(v, prepend=np.uint64(0))
         parts += [np.uint64(len(v)).tobytes(), np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return squeezed(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     """The uint64 arrays of :func:`pack`."""
-    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    data, at, out = unsqueezed(blob), 0, []
     while at < len(data):
         n = int(np.frombuffer(data, np.uint64, 1, at)[0])
         planes = np.frombuffer(data, np.uint8, 8 * n, at + 8).reshape(8, n)
@@ -43,6 +45,14 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def mail(rows: Iterable[tuple[int, int, int, bytes]]) -> pa.Table:
     rows = list(rows)
     columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
@@ -102,12 +112,17 @@ class Rounds:
     def each(self, run: Callable, schema: str | T.StructType, answers: DataFrame | None = None) -> DataFrame:
         grouped = self.texts.groupBy("batch")
         if answers is None:
-            return grouped.applyInArrow(lambda key, t: run(key[0].as_py(), in_order(t)), schema)
-        return grouped.cogroup(answers.groupBy("batch")).applyInArrow(lambda key, t, m: run(key[0].as_py(), in_order(t), m), schema)
+            return grouped.applyInArrow(lambda key, t: released(run(key[0].as_py(), in_order(t))), schema)
+        return grouped.cogroup(answers.groupBy("batch")).applyInArrow(lambda key, t, m: released(run(key[0].as_py(), in_order(t), m)), schema)
 
     @staticmethod
     def answer(mails: DataFrame, reply: Callable[[pa.Table], pa.Table]) -> DataFrame:
-        return mails.groupBy("bucket").applyInArrow(reply, MAIL)
+        return mails.groupBy("bucket").applyInArrow(lambda m: released(reply(m)), MAIL)
+
+
+def released(out: pa.Table) -> pa.Table:
+    release_memory()
+    return out
 
 
 def in_order(texts: pa.Table) -> pa.Table:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21  # bytes of text handled at once; a longer text forms a chunk of its own
+CHUNK = 1 << 20  # bytes of text handled at once; a longer text forms a chunk of its own
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -128,5 +129,26 @@ def covered(n: int, starts: np.ndarray, width: int | np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def binaries(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # a C library without it keeps what it has freed
+    _trim = None
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system: Python workers live on between tasks and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidied(run):
+    """A task function over batches that releases memory after each batch."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(iter([batch]))
+            del batch
+            release_memory()
+
+    return outer

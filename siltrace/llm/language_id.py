@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.kernels import text_bytes
+from siltrace.llm.kernels import text_bytes, tidied
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
@@ -194,8 +194,9 @@ def predict_language(docs: DataFrame, model: ByteCnn | None, *, id_col: str = "d
     columns, the label among them, are not read.
     """
 
+    tables = model.tables() if model else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.tables() if model else None
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
             n = batch.num_rows
@@ -224,4 +225,4 @@ def predict_language(docs: DataFrame, model: ByteCnn | None, *, id_col: str = "d
             )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return source.mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")

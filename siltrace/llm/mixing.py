@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.kernels import _LOWER_CODES, Words, chunks, text_bytes
+from siltrace.llm.kernels import _LOWER_CODES, Words, chunks, text_bytes, tidied
 from siltrace.llm.storage import written
 
 FEATURES = 1 << 14
@@ -68,27 +68,35 @@ def train_domain_classifier(
     rows = sorted((r for r in rows if len(r["f"])), key=lambda r: (r["id"], bytes(r["f"])))
     if not rows:
         return None
-    x = np.zeros((len(rows), FEATURES + 1), np.float32)
-    for i, r in enumerate(rows):
+    x = []
+    total, squares = np.zeros(FEATURES), np.zeros(FEATURES)
+    for r in rows:
         at, n = np.frombuffer(r["f"], np.int32).reshape(2, -1)
-        x[i, at] = n / n.sum()
-    scale = 1 / (x.std(0) + 1e-3)
-    x *= scale
-    x[:, -1] = scale[-1] = 1
-    return _softmax_fit(x, np.array([r["y"] for r in rows]), seed) * scale[:, None]
+        x.append((at, (n / n.sum()).astype(np.float32)))
+        total[at] += x[-1][1]
+        squares[at] += x[-1][1] ** 2
+    spread = np.sqrt(np.maximum(squares / len(rows) - (total / len(rows)) ** 2, 0))
+    scale = np.append(1 / (spread + 1e-3), 1).astype(np.float32)
+    return _softmax_fit(x, np.array([r["y"] for r in rows]), scale, seed) * scale[:, None]
 
 
-def _softmax_fit(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 6, batch: int = 64, rate: float = 0.02) -> np.ndarray:
+def _softmax_fit(x: list, y: np.ndarray, scale: np.ndarray, seed: int, epochs: int = 6, batch: int = 64, rate: float = 0.02) -> np.ndarray:
+    """Adam on the cross-entropy; one batch of rows is dense at a time."""
     rng = np.random.default_rng(seed)
-    w = np.zeros((x.shape[1], len(DOMAINS)), np.float32)
+    w = np.zeros((FEATURES + 1, len(DOMAINS)), np.float32)
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
-            p = _softmax(x[own] @ w)
+            dense = np.zeros((len(own), FEATURES + 1), np.float32)
+            for i, k in enumerate(own):
+                dense[i, x[k][0]] = x[k][1]
+            dense[:, -1] = 1
+            dense *= scale
+            p = _softmax(dense @ w)
             p[np.arange(len(own)), y[own]] -= 1
-            g = x[own].T @ p / len(own) + 1e-4 * w
+            g = dense.T @ p / len(own) + 1e-4 * w
             step += 1
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
@@ -121,7 +129,7 @@ def domain_posteriors(docs: DataFrame, weights: np.ndarray | None, *, id_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), posteriors], ["rid", "doc_id", "n_tokens", "posteriors"])
 
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "rid long, doc_id long, n_tokens long, posteriors array<double>")
+    return source.mapInArrow(tidied(run), "rid long, doc_id long, n_tokens long, posteriors array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.kernels import _BYTE_CODES, _LOWER_CODES, Words, chunks, range_hash, range_sums, rolling, text_bytes
+from siltrace.llm.kernels import _BYTE_CODES, _LOWER_CODES, Words, chunks, range_hash, range_sums, rolling, text_bytes, tidied
 from siltrace.llm.storage import written
 
 MIN_DOCS = 20  # a line in at most so many documents of a host is never boilerplate
@@ -114,7 +114,7 @@ def text_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         F.xxhash64(text_col).alias("text_key"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
     )
-    return source.mapInArrow(_measured, _SCHEMA)
+    return source.mapInArrow(tidied(_measured), _SCHEMA)
 
 
 def frequent_lines(measures: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -198,4 +198,4 @@ def quality_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = docs.columns
-    return joined.select(*[docs[c] for c in names], "_lines").mapInArrow(cut, docs.schema)
+    return joined.select(*[docs[c] for c in names], "_lines").mapInArrow(tidied(cut), docs.schema)
