@@ -181,5 +181,38 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS B
   coalesce(g.labels, '') AS base_labels, coalesce(g.labels, '') AS labels,
   CASE WHEN g.n > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score
 FROM w LEFT JOIN g USING (doc_id)
+""",
+    "op5_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+firsts AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM win JOIN firsts USING (k) WHERE doc_id > m),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hit, range(0, 50) AS r(j)),
+words AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w)),
+kept AS (
+  SELECT doc_id, array_to_string(list(word ORDER BY p), ' ') AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+""",
+    "op9_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
+  FROM w),
+sh AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+comp(id, c) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION
+  (SELECT l.b, min(x.c) FROM comp x JOIN links l ON l.a = x.id JOIN recurring.comp p ON p.id = l.b WHERE x.c < p.c GROUP BY l.b))
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, comp.c AS component_id, s.doc_id = comp.c AS kept FROM sets s JOIN comp ON comp.id = s.doc_id
 """,
 }
