@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.exchange import Rounds, ids_of, mail, opened, to_batches, to_buckets
+from siltrace.llm.exchange import Rounds, ids_of, mail, opened, squeezed, to_batches, to_buckets, unsqueezed
 from siltrace.llm.kernels import _BYTE_CODES, chunks, covered, range_hash, range_sums, text_bytes
 
 WIDTH = 50  # bytes
@@ -204,7 +204,7 @@ def suffix_dedup(
                 ends = np.cumsum(size)
                 data = buf[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
                 head = to_buckets(np.full(len(own), s), batch, 3, row[own], ids[row[own]], first[own], count[own], a[own])
-                out += head + [(s, batch, 4, data.tobytes())]
+                out += head + [(s, batch, 4, squeezed(data.tobytes()))]
         return mail(out)
 
     def sort(m: pa.Table) -> pa.Table:
@@ -215,7 +215,7 @@ def suffix_dedup(
         if not len(row):
             return mail(passed)
         # Kind 3 is one blob for each batch, joined in the order of the mail.
-        text = np.concatenate([np.frombuffer(data[x], np.uint8) for k, x in zip(kinds, batches, strict=True) if k == 3])
+        text = np.concatenate([np.frombuffer(unsqueezed(data[x]), np.uint8) for k, x in zip(kinds, batches, strict=True) if k == 3])
         row, doc, first, count = (x.astype(np.int64) for x in (row, doc, first, count))
         size = count + width - 1
         start = np.cumsum(size) - size
