@@ -19,9 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.kernels import CHUNK, chunks, text_bytes
+from siltrace.llm.kernels import CHUNK, chunks, text_bytes, tidied
 
-MAX_CACHED = 300_000  # words whose encoding a Python worker remembers; only speed depends on it
+MAX_CACHED = 150_000  # words, and stretches of text, whose encoding a Python worker remembers in each of two generations
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -32,7 +32,7 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class Bpe:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder of one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -44,53 +44,58 @@ class Bpe:
         v = self.vocab
         self.merges = {(v[a], v[b]): (rank, v[a + b]) for rank, (a, b) in enumerate(pairs)}
         added = spec["added_tokens"]
-        names = {i: s for s, i in v.items()} | {t["id"]: t["content"] for t in added}
-        self.strings = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         self.added = {t["content"]: t["id"] for t in added}
         longest = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, longest))) if longest else None
         first = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pieces = regex.compile(first["pattern"]["Regex"])
         self.space = regex.compile(r"\s+")
-        self.symbols = _byte_symbols()
+        symbols = _byte_symbols()
+        self.first = {b: v[c] for b, c in symbols.items()}
+        self.last = {b: v[c + self.suffix] for b, c in symbols.items()}
         self.odd_space = regex.compile(r"[\x1c-\x1f]")  # white space to str.split() alone
         self.words = _Remembered(self.merged, MAX_CACHED)
         self.stretches = _Remembered(self.stretch, MAX_CACHED)
 
-    def normalized(self, text: str) -> str:
+    @staticmethod
+    def normalized(text: str) -> str:
+        """Composed and lowered; the white space that the vocabulary's rules collapse has been split away before."""
         if not text.isascii() and not is_normalized("NFC", text):
             text = normalize("NFC", text)
         # Letters are lowered one by one: the sigma that ends a word is no exception.
-        return self.space.sub(" ", text).replace("Σ", "σ").lower()
+        return text.replace("Σ", "σ").lower()
 
     def stretch(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pieces.findall(self.normalized(text))))
+        text = self.normalized(text)
+        if text.isalpha():  # letters alone are one piece
+            return self.words[text]
+        return b"".join(map(self.words.__getitem__, self.pieces.findall(text)))
 
     def merged(self, piece: str) -> bytes:
         """Ids of one piece: the lowest-ranked pair merges first, the leftmost among equals."""
-        chars = [self.symbols[b] for b in piece.encode("utf-8")]
-        chars[-1] += self.suffix
-        ids = [self.vocab[c] for c in chars]
+        data = piece.encode("utf-8")
+        ids = [self.first[b] for b in data]
+        ids[-1] = self.last[data[-1]]
         n = len(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        merges, queue = self.merges, []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
+        look = self.merges.get
+        # An entry is rank * n + place of the left symbol.
+        queue = [found[0] * n + i for i in range(n - 1) if (found := look((ids[i], ids[i + 1])))]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            rank, i = divmod(heapq.heappop(queue), n)
             j = right[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            if j >= n or not (found := look((ids[i], ids[j]))) or found[0] != rank:
                 continue  # stale: one of the two symbols has merged since
-            ids[i], ids[j] = new, -1
-            right[i] = right[j]
-            if right[j] < n:
-                left[right[j]] = i
-                if found := merges.get((new, ids[right[j]])):
-                    heapq.heappush(queue, (found[0], i, new, ids[right[j]], found[1]))
-            if left[i] >= 0 and (found := merges.get((ids[left[i]], new))):
-                heapq.heappush(queue, (found[0], left[i], ids[left[i]], new, found[1]))
+            ids[i], ids[j] = found[1], -1
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+                if found := look((ids[i], ids[k])):
+                    heapq.heappush(queue, found[0] * n + i)
+            h = left[i]
+            if h >= 0 and (found := look((ids[h], ids[i]))):
+                heapq.heappush(queue, found[0] * n + h)
         return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
     def encode_plain(self, text: str) -> bytes:
@@ -111,29 +116,49 @@ class Bpe:
             at = m.end()
         return b"".join([*out, self.encode_plain(text[at:])])
 
-    def decode(self, ids: pa.ListArray) -> pa.Array:
-        """Vocabulary strings one after another, with a space between as the file names no decoder."""
-        flat = pc.take(self.strings, ids.flatten())
-        offsets = pc.subtract(ids.offsets, ids.offsets[0])
-        return pc.binary_join(pa.ListArray.from_arrays(offsets, flat), " ")
-
 
 class _Remembered(dict):
-    """Results of a function by its argument; cleared when full, which costs time only."""
+    """Results of a function by its argument, in two generations: when the younger is full it becomes the older, and what
+    is still in use comes back from there.  Forgetting costs time only."""
 
     def __init__(self, function, most: int, longest: int = 48):
         super().__init__()
         self.function, self.most, self.longest = function, most, longest
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.function(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+class Decoder:
+    """Vocabulary strings by id."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.strings = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Vocabulary strings one after another, with a space between as the file names no decoder."""
+        flat = pc.take(self.strings, ids.flatten())
+        offsets = pc.subtract(ids.offsets, ids.offsets[0])
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, flat), " ")
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
     return Bpe(path)
@@ -158,14 +183,14 @@ def bpe_encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>")
+    return source.mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded string) from (doc_id, ids); null ids decode to the empty string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = decoder(path)
         for batch in batches:
             for lo, hi in chunks(np.cumsum([0, *pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()]), CHUNK):
                 part = batch.slice(lo, hi - lo)
@@ -173,7 +198,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = bpe.decode(ids)
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded string")
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:
