@@ -5,7 +5,8 @@ row of minhash values.  Classes that share at least ``depth`` leading values lie
 size all pairs whose signatures agree well enough are candidates; in a crowded one the prefix is deepened until regions are
 small, and each class is also paired with its neighbours by longest common prefix in the sorted order.  Candidates are
 confirmed on the full shingle sets: first each class's best partner, then all candidates that still lie in different
-components, so that no candidate that could join two components goes unconfirmed.
+components, so that no candidate that could join two components goes unconfirmed.  Last, the classes of a crowded region that
+still lie in different components are all compared on their full sets, blocks against blocks over many tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ TREES, LEVELS = 12, 8
 DEPTH = 2  # shared leading values that make a region: 1 - (1 - 0.8**2)**12 of all pairs at 0.8 meet in some tree
 CROWDED = 64  # classes in a region beyond which it is split by deeper prefixes
 NEIGHBOURS = 12  # classes after each in a crowded region's sorted order that are paired with it
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18  # classes and shingles of a crowded region that are compared with others at once
 LEAST_AGREEMENT = 0.6  # of signatures: five standard deviations below a similarity of 0.8
 
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -128,9 +130,10 @@ def _region_pairs(words: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """All candidate pairs (a < b) of one bucket's regions."""
+    """Of one bucket's regions: candidate pairs (a < b), and as (a, region, size) the classes of crowded ones."""
     parts = [(t, unpack(x)) for t, x in zip(table["batch"].to_pylist(), table["blob"].to_pylist(), strict=True)]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    crowd: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for tree in sorted({t for t, _ in parts}):
         key, ids, n, *words = (np.concatenate(x) for x in zip(*[p for t, p in parts if t == tree], strict=True))
         ids, n, words = ids.view(np.int64), n.astype(np.int64), np.stack(words, 1)
@@ -140,6 +143,8 @@ def _candidates(table: pa.Table) -> pa.Table:
         region = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(region, len(key)))
         tasks = [(a, a + s, DEPTH) for a, s in zip(region[size > 1].tolist(), size[size > 1].tolist(), strict=True)]
+        full = np.repeat(size > CROWDED, size)
+        crowd.append((ids[full], key[full].view(np.int64), n[full]))
         left, right = [], []
         while tasks:
             a, b, depth = tasks.pop()
@@ -166,7 +171,10 @@ def _candidates(table: pa.Table) -> pa.Table:
     order = np.lexsort((b, a))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
-    return pa.table({"a": a[order][new], "b": b[order][new], "agreement": g[order][new]})
+    pairs = pa.table({"a": a[order][new], "b": b[order][new], "agreement": g[order][new]})
+    names = ("a", "region", "size")
+    members = pa.table(dict(zip(names, (np.concatenate(x) for x in zip(*crowd, strict=True)), strict=True))) if crowd else pa.table({x: pa.array([], pa.int64()) for x in names})
+    return pa.concat_tables([pairs, members], promote_options="default")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -205,6 +213,78 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(tidied(_confirmed(threshold)), "a long, b long")
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 2048) -> np.ndarray:
+    """How many values the sets ``left`` (rows) share with the sets ``right`` (columns)."""
+    text = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    again = times > 1  # a value of one set alone is shared by none
+    text, code = text[again[code]], (np.cumsum(again) - 1)[code[again[code]]]
+    order = np.argsort(code, kind="stable")
+    text, code = text[order], code[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(again.sum()), width):
+        own = slice(*np.searchsorted(code, (lo, lo + width)))
+        has = np.zeros((len(sets), width), np.float32)
+        has[text[own], code[own] - lo] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def _block_links(threshold: int):
+    """The links between two blocks, or within one, that join different components: one for each two components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [unpack(x)[0] for x in table["shingles"].to_pylist()]
+        ids, component = table["id"].to_numpy(), table["component"].to_numpy()
+        first = np.array([x == y for x, y in zip(table["block"].to_pylist(), table["x"].to_pylist(), strict=True)], bool)
+        left = np.flatnonzero(first)
+        right = left if first.all() and table["x"][0] == table["y"][0] else np.flatnonzero(~first)
+        n = np.array([len(x) for x in sets])
+        common = _common(sets, left, right)
+        linked = 100 * common >= threshold * (n[left][:, None] + n[right] - common)
+        i, j = np.nonzero(linked & (component[left][:, None] != component[right]))
+        i, j = left[i], right[j]
+        _, once = np.unique(np.sort(np.stack((component[i], component[j]), 1), 1), axis=0, return_index=True)
+        i, j = i[once], j[once]
+        release_memory()
+        return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+
+    return run
+
+
+def crowded_links(crowds: DataFrame, components: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
+    """Links (a, b) between different components of one crowded region, of all its pairs; None if every region is one component.
+
+    A component that fills more than a block has blocks of its own, which are not compared with each other; smaller ones
+    are dealt into common blocks.  Blocks are bounded, and every two of a region that must meet are a task's group.
+    """
+    parts = lambda: F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK))
+    own = crowds.join(components, "id", "left").select("region", "id", "size", F.coalesce("component", "id").alias("component"))
+    mixed = own.groupBy("region").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("region")
+    own = written(own.join(mixed, "region", "left_semi"), "crowds")
+    if own.isEmpty():
+        return None
+    large = own.groupBy("region", "component").agg(parts().alias("parts")).filter("parts > 1")
+    placed = own.hint("merge").join(large, ["region", "component"], "left")
+    common = placed.filter("parts IS NULL").groupBy("region").agg(parts().alias("all_parts"))
+    placed = placed.join(common, "region", "left").select(
+        "region",
+        "id",
+        "component",
+        F.when(F.col("parts") > 1, F.col("component")).alias("owner"),
+        F.when(F.col("parts") > 1, F.concat_ws(":", "component", F.pmod(F.xxhash64("id"), "parts")))
+        .otherwise(F.concat(F.lit(":"), F.pmod(F.xxhash64("component"), "all_parts")))
+        .alias("block"),
+    )
+    placed = written(placed, "blocks")
+    blocks = placed.select("region", "block", "owner").distinct()
+    x, y = (blocks.select("region", F.col("block").alias(b), F.col("owner").alias(f"owner_{b}")) for b in "xy")
+    meet = x.join(y, "region").filter("x <= y AND NOT coalesce(owner_x = owner_y, false)")
+    meet = meet.select("region", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    rows = placed.drop("owner").hint("merge").join(sets, "id").hint("merge").join(meet, ["region", "block"])
+    return rows.groupBy("region", "x", "y").applyInArrow(_block_links(threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id, kept).
 
@@ -229,10 +309,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     n_buckets = max(12, classes.count() // 4096)
     plant = classes.select("id", "n_shingles", "signature").mapInArrow(tidied(_plant(n_buckets)), "bucket long, batch long, kind int, blob binary")
-    found = plant.groupBy("bucket").applyInArrow(_candidates, "a long, b long, agreement double")
-    pairs = written(found.groupBy("a", "b").agg(F.max("agreement").alias("agreement")), "candidates")
+    found = written(plant.groupBy("bucket").applyInArrow(_candidates, "a long, b long, agreement double, region long, size long"), "regions")
+    pairs = written(found.filter("region IS NULL").groupBy("a", "b").agg(F.max("agreement").alias("agreement")), "candidates")
+    crowds = found.filter("region IS NOT NULL").select("region", F.col("a").alias("id"), "size")
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
     texts = source.withColumnRenamed("doc_id", "id").hint("merge").join(wanted, "id", "left_semi")
     sets = written(texts.mapInArrow(tidied(lambda it: _sets(it, shingle)), "id long, shingles binary").dropDuplicates(["id"]), "sets", "none")
 
@@ -247,6 +328,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     apart = labelled(labelled(pairs.select("a", "b"), "a", "ca"), "b", "cb").filter("ca <> cb")
     second = confirm(apart.select("a", "b"), sets, threshold)
     components = connected_components(first.unionByName(second))
+    rest = crowded_links(crowds, components, sets, threshold)
+    if rest is not None:
+        components = connected_components(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
 
     members = classes.select(*key, "id").join(components, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     return marks.join(members, key, "left").select(

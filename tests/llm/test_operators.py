@@ -1,6 +1,7 @@
 """Each operator against the plain form of its contract, on texts with nulls, empties, copies, ties and clashing columns."""
 
 import math
+import random
 import re
 
 import numpy as np
@@ -242,6 +243,37 @@ def test_near_duplicates_with_odd_ids(spark, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_links_of_a_crowded_template_are_all_found(spark):
+    # 92 words of a template and 17 own ones: similarity 0.73 to all others; each of 200 planted pairs shares 7 own words more: 0.83.
+    template, n, pairs_of = " ".join(f"t{j}" for j in range(92)), 2000, 200
+    own = lambda i: [f"o{i}x{j}" for j in range(17)]
+    rows = [(i, f"{template} {' '.join(own(i) if i >= pairs_of else own(i + n // 2)[:7] + own(i)[7:])}") for i in range(n)]
+    ids = list(range(n))
+    random.Random(2).shuffle(ids)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([(ids[i], t) for i, t in rows], "doc_id long, text string"), shingle=1).collect()}
+    want = dict(zip(ids, ids, strict=True))
+    for i in range(pairs_of):
+        want[ids[i]] = want[ids[i + n // 2]] = min(ids[i], ids[i + n // 2])
+    assert got == want
+
+
+def test_blocks_of_a_crowded_region_meet(spark):
+    # One component of 1,300 classes (blocks of its own) and 700 single ones, of which 30 are linked with one of its members each.
+    from siltrace.llm.exchange import pack
+    from siltrace.llm.minhash_dedup import crowded_links
+
+    rng = np.random.default_rng(4)
+    sets = {i: np.sort(rng.integers(0, 1 << 48, 20, dtype=np.uint64)) for i in range(2000)}
+    linked = {1300 + 7 * k: 40 * k for k in range(30)}
+    for i, j in linked.items():
+        sets[i] = np.sort(np.append(sets[j][:18], sets[i][:2]))
+    crowds = spark.createDataFrame([(1, i, 20) for i in sets] + [(2, i, 20) for i in range(100)], "region long, id long, size long")
+    joined = spark.createDataFrame([(i, 0) for i in range(1300)], "id long, component long")
+    packed = spark.createDataFrame([(i, pack(x)) for i, x in sets.items()], "id long, shingles binary")
+    assert {(r.b, r.a) for r in crowded_links(crowds, joined, packed, 80).collect()} == set(linked.items())
+    assert crowded_links(crowds.filter("region = 2"), joined, packed, 80) is None
+
+
 def test_connected_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
