@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltrace.functions.columns import normal_tail, ratio
+from siltrace.sources.stored import written
 
 MIN_LOTS, ALPHA = 5, 0.05
+EXACT_PAIRS = 50_000
+
+
+def rank_sum_tail(u: float, m: int, n: int) -> float:
+    """P(U >= u) of the rank statistic of m and n values without ties, from the numbers of orders that give each U.
+
+    These are the coefficients of the Gaussian binomial, the product over i = 1..m of (1 - q**(n + i)) / (1 - q**i).
+    """
+    m, n = min(m, n), max(m, n)
+    ways = np.zeros(m * n + 1)
+    ways[0] = 1.0
+    for i in range(1, m + 1):
+        times = ways.copy()
+        times[n + i :] -= ways[: max(0, len(ways) - n - i)]
+        for at in range(i):
+            times[at::i] = np.cumsum(times[at::i])
+        ways = times
+    return float(ways[max(0, ceil(u)) :].sum() / ways.sum())
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_tail(u: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+    """:func:`rank_sum_tail` by row, of a table with a row for each tool; null for rows beyond the exact test's bounds."""
+    fits = (np.minimum(m, n) <= 8) & (m * n < EXACT_PAIRS)
+    return pd.Series([rank_sum_tail(*x) if ok else None for ok, *x in zip(fits, u, m, n, strict=True)], dtype="float64")
 
 
 def lot_rates(predictions: DataFrame, pattern: str | None = None, hit: str | None = None) -> DataFrame:
@@ -31,8 +62,9 @@ def commonality(rates: DataFrame, history: DataFrame, min_lots: int = MIN_LOTS)
     """(step, tool, n_lots, n_others, rate_through, rate_others, delta, u, z, p, p_adj) for each step and tool.
 
     Others are the lots that visited the step on another tool.  As a tool's lots and its others are always the step's lots,
-    ranks are taken once a step, from counts of its distinct rates.  The rank test uses the normal approximation with tie
-    and continuity corrections; p is null below ``min_lots`` on a side or where all rates are equal.
+    ranks are taken once a step, from counts of its distinct rates.  The rank test is exact where a side has at most eight lots
+    and no rates are equal (and the sides' product is below EXACT_PAIRS), else the normal approximation with tie and continuity
+    corrections; p is null below ``min_lots`` on a side or where all rates are equal.
     """
     visits = history.select("lot", "step", "tool").join(rates.select("lot", "rate"), "lot")
     tools = visits.groupBy("step", "tool", "rate").agg(F.count("*").alias("n"))
@@ -52,7 +84,9 @@ def commonality(rates: DataFrame, history: DataFrame, min_lots: int = MIN_LOTS)
     spread = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.try_divide(F.col("ties").cast("double"), n * (n - 1))))
     judged = (F.col("n_lots") >= min_lots) & (F.col("n_others") >= min_lots) & (F.col("kinds") > 1)
     z = F.when(judged, F.try_divide(F.col("u") - n1 * n0 / 2.0 - 0.5, spread))
-    t = t.withColumn("z", z).withColumn("p", normal_tail(F.col("z"))).withColumn("delta", F.col("rate_through") - F.col("rate_others"))
+    small = judged & (F.col("ties") == 0) & (F.least(n1, n0) <= 8) & (n1 * n0 < EXACT_PAIRS)
+    p = F.when(small, exact_tail("u", "n_lots", "n_others")).otherwise(normal_tail(F.col("z")))
+    t = t.withColumn("z", z).withColumn("p", p).withColumn("delta", F.col("rate_through") - F.col("rate_others"))
     names = ["step", "tool", "n_lots", "n_others", "rate_through", "rate_others", "delta", "u", "z", "p"]
     return bh_adjust(t.select(*names))
 
@@ -69,12 +103,12 @@ def confounding(rates: DataFrame, history: DataFrame, table: DataFrame, alpha: f
     Empty for tools that stay significant, for the top candidate, and where fewer than two are significant or too few lots
     are left to test.
     """
-    placed = ranked_candidates(table)
+    placed = written(ranked_candidates(table), "candidates")
     significant = placed.filter(F.col("p_adj") < alpha)
     head = significant.filter("place = 1").select(F.col("step").alias("s"), F.col("tool").alias("t"))
     seen = history.join(F.broadcast(head), (F.col("step") == F.col("s")) & (F.col("tool") == F.col("t"))).select("lot").distinct()
-    rest = rates.join(seen, "lot", "left_anti")
-    again = commonality(rest, history, min_lots).select("step", "tool", F.col("p_adj").alias("p_rest"), F.lit(True).alias("tested"))
+    rest = written(rates.join(seen, "lot", "left_anti"), "unseen")
+    again = written(commonality(rest, history, min_lots), "retested").select("step", "tool", F.col("p_adj").alias("p_rest"), F.lit(True).alias("tested"))
     counts = rest.agg(F.count("*").alias("n_rest")).crossJoin(significant.agg(F.count("*").alias("n_significant")))
     judged = placed.join(again, ["step", "tool"], "left").crossJoin(F.broadcast(counts)).join(F.broadcast(head), F.lit(True), "left")
     asked = (F.col("n_significant") >= 2) & (F.col("n_rest") >= 2 * min_lots) & (F.col("p_adj") < alpha) & (F.col("place") > 1)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _STRIDE = 1 << 16  # more columns than any map has
 
@@ -49,21 +50,28 @@ def _labels(wafer: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray
     return label, neighbours
 
 
-def label_components(fails: DataFrame, id_col: str = "wafer") -> DataFrame:
-    """(id, x, y, comp, neighbours) from distinct failing cells (id, x, y)."""
-    kind = fails.schema[id_col].dataType.simpleString()
-    packed = fails.groupBy(id_col).agg(F.collect_list(F.struct("y", "x")).alias("c")).select(
-        id_col, F.transform("c", lambda s: s["y"].cast("long")).alias("y"), F.transform("c", lambda s: s["x"].cast("long")).alias("x")
-    )
+def label_arrays(wafers: DataFrame, id_col: str = "wafer", fails: str = "fails") -> DataFrame:
+    """Adds comp and neighbours, arrays beside ``fails``: an array of structs with long x and y, a wafer's distinct failing cells."""
+    kept = wafers.columns
+    packed = wafers.select(*kept, F.col(f"{fails}.y").alias("_y"), F.col(f"{fails}.x").alias("_x"))
+    names = [*kept, "comp", "neighbours"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys, xs = batch.column(1), batch.column(2)
-            size = np.diff(ys.offsets.to_numpy())
-            y, x = ys.flatten().to_numpy(), xs.flatten().to_numpy()
-            wafer = np.repeat(np.arange(len(size)), size)
-            label, neighbours = _labels(wafer, y, x)
-            columns = [batch.column(0).take(pa.array(wafer)), *map(pa.array, (x, y, label, neighbours))]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "x", "y", "comp", "neighbours"])
+            ys, xs = batch.column(len(kept)), batch.column(len(kept) + 1)
+            at = ys.offsets.to_numpy()
+            wafer = np.repeat(np.arange(len(ys)), np.diff(at))
+            found = _labels(wafer, ys.flatten().to_numpy(), xs.flatten().to_numpy())
+            arrays = [pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(v)) for v in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays], names)
+
+    schema = T.StructType([*wafers.schema.fields, *[T.StructField(c, T.ArrayType(T.LongType())) for c in names[-2:]]])
+    return packed.mapInArrow(run, schema)
 
-    return packed.mapInArrow(run, f"{id_col} {kind}, x long, y long, comp long, neighbours long")
+
+def label_components(fails: DataFrame, id_col: str = "wafer") -> DataFrame:
+    """(id, x, y, comp, neighbours) from distinct failing cells (id, x, y)."""
+    cells = F.collect_list(F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))).alias("fails")
+    labelled = label_arrays(fails.groupBy(id_col).agg(cells), id_col)
+    own = labelled.select(id_col, F.explode(F.arrays_zip("fails", "comp", "neighbours")).alias("c"))
+    return own.select(id_col, "c.fails.x", "c.fails.y", "c.comp", "c.neighbours")

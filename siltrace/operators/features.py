@@ -1,7 +1,8 @@
 """Wafer features: 6 global, 11 structural, 3 of position, 8 robust to noise.
 
-Dies are dealt by wafer once; the box of a wafer comes from a window over that partitioning, and all features of dies from
-one aggregate.  Components are labelled once and give the other features through one aggregate by component and one by wafer.
+Dies are dealt by wafer once.  The box of a wafer comes from a window over that partitioning, and one aggregate gives all
+features of dies, the columns that are carried along, and the failing dies as an array.  These arrays are labelled, and the
+components give the other features through one aggregate by component and one by wafer.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltrace.functions.columns import concentration, norm2, wrapped
-from siltrace.operators.components import label_components
+from siltrace.operators.components import label_arrays
 from siltrace.operators.dies import die_positions
+from siltrace.sources.stored import kept_by_version, written
 
 GLOBAL = ("fail_frac", "r_mean", "r_med", "r_std", "dir_c", "axial_c")
 PROFILE = tuple(f"prof{b}" for b in range(5))
@@ -50,13 +52,13 @@ def with_box(cells: DataFrame, id_col: str = "wafer") -> DataFrame:
     )
 
 
-def global_features(positions: DataFrame, id_col: str = "wafer", zeroing: bool = True) -> DataFrame:
-    """fail_frac and five statistics of failing dies; these are 0 for wafers of at most 2 % fails unless zeroing is off."""
+def _global_parts() -> list[Column]:
+    """fail_frac and the statistics of failing dies, in die_positions' columns."""
     fail = F.col("v") == 2
     r, a = F.when(fail, F.col("radius")), F.radians("angle_deg")
     full = F.max("radius")
     scale = F.when(full > 0, full).otherwise(1.0)
-    out = positions.groupBy(id_col).agg(
+    return [
         F.count("*").alias("n_die"),
         F.count_if(fail).alias("n_fail"),
         F.avg(fail.cast("double")).alias("fail_frac"),
@@ -65,13 +67,27 @@ def global_features(positions: DataFrame, id_col: str = "wafer", zeroing: bool =
         (F.stddev_pop(r) / scale).alias("r_std"),
         concentration(a, 1, fail).alias("dir_c"),
         concentration(a, 2, fail).alias("axial_c"),
-    )
+    ]
+
+
+def _zeroed(zeroing: bool = True) -> dict[str, Column]:
     held = (F.col("fail_frac") > CLEAN_FRAC) if zeroing else F.lit(True)
-    return out.withColumns({c: F.when(held, F.coalesce(c, F.lit(0.0))).otherwise(0.0) for c in GLOBAL[1:]})
+    return {c: F.when(held, F.coalesce(c, F.lit(0.0))).otherwise(0.0) for c in GLOBAL[1:]}
 
 
-def structural_die_features(boxed: DataFrame, id_col: str = "wafer") -> DataFrame:
-    """Coverage of the outer ring by angle and the radial profile."""
+def _carried(carry: tuple[str, ...]) -> list[Column]:
+    return [F.first(c).alias(c) for c in carry]
+
+
+def global_features(positions: DataFrame, id_col: str = "wafer", zeroing: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """fail_frac and five statistics of failing dies; these are 0 for wafers of at most 2 % fails unless zeroing is off.
+
+    carry: columns that are constant within a wafer and are returned too."""
+    return positions.groupBy(id_col).agg(*_global_parts(), *_carried(carry)).withColumns(_zeroed(zeroing))
+
+
+def _structural_parts() -> list[Column]:
+    """Coverage of the outer ring by angle and the radial profile, in with_box's columns."""
     fail = F.col("v") == 2
     outer = F.round("rn", 9) >= OUTER
     turn = F.floor(F.round((F.col("ang") + pi) / (2 * pi) * ANGLE_BINS, 9)).cast("int")
@@ -85,19 +101,38 @@ def structural_die_features(boxed: DataFrame, id_col: str = "wafer") -> DataFram
         own = F.avg(F.when(inside, fail.cast("double")))
         return F.when((F.count_if(inside) >= 5) & (rate > 0), own / rate).otherwise(1.0).alias(f"prof{b}")
 
-    covered, occupied = F.collect_set(F.when(outer & fail, bin_)), F.collect_set(F.when(outer, bin_))
-    return boxed.groupBy(id_col).agg(
-        F.coalesce(F.try_divide(F.size(covered).cast("double"), F.size(occupied).cast("double")), F.lit(0.0)).alias("outer_cover"),
+    # Angle bins as the bits of one number.
+    bits = lambda where: F.bit_count(F.coalesce(F.bit_or(F.when(where, F.call_function("shiftleft", F.lit(1).cast("long"), bin_))), F.lit(0).cast("long")))
+    return [
+        F.coalesce(F.try_divide(bits(outer & fail).cast("double"), bits(outer).cast("double")), F.lit(0.0)).alias("outer_cover"),
         F.coalesce(F.avg(F.when(outer, fail.cast("double"))), F.lit(0.0)).alias("outer_rate"),
         *[profile(b) for b in range(RADIAL_BINS)],
-    )
+    ]
+
+
+def structural_die_features(boxed: DataFrame, id_col: str = "wafer") -> DataFrame:
+    """Coverage of the outer ring by angle and the radial profile."""
+    return boxed.groupBy(id_col).agg(*_structural_parts())
+
+
+_FAIL = ("y", "x", "ux", "uy", "hx", "hy", "rn", "ang", "edge")
+
+
+def _fails() -> Column:
+    """The failing dies of a wafer as an array."""
+    own = [F.col(c).cast("long").alias(c) if c in ("x", "y") else F.col(c) for c in _FAIL]
+    return F.collect_list(F.when(F.col("v") == 2, F.struct(*own))).alias("fails")
 
 
 def component_table(boxed: DataFrame, id_col: str = "wafer") -> DataFrame:
     """One row for each component of failing dies, with its size and shape."""
-    fails = boxed.filter("v = 2").select(id_col, "x", "y", "ux", "uy", "hx", "hy", "rn", "ang", "edge")
-    labelled = label_components(fails.select(id_col, "x", "y"), id_col)
-    cells = fails.withColumns({"x": F.col("x").cast("long"), "y": F.col("y").cast("long")}).join(labelled, [id_col, "x", "y"])
+    return _component_rows(label_arrays(boxed.groupBy(id_col).agg(_fails()), id_col), id_col)
+
+
+def _component_rows(labelled: DataFrame, id_col: str) -> DataFrame:
+    """Components from wafers with their failing dies and their labels (arrays fails, comp, neighbours)."""
+    zipped = F.arrays_zip("fails", "comp", "neighbours")
+    cells = labelled.select(id_col, F.explode(zipped).alias("c")).select(id_col, "c.fails.*", "c.comp", "c.neighbours")
     own = cells.groupBy(id_col, "comp").agg(
         F.count("*").alias("size"),
         F.sum("neighbours").alias("neighbours"),
@@ -163,16 +198,21 @@ def component_features(components: DataFrame, id_col: str = "wafer") -> DataFram
     )
 
 
+FEATURE_VERSION = "28-1"  # of the set below; a kept table of another version is not read
 _WITHOUT_FAILS = {"elongation": 1.0}
 
 
 def wafer_features(cells: DataFrame, id_col: str = "wafer", carry: tuple[str, ...] = ()) -> DataFrame:
     """All 28 features and n_die of every wafer, with the columns named in ``carry`` (constant within a wafer)."""
-    positions = die_positions(cells)
-    boxed = with_box(cells, id_col)
-    parts = global_features(positions, id_col).join(structural_die_features(boxed, id_col), id_col)
-    parts = parts.join(component_features(component_table(boxed, id_col), id_col), id_col, "left")
+    boxed = with_box(die_positions(cells), id_col)
+    one = boxed.groupBy(id_col).agg(*_global_parts(), *_structural_parts(), *_carried(carry), _fails()).withColumns(_zeroed())
+    labelled = written(label_arrays(one, id_col), "labelled-wafers")
+    components = component_features(_component_rows(labelled.select(id_col, "fails", "comp", "neighbours"), id_col), id_col)
+    parts = labelled.drop("fails", "comp", "neighbours").join(components, id_col, "left")
     parts = parts.withColumns({c: F.coalesce(c, F.lit(_WITHOUT_FAILS.get(c, 0.0))) for c in FEATURES})
-    if carry:
-        parts = parts.join(cells.groupBy(id_col).agg(*[F.first(c).alias(c) for c in carry]), id_col)
     return parts.select(id_col, *carry, "n_die", *FEATURES)
+
+
+def feature_table(cells: DataFrame, folder: str, id_col: str = "wafer", carry: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`wafer_features`, computed once for each folder and version of the feature set and read from there afterwards."""
+    return kept_by_version(cells.sparkSession, folder, "features", FEATURE_VERSION, lambda: wafer_features(cells, id_col, carry))

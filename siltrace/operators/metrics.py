@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltrace.functions.columns import ratio
+from siltrace.operators.ranks import cumulated, quantiles
 from siltrace.sources.dimensions import CLASSES, CLASSES9, class_table
 
 
@@ -19,14 +20,14 @@ def confusion(df: DataFrame, labels: Sequence[str] = CLASSES9, truth: str = "y_t
     return pairs.join(counts, ["truth", "pred"], "left").select("truth", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def class_report(df: DataFrame, labels: Sequence[str] = CLASSES, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """(name, support, precision, recall, f1) of each label; 0 where undefined."""
+def class_report(df: DataFrame, labels: Sequence[str] = CLASSES, truth: str = "y_true", pred: str = "y_pred", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., name, support, precision, recall, f1) of each label; 0 where undefined."""
     one = F.explode(F.array(*[F.lit(c) for c in labels])).alias("name")
-    rows = df.select(F.col(truth).alias("t"), F.col(pred).alias("p"), one)
+    rows = df.select(*by, F.col(truth).alias("t"), F.col(pred).alias("p"), one)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     hit = F.count_if((F.col("t") == F.col("name")) & (F.col("p") == F.col("name")))
     support, named = F.count_if(F.col("t") == F.col("name")), F.count_if(F.col("p") == F.col("name"))
-    return rows.groupBy("name").agg(
+    return rows.groupBy(*by, "name").agg(
         support.alias("support"),
         zero(ratio(hit, named)).alias("precision"),
         zero(ratio(hit, support)).alias("recall"),
@@ -34,12 +35,12 @@ def class_report(df: DataFrame, labels: Sequence[str] = CLASSES, truth: str = "y
     )
 
 
-def macro_f1(df: DataFrame, labels: Sequence[str] = CLASSES, only_present: bool = False, **columns: str) -> DataFrame:
-    """(macro_f1, balanced_accuracy): over fixed labels, or only those present in the truth; recall over present labels."""
-    report = class_report(df, labels, **columns)
+def macro_f1(df: DataFrame, labels: Sequence[str] = CLASSES, only_present: bool = False, by: Sequence[str] = (), **columns: str) -> DataFrame:
+    """(by..., macro_f1, balanced_accuracy): over fixed labels, or only those present in the truth; recall over present labels."""
+    report = class_report(df, labels, by=by, **columns)
     present = F.col("support") > 0
     f1 = F.when(present, F.col("f1")) if only_present else F.col("f1")
-    return report.agg(F.avg(f1).alias("macro_f1"), F.avg(F.when(present, F.col("recall"))).alias("balanced_accuracy"))
+    return report.groupBy(*by).agg(F.avg(f1).alias("macro_f1"), F.avg(F.when(present, F.col("recall"))).alias("balanced_accuracy"))
 
 
 def class_medians(df: DataFrame, features: Sequence[str], truth: str = "y_true", pred: str | None = "y_pred") -> DataFrame:
@@ -62,9 +63,7 @@ def auc_table(df: DataFrame, features: Sequence[str], labels: Sequence[str] = CL
     """
     counts = unpivoted(df, features, truth).groupBy("feature", "value", truth).agg(F.count("*").alias("n"))
     by_value = counts.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(truth, "n"))).alias("of"))
-    w = Window.partitionBy("feature").orderBy("value")
-    below = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_value.withColumn("rank", below + (F.col("n") + 1) / 2.0)
+    ranked = cumulated(by_value, [F.col("value")], {"below": F.col("n")}, by=["feature"]).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
     names = F.explode(F.array(*[F.lit(c) for c in labels])).alias("name")
     own = F.coalesce(F.try_element_at("of", F.col("name")), F.lit(0))
     sums = ranked.select("feature", "n", "rank", "of", names).groupBy("name", "feature").agg(
@@ -74,6 +73,21 @@ def auc_table(df: DataFrame, features: Sequence[str], labels: Sequence[str] = CL
     return sums.select("name", "feature", F.coalesce(F.try_divide(u, F.col("n1") * F.col("n0")), F.lit(0.5)).alias("auc"))
 
 
+def pairwise_auc(df: DataFrame, features: Sequence[str], pairs: Sequence[tuple[str, str]], truth: str = "y_true") -> DataFrame:
+    """(name, other, feature, auc): rank AUC of one class against one other; 0.5 where either is empty."""
+    names = F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("other")) for a, b in pairs])).alias("pair")
+    rows = df.filter(F.col(truth).isin(sorted({c for p in pairs for c in p}))).select(truth, *features, names)
+    rows = rows.filter((F.col(truth) == F.col("pair.name")) | (F.col(truth) == F.col("pair.other")))
+    hit = F.col(truth) == F.col("pair.name")
+    counts = unpivoted(rows.withColumns({"name": F.col("pair.name"), "other": F.col("pair.other"), "hit": hit}), features, "name", "other", "hit")
+    by_value = counts.groupBy("name", "other", "feature", "value").agg(F.count_if("hit").alias("n1"), F.count_if(~F.col("hit")).alias("n0"))
+    placed = cumulated(by_value, [F.col("value")], {"below": F.col("n0")}, by=["name", "other", "feature"])
+    sums = placed.groupBy("name", "other", "feature").agg(
+        F.sum(F.col("n1") * (F.col("below") + F.col("n0") / 2.0)).alias("u"), F.sum("n1").cast("double").alias("n1"), F.sum("n0").cast("double").alias("n0")
+    )
+    return sums.select("name", "other", "feature", F.coalesce(F.try_divide(F.col("u"), F.col("n1") * F.col("n0")), F.lit(0.5)).alias("auc"))
+
+
 def auc_ranking(auc: DataFrame, top: int = 10) -> DataFrame:
     """The features farthest from 0.5, ties by name."""
     return auc.withColumn("gap", F.round(F.abs(F.col("auc") - 0.5), 9)).orderBy(F.desc("gap"), "name", "feature").limit(top)
@@ -82,27 +96,27 @@ def auc_ranking(auc: DataFrame, top: int = 10) -> DataFrame:
 # --- detection: scores p and the flag is_defect ---
 
 
-def roc_points(scores: DataFrame, p: str = "p", defect: str = "is_defect") -> DataFrame:
-    """(threshold, tp, fp, tpr, fpr) at every distinct score, descending."""
+def _roc(scores: DataFrame, p: str = "p", defect: str = "is_defect") -> DataFrame:
+    """(threshold, d, n, tp, fp, tpr, fpr, tpr0, fpr0) at every distinct score; the last two are those of the next higher score."""
     by = scores.groupBy(F.col(p).alias("threshold")).agg(F.count_if(F.col(defect)).alias("d"), F.count_if(~F.col(defect)).alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    above = cumulated(by, [F.desc("threshold")], {"tp0": F.col("d"), "fp0": F.col("n")})
     sums = by.agg(F.sum("d").alias("all_d"), F.sum("n").alias("all_n"))
-    return (
-        by.withColumns({"tp": F.sum("d").over(down), "fp": F.sum("n").over(down)})
-        .crossJoin(F.broadcast(sums))
-        .select("threshold", "tp", "fp", ratio(F.col("tp"), F.col("all_d")).alias("tpr"), ratio(F.col("fp"), F.col("all_n")).alias("fpr"))
-    )
+    both = above.withColumns({"tp": F.col("tp0") + F.col("d"), "fp": F.col("fp0") + F.col("n")}).crossJoin(F.broadcast(sums))
+    shares = {f"{k}r{x}": ratio(F.col(f"{k}p{x}"), F.col(total)) for k, total in (("t", "all_d"), ("f", "all_n")) for x in ("", "0")}
+    return both.select("threshold", "d", "n", "tp", "fp", shares["tr"].alias("tpr"), shares["fr"].alias("fpr"), shares["tr0"].alias("tpr0"), shares["fr0"].alias("fpr0"))
+
+
+def roc_points(scores: DataFrame, p: str = "p", defect: str = "is_defect") -> DataFrame:
+    """(threshold, tp, fp, tpr, fpr) at every distinct score."""
+    return _roc(scores, p, defect).select("threshold", "tp", "fp", "tpr", "fpr")
 
 
 def average_precision(scores: DataFrame, **columns: str) -> DataFrame:
     """(auc, average_precision): trapezoids of the ROC polyline, step sum of precision over recall."""
-    w = Window.orderBy(F.desc("threshold"))
-    last = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    steps = roc_points(scores, **columns).select(
-        ((F.col("fpr") - last("fpr")) * (F.col("tpr") + last("tpr")) / 2).alias("area"),
-        ((F.col("tpr") - last("tpr")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("step"),
+    return _roc(scores, **columns).agg(
+        F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2).alias("auc"),
+        F.sum((F.col("tpr") - F.col("tpr0")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"),
     )
-    return steps.agg(F.sum("area").alias("auc"), F.sum("step").alias("average_precision"))
 
 
 FAR = (0.005, 0.01, 0.02, 0.05, 0.10)
@@ -123,11 +137,19 @@ def recall_at_far(scores: DataFrame, grid: Sequence[float] = FAR, **columns: str
 
 def far_thresholds(scores: DataFrame, grid: Sequence[float] = FAR, p: str = "p", defect: str = "is_defect") -> DataFrame:
     """(far, threshold): the exact, linearly interpolated quantile of normal scores; 0.5 without normals."""
-    normal = F.when(~F.col(defect), F.col(p))
-    cuts = F.percentile(normal, F.array(*[F.lit(1.0 - f) for f in grid]))
-    pairs = scores.agg(cuts.alias("t")).select(F.posexplode(F.coalesce("t", F.array(*[F.lit(0.5)] * len(grid)))).alias("i", "threshold"))
-    far = F.element_at(F.array(*[F.lit(float(f)) for f in grid]), F.col("i") + 1)
-    return pairs.select(far.alias("far"), F.coalesce("threshold", F.lit(0.5)).alias("threshold"))
+    cuts = quantiles(scores.filter(~F.col(defect)), p, [1.0 - f for f in grid])
+    far = F.element_at(F.create_map(*[F.lit(float(x)) for f in grid for x in (1.0 - f, f)]), F.col("share"))
+    return cuts.select(far.alias("far"), F.coalesce("quantile", F.lit(0.5)).alias("threshold"))
+
+
+def end_to_end(df: DataFrame, truth: str = "y_true", pred: str = "y_cascade", none: str = "NONE") -> DataFrame:
+    """(none_precision, none_recall, review_frac) of a cascade's verdicts; precision 0 where nothing is passed as ``none``."""
+    same = ((F.col(truth) == none) & (F.col(pred) == none)).cast("double")
+    return df.agg(
+        F.coalesce(F.avg(F.when(F.col(pred) == none, same)), F.lit(0.0)).alias("none_precision"),
+        F.avg(F.when(F.col(truth) == none, same)).alias("none_recall"),
+        F.avg((F.col(pred) != none).cast("double")).alias("review_frac"),
+    )
 
 
 def operating_points(scores: DataFrame, grid: Sequence[float] = FAR, p: str = "p", defect: str = "is_defect") -> DataFrame:

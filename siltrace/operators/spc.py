@@ -1,30 +1,37 @@
 """Statistical process control charts over an ordered stream of predictions.
 
 Rows are numbered by counts of coarse time buckets plus a place within the bucket, so that no task sorts the whole stream.
-Everything after subgrouping works on one row for each chart and subgroup.
+One pass over them counts blocks of the smallest subgroup size; that table is written, and everything after it works on it.
+Recurrences (groups of whole lots, EWMA) are cut into blocks whose outcomes are joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import ceil, log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltrace.functions.columns import clip
+from siltrace.sources.stored import written
 
 RULES = ("R1", "R2", "R3", "R4", "EWMA")
+RUN_RANGE, RUN_BLOCK = 100_000, 4096  # rows, and runs, that one task handles
 LAMBDA, LIMIT, D2, MIN_EXPECTED = 0.2, 2.7, 1.128, 5.0
 
 
-def numbered(df: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
-    """Adds idx, the row's place from 0 in the total order ``order``; ``bucket`` must not decrease along it."""
+def numbered(df: DataFrame, order: Sequence[str], bucket: Column, name: str = "idx") -> DataFrame:
+    """Adds ``name``, the row's place from 0 in the total order ``order``; ``bucket`` must not decrease along it."""
     b = df.withColumn("_b", bucket)
     counts = b.groupBy("_b").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_b", before.alias("_before"))
     own = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return b.join(starts, "_b").withColumn("idx", F.col("_before") + own - 1).drop("_b", "_before")
+    return b.join(starts, "_b").withColumn(name, F.col("_before") + own - 1).drop("_b", "_before")
 
 
 def fixed_groups(rows: DataFrame, size: Column, total: Column) -> DataFrame:
@@ -37,52 +44,94 @@ def fixed_groups(rows: DataFrame, size: Column, total: Column) -> DataFrame:
 def lot_runs(rows: DataFrame, lot: str = "lot") -> DataFrame:
     """(run, first_idx, size, lot) of consecutive rows of one lot, from rows with idx.
 
-    A row starts a run if its predecessor has another lot; predecessors meet in an equi-join on idx."""
+    A row starts a run if its predecessor has another lot; predecessors meet in an equi-join on idx.  Runs are numbered over
+    ranges of idx, and a run ends where the next begins, which is again an equi-join."""
     before = rows.select((F.col("idx") + 1).alias("idx"), F.col(lot).alias("_prev"))
     starts = rows.join(before, "idx", "left").filter(~F.col(lot).eqNullSafe(F.col("_prev")) | (F.col("idx") == 0)).select("idx", lot)
-    w = Window.orderBy("idx")
+    own = written(numbered(starts, ("idx",), F.floor(F.col("idx") / RUN_RANGE), "run"), "lot-runs")
     total = rows.agg((F.max("idx") + 1).alias("_total"))
-    ends = F.coalesce(F.lead("idx").over(w), F.col("_total"))
-    return starts.crossJoin(F.broadcast(total)).select((F.row_number().over(w) - 1).alias("run"), F.col("idx").alias("first_idx"), (ends - F.col("idx")).alias("size"), lot)
+    follow = own.select((F.col("run") - 1).alias("run"), F.col("idx").alias("_next"))
+    return own.join(follow, "run", "left").crossJoin(F.broadcast(total)).select(
+        "run", F.col("idx").alias("first_idx"), (F.coalesce("_next", "_total") - F.col("idx")).alias("size"), lot
+    )
+
+
+def _merged(sizes: np.ndarray, target: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs merged in order from several starting fills ``held`` at once: (groups closed before each run, closed, fill at the end)."""
+    before, closed = np.zeros((len(sizes), len(held)), np.int64), np.zeros(len(held), np.int64)
+    for i, size in enumerate(sizes):
+        before[i] = closed
+        held = held + size
+        full = held >= target
+        closed = closed + full
+        held = np.where(full, 0, held)
+    return before, closed, held
 
 
 def lot_groups(runs: DataFrame, target: int) -> DataFrame:
     """(run, gid): runs merged in order until a group has ``target`` rows; -1 for a last group of less than half of that.
 
-    The rule has to see run sizes in order: they are folded in one array of one number a run, never a row.
+    How a block of runs is merged depends on its predecessors only through the rows that the open group holds when it begins,
+    a number below ``target``.  Every block is merged from all of these at once; chaining the blocks' outcomes gives each its
+    beginning, from which its groups are numbered.
     """
-    fold = F.aggregate(
-        F.transform(F.array_sort(F.collect_list(F.struct("run", "size"))), lambda s: s["size"]),
-        F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("out")),
-        lambda acc, size: F.struct(
-            F.when(acc["n"] + size >= target, acc["g"] + 1).otherwise(acc["g"]).alias("g"),
-            F.when(acc["n"] + size >= target, F.lit(0).cast("long")).otherwise(acc["n"] + size).alias("n"),
-            F.array_append(acc["out"], acc["g"]).alias("out"),
-        ),
-    )
-    folded = runs.agg(fold.alias("f"))
-    gid = lambda g: F.when((g == F.col("f.g")) & (2 * F.col("f.n") < target), F.lit(-1).cast("long")).otherwise(g)
-    return folded.select(F.posexplode(F.transform("f.out", gid)).alias("run", "gid"))
-
-
-def chart_rows(rows: DataFrame, classes: Sequence[str], conf_threshold: float = 0.7) -> DataFrame:
-    """(chart, idx, lot, hit): one row for each row and watched class, and LOW_CONFIDENCE where a confidence is there."""
+    block = F.floor(F.col("run") / RUN_BLOCK)
+    parts = runs.select(block.alias("block"), "run", "size")
+
+    def outcomes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sizes = table.sort_by("run")["size"].to_numpy()
+        _, closed, held = _merged(sizes, target, np.arange(target))
+        return pa.table({"block": [key[0].as_py()], "closed": pa.array([closed.tolist()], pa.list_(pa.int64())), "held": pa.array([held.tolist()], pa.list_(pa.int64()))})
+
+    def chained(table: pa.Table) -> pa.Table:
+        table, groups, held = table.sort_by("block"), 0, 0
+        rows = []
+        for b, closed, after in zip(*(table[c].to_pylist() for c in ("block", "closed", "held")), strict=True):
+            rows.append((b, groups, held))
+            groups, held = groups + closed[held], after[held]
+        names = ("block", "groups", "fill")
+        columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in names}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()} | {n: pa.array([v] * len(rows), pa.int64()) for n, v in (("last", groups), ("rest", held))})
+
+    def numbered_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("run")
+        before, _, _ = _merged(table["size"].to_numpy(), target, table["fill"].to_numpy()[:1])
+        gid = before[:, 0] + table["groups"].to_numpy()
+        short = (gid == table["last"].to_numpy()) & (2 * table["rest"].to_numpy() < target)
+        return pa.table({"run": table["run"], "gid": np.where(short, -1, gid)})
+
+    ends = parts.groupBy("block").applyInArrow(outcomes, "block long, closed array<long>, held array<long>")
+    begins = ends.groupBy().applyInArrow(chained, "block long, groups long, fill long, last long, rest long")
+    return parts.join(F.broadcast(begins), "block").groupBy("block").applyInArrow(numbered_runs, "run long, gid long")
+
+
+def chart_rows(rows: DataFrame, classes: Sequence[str], conf_threshold: float = 0.7, *keep: str) -> DataFrame:
+    """(chart, idx, lot, hit, keep...): one row for each row and watched class, and LOW_CONFIDENCE where a confidence is there."""
     watched = [F.struct(F.lit(c).alias("chart"), (F.col("y_pred") == c).cast("int").alias("hit")) for c in classes]
     if "confidence" in rows.columns:
         watched.append(F.struct(F.lit("LOW_CONFIDENCE").alias("chart"), (F.col("confidence") < conf_threshold).cast("int").alias("hit")))
-    return rows.select("idx", "lot", F.inline(F.array(*watched)))
+    return rows.select("idx", "lot", *keep, F.inline(F.array(*watched)))
 
 
 def adaptive_sizes(hits: DataFrame, base_size: int, n_base_rows: int) -> DataFrame:
     """(chart, size, total): the multiple of base_size at which five hits are expected; charts without baseline hits drop out."""
-    stats = hits.groupBy("chart").agg(F.avg(F.when(F.col("idx") < n_base_rows, F.col("hit"))).alias("p0"), (F.max("idx") + 1).alias("total"))
+    return _sizes(hits.groupBy("chart").agg(F.avg(F.when(F.col("idx") < n_base_rows, F.col("hit"))).alias("p0"), (F.max("idx") + 1).alias("total")), base_size)
+
+
+def _sizes(stats: DataFrame, base_size: int) -> DataFrame:
     size = F.ceil(MIN_EXPECTED / F.col("p0") / base_size) * base_size
     return stats.filter("p0 > 0").select("chart", size.cast("long").alias("size"), "total")
 
 
 def subgroups(grouped: DataFrame) -> DataFrame:
     """(chart, gid, n, count, end_idx, lots) from (chart, gid, idx, lot, hit); lots names the first three."""
-    firsts = grouped.filter("gid >= 0").groupBy("chart", "gid", "lot").agg(F.count("*").alias("n"), F.sum("hit").alias("hit"), F.max("idx").alias("last"), F.min("idx").alias("first"))
+    return _joined_lots(grouped.select("chart", "gid", "lot", F.lit(1).cast("long").alias("n"), "hit", F.col("idx").alias("first"), F.col("idx").alias("last")))
+
+
+def _joined_lots(parts: DataFrame) -> DataFrame:
+    """Subgroups from parts of them: (chart, gid, lot, n, hit, first, last)."""
+    sums = [F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.max("last").alias("last"), F.min("first").alias("first")]
+    firsts = parts.filter("gid >= 0").groupBy("chart", "gid", "lot").agg(*sums)
     names = F.transform(F.array_sort(F.collect_list(F.struct("first", "lot"))), lambda s: s["lot"])
     return firsts.groupBy("chart", "gid").agg(
         F.sum("n").alias("n"),
@@ -153,18 +202,24 @@ def western_electric(points: DataFrame, key: str = "chart", order: str = "i", z:
 
 
 def ewma(points: DataFrame, key: str = "chart", order: str = "i", z: str = "z", lam: float = LAMBDA, limit: float = LIMIT) -> DataFrame:
-    """(key, order, ewma, ewma_limit): the recurrence is a fold over each chart's ordered groups."""
-    zs = F.transform(F.array_sort(F.collect_list(F.struct(order, z))), lambda s: s[z])
-    at = F.transform(F.array_sort(F.collect_list(F.struct(order, z))), lambda s: s[order])
-    fold = F.aggregate(
-        zs,
-        F.array().cast("array<double>"),
-        lambda acc, v: F.array_append(acc, v * lam + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * (1 - lam)),
-    )
-    series = points.groupBy(key).agg(fold.alias("e"), at.alias("at"))
-    own = series.select(key, F.posexplode(F.arrays_zip("at", "e")).alias("k", "s"))
-    bound = limit * F.sqrt(lam / (2 - lam) * (1 - F.pow(F.lit(1.0 - lam), 2.0 * (F.col("k") + 1))))
-    return own.select(key, F.col("s.at").alias(order), F.col("s.e").alias("ewma"), bound.alias("ewma_limit"))
+    """(key, order, ewma, ewma_limit): the recurrence e = lam * z + (1 - lam) * e over each chart's ordered groups, from e = 0.
+
+    ``order`` counts from 0 without gaps.  Within a block of groups the recurrence is a weighted prefix sum; a block begins
+    with what the blocks before it leave, of which all but the last few have decayed below the precision of a double.
+    """
+    keep = 1.0 - lam
+    length = max(1, ceil(log(1e-6) / log(keep))) if 0 < keep < 1 else 1
+    place = F.col(order)
+    rows = points.select(key, order, z).withColumn("_b", F.floor(place / length)).withColumn("_k", place % length)
+    w = Window.partitionBy(key, "_b").orderBy(order)
+    power = lambda c: F.pow(F.lit(keep), c)
+    rows = rows.withColumn("_e", power(F.col("_k")) * F.sum(lam * F.col(z) * power(-F.col("_k"))).over(w))
+    left = rows.filter(F.col("_k") == length - 1)
+    later = F.explode(F.array(*[F.struct((F.col("_b") + m).alias("_b"), F.lit(keep ** (length * (m - 1))).alias("_w")) for m in range(1, 5)])).alias("t")
+    begin = left.select(key, "_e", later).groupBy(key, F.col("t._b").alias("_b")).agg(F.sum(F.col("_e") * F.col("t._w")).alias("_begin"))
+    value = F.col("_e") + power(F.col("_k") + 1) * F.coalesce("_begin", F.lit(0.0))
+    bound = limit * F.sqrt(lam / (2 - lam) * (1 - power(2.0 * (place + 1))))
+    return rows.join(begin, [key, "_b"], "left").select(key, order, value.alias("ewma"), bound.alias("ewma_limit"))
 
 
 def finished(points: DataFrame) -> DataFrame:
@@ -173,23 +228,69 @@ def finished(points: DataFrame) -> DataFrame:
     return both.withColumn("above_ewma", F.abs("ewma") > F.col("ewma_limit"))
 
 
-def build_charts(rows: DataFrame, classes: Sequence[str], base_size: int = 25, n_base_rows: int = 2500, conf_threshold: float = 0.7, laney: bool = True) -> DataFrame:
-    """All charts of numbered rows (idx, lot, y_pred[, confidence, fail_frac]): long table of finished points."""
-    hits = chart_rows(rows, classes, conf_threshold)
-    sizes = adaptive_sizes(hits, base_size, n_base_rows)
-    grouped = fixed_groups(hits.join(F.broadcast(sizes), "chart"), F.col("size"), F.col("total"))
-    groups = with_baseline(subgroups(grouped), n_base_rows)
+def counted_blocks(rows: DataFrame, classes: Sequence[str], base_size: int, n_base_rows: int, conf_threshold: float = 0.7, block: Column | None = None) -> DataFrame:
+    """(chart, block, lot, n, hit, first, last, n_start, hit_start) of each block of ``base_size`` numbered rows, or of a given
+    block: the only pass over the stream.  *_start count the rows of the baseline."""
+    start = F.col("idx") < n_base_rows
+    hits = chart_rows(rows if block is None else rows.withColumn("block", block), classes, conf_threshold, *([] if block is None else ["block"]))
+    own = F.floor(F.col("idx") / base_size) if block is None else F.col("block")
+    return hits.groupBy("chart", own.alias("block"), "lot").agg(
+        F.count("*").alias("n"),
+        F.sum("hit").alias("hit"),
+        F.min("idx").alias("first"),
+        F.max("idx").alias("last"),
+        F.count_if(start).alias("n_start"),
+        F.sum(F.when(start, F.col("hit")).otherwise(0)).alias("hit_start"),
+    )
+
+
+def build_charts(
+    rows: DataFrame,
+    classes: Sequence[str],
+    base_size: int = 25,
+    n_base_rows: int = 2500,
+    conf_threshold: float = 0.7,
+    laney: bool = True,
+    by_lot: bool = False,
+) -> DataFrame:
+    """All charts of numbered rows (idx, lot, y_pred[, confidence, fail_frac]): long table of finished points.
+
+    Subgroups hold the multiple of ``base_size`` rows at which five hits are expected, each chart its own; or, ``by_lot``,
+    whole runs of lots merged until they hold as many.
+    """
+    if by_lot:
+        runs = written(lot_runs(rows), "lot-runs")
+        places = runs.select("run", F.explode(F.sequence("first_idx", F.col("first_idx") + F.col("size") - 1)).alias("idx"))
+        rows = rows.join(places, "idx")
+    blocks = written(counted_blocks(rows, classes, base_size, n_base_rows, conf_threshold, F.col("run") if by_lot else None), "blocks")
+    stats = blocks.groupBy("chart").agg(F.try_divide(F.sum("hit_start").cast("double"), F.sum("n_start").cast("double")).alias("p0"), (F.max("last") + 1).alias("total"))
+    sizes = written(_sizes(stats, base_size), "sizes")
+    placed = blocks.join(F.broadcast(sizes), "chart")
+    if by_lot:
+        wanted = sorted({r["size"] for r in sizes.select("size").distinct().collect()})  # at most one for each chart
+        parts = [placed.filter(F.col("size") == n).join(_gids(runs, n), F.col("block") == F.col("run")) for n in wanted]
+        grouped = reduce(DataFrame.unionByName, parts) if parts else placed.withColumn("gid", F.col("block")).limit(0)
+    else:
+        grouped = fixed_groups(placed.withColumn("idx", F.col("block") * base_size), F.col("size"), F.col("total"))
+    groups = with_baseline(_joined_lots(grouped), n_base_rows)
     enough = F.count("*").over(Window.partitionBy("chart")) - F.col("n_base") >= 2
     charts = p_chart(groups.withColumn("ok", enough).filter("ok").drop("ok"), laney).withColumn("kind", F.lit("p"))
     if "fail_frac" in rows.columns:
-        total = rows.agg((F.max("idx") + 1).alias("total"))
-        cells = fixed_groups(rows.crossJoin(F.broadcast(total)), F.lit(base_size), F.col("total")).filter("gid >= 0")
-        means = cells.groupBy(F.lit("FAIL_FRAC_MEAN").alias("chart"), "gid").agg(
+        if by_lot:
+            cells = rows.join(_gids(runs, base_size), "run")
+        else:
+            total = rows.agg((F.max("idx") + 1).alias("total"))
+            cells = fixed_groups(rows.crossJoin(F.broadcast(total)), F.lit(base_size), F.col("total"))
+        means = cells.filter("gid >= 0").groupBy(F.lit("FAIL_FRAC_MEAN").alias("chart"), "gid").agg(
             F.count("*").alias("n"), F.max("idx").alias("end_idx"), F.avg("fail_frac").alias("value")
         )
         own = mean_chart(with_baseline(means, n_base_rows)).withColumn("kind", F.lit("mean"))
         charts = charts.unionByName(own, allowMissingColumns=True)
-    return finished(charts)
+    return finished(written(charts, "chart-points"))
+
+
+def _gids(runs: DataFrame, target: int) -> DataFrame:
+    return written(lot_groups(runs, target), "lot-groups")
 
 
 def alarms(points: DataFrame) -> DataFrame:
