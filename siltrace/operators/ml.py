@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
@@ -12,22 +13,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltrace.operators.metrics import macro_f1
+from siltrace.operators.ranks import cumulated
 from siltrace.sources.dimensions import CLASSES
+from siltrace.sources.stored import written
 
 
-def lot_split(df: DataFrame, seed: int, test_frac: float = 0.3, lot: str = "lot") -> DataFrame:
-    """Adds is_test: whole lots, the ``test_frac`` share of all lots with the smallest hash of (seed, lot).
+def _digits(*parts: Column) -> Column:
+    """A number below 2**32 from the md5 of its parts, which other engines compute alike."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+
 
-    The cut is the exact quantile of the lots' hashes, so that the share is met without listing lots anywhere.
-    """
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(lot).cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    cut = df.select(lot).distinct().agg(F.percentile(place, test_frac).alias("c"), F.count("*").alias("n")).first()
-    return df.withColumn("is_test", F.lit(bool(cut["n"])) & (place < float(cut["c"] or 0.0)))
+def lot_split(df: DataFrame, seed: int, test_frac: float = 0.3, lot: str = "lot") -> DataFrame:
+    """Adds is_test: whole lots, ``test_frac`` of them rounded down, those whose md5 of seed and lot comes first."""
+    place = _digits(F.lit(str(seed)), F.col(lot).cast("string"))
+    lots = df.select(lot).distinct().withColumn("_place", place)
+    total = lots.agg(F.count("*").alias("_lots"))
+    ranked = cumulated(lots, [F.col("_place"), F.col(lot)], {"_rank": F.lit(1)}).crossJoin(F.broadcast(total))
+    return df.join(ranked.select(lot, (F.col("_rank") < F.floor(F.col("_lots") * test_frac + 1e-9)).alias("is_test")), lot)
 
 
 def group_folds(df: DataFrame, folds: int = 4, group: str = "lot") -> DataFrame:
-    """Adds fold: whole groups by hash; all rows of a group share one fold."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(group).cast("string")), F.lit(folds)).cast("int"))
+    """Adds fold: whole groups, dealt from the largest to the smallest back and forth over the folds, so that folds are of like size."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
+    ranked = cumulated(sizes, [F.desc("_n"), F.col(group)], {"_rank": F.lit(1)})
+    turn = F.col("_rank") % (2 * folds)
+    return df.join(ranked.select(group, F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int").alias("fold")), group)
 
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -63,35 +73,78 @@ def boosted(iterations: int = 20, seed: int = 42) -> OneVsRest:
 
 def trained_predictions(df: DataFrame, features: Sequence[str], model, seed: int = 42, classes: Sequence[str] = CLASSES) -> DataFrame:
     """Test rows with y_pred of a model fitted on the other lots."""
-    rows = assembled(df.withColumn("code", class_code(classes=classes)).filter("code IS NOT NULL"), features)
-    split = lot_split(rows, seed)
+    rows = df.withColumn("code", class_code(classes=classes)).filter("code IS NOT NULL")
+    split = assembled(written(lot_split(rows, seed), "split"), features)
     fitted = model.fit(balanced(split.filter("NOT is_test")))
+    scored = _named(fitted.transform(split.filter("is_test")), classes)
+    return scored.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def _named(scored: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:
     names = F.array(*[F.lit(c) for c in classes])
-    scored = fitted.transform(split.filter("is_test"))
-    return scored.withColumn("y_pred", F.element_at(names, F.col("prediction").cast("int") + 1)).drop("features", "rawPrediction", "probability", "prediction")
-
-
-def tree_depth(df: DataFrame, features: Sequence[str], depths: Sequence[int] = (3, 4, 5, 6, 8, 10), folds: int = 4) -> int:
-    """The depth of best mean macro-F1 over group folds of the training lots; the first of equals."""
-    rows = group_folds(assembled(df.withColumn("code", class_code()).filter("code IS NOT NULL"), features), folds).persist()
-    try:
-        means = []
-        names = F.array(*[F.lit(c) for c in CLASSES])
-        for d in depths:
-            scores = []
-            for k in range(folds):
-                fitted = tree(d).fit(balanced(rows.filter(F.col("fold") != k)))
-                scored = fitted.transform(rows.filter(F.col("fold") == k)).withColumn("y_pred", F.element_at(names, F.col("prediction").cast("int") + 1))
-                scores.append(macro_f1(scored).first()["macro_f1"])
-            means.append(float(np.mean(scores)))
-        return depths[int(np.argmax(means))]
-    finally:
-        rows.unpersist()
-
-
-def out_of_fold(df: DataFrame, features: Sequence[str], defect: str = "is_defect", folds: int = 4, group: str = "lot", trees: int = 20) -> DataFrame:
+    return scored.withColumn("y_pred", F.element_at(names, F.col("prediction").cast("int") + 1))
+
+
+def _coded(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return assembled(df.withColumn("code", class_code()).filter("code IS NOT NULL"), features)
+
+
+def fold_scores(df: DataFrame, features: Sequence[str], models: Mapping[float, object], folds: int = 4) -> dict[float, float]:
+    """Mean macro-F1 of each model over group folds; rows of held-out groups are scored by models that never saw them."""
+    rows = written(group_folds(_coded(df, features), folds), "folds")
+    held = [(rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)) for k in range(folds)]
+    held = [(a, b) for a, b in held if not a.isEmpty() and not b.isEmpty()]
+    score = lambda m, a, b: macro_f1(_named(m.fit(balanced(a)).transform(b))).first()["macro_f1"]
+    return {name: float(np.mean([score(m, a, b) for a, b in held])) if held else 0.0 for name, m in models.items()}
+
+
+def _first_best(scores: Mapping[float, float]) -> float:
+    return max(scores, key=lambda k: (round(scores[k], 9), -list(scores).index(k)))
+
+
+DEPTHS, LEAVES, SEEDS = (3, 4, 5, 6, 8, 10), (1, 2, 4, 8, 16), (42, 0, 1, 2, 3)
+
+
+def tree_depth(df: DataFrame, features: Sequence[str], depths: Sequence[int] = DEPTHS, folds: int = 4) -> int:
+    """The depth of best mean macro-F1 over group folds; the first of equals."""
+    return _first_best(fold_scores(df, features, {d: tree(d) for d in depths}, folds))
+
+
+def searched_tree(df: DataFrame, features: Sequence[str], seed: int = 42, depths: Sequence[int] = DEPTHS) -> DataFrame:
+    """Test rows with y_pred of a tree whose depth was chosen on the training lots alone."""
+    split = written(lot_split(df, seed), "split")
+    depth = tree_depth(split.filter("NOT is_test").drop("is_test"), features, depths)
+    return trained_predictions(df, features, tree(depth, seed), seed)
+
+
+def leaf_scan(df: DataFrame, features: Sequence[str], leaves: Sequence[int] = LEAVES, trees: int = 400, depth: int = 15, seed: int = 42, folds: int = 4) -> list[tuple]:
+    """(leaf, inner, train, test, chosen) of forests by least rows in a leaf: macro-F1 over group folds of the training lots, on
+    these and on the test lots.  The choice looks at the first alone, the first of equals."""
+    split = written(lot_split(_coded(df, features).drop("features"), seed), "split")
+    own, test = split.filter("NOT is_test").drop("is_test"), split.filter("is_test").drop("is_test")
+    inner = fold_scores(own.drop("code"), features, {k: forest(trees, k, depth, seed) for k in leaves}, folds)
+    chosen, out = _first_best(inner), []
+    for k in leaves:
+        fitted = forest(trees, k, depth, seed).fit(balanced(assembled(own, features)))
+        ends = [macro_f1(_named(fitted.transform(assembled(part, features)))).first()["macro_f1"] for part in (own, test)]
+        out.append((k, inner[k], *ends, k == chosen))
+    return out
+
+
+def paired_fits(df: DataFrame, models: Mapping[str, tuple[object, Sequence[str]]], seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """(model, seed, f1) of each (model, features) on the test lots of each seed's split, all models on the same splits."""
+    out = None
+    for seed in seeds:
+        for name, (model, features) in models.items():
+            found = trained_predictions(df, features, model, seed)
+            part = macro_f1(found).select(F.lit(name).alias("model"), F.lit(seed).alias("seed"), F.col("macro_f1").alias("f1"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def out_of_fold(df: DataFrame, features: Sequence[str], defect: str = "is_defect", folds: int = 4, group: str = "lot", trees: int = 200) -> DataFrame:
     """Adds p, the defect probability of a forest that never saw the row's group; 0 where it saw no defect."""
-    rows = group_folds(assembled(df.withColumn("code", F.col(defect).cast("double")), features), folds, group)
+    rows = assembled(written(group_folds(df.withColumn("code", F.col(defect).cast("double")), folds, group), "folds"), features)
     parts = []
     for k in range(folds):
         train, held = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
@@ -110,3 +163,10 @@ def out_of_fold(df: DataFrame, features: Sequence[str], defect: str = "is_defect
 
 def importances(model, features: Sequence[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+
+
+def tree_text(df: DataFrame, features: Sequence[str], depth: int = 8, seed: int = 42) -> str:
+    """The splits of a tree fitted on the training lots, with the features' names."""
+    split = _coded(lot_split(df, seed), features)
+    text = tree(depth, seed).fit(balanced(split.filter("NOT is_test"))).toDebugString
+    return re.sub(r"feature (\d+)", lambda m: features[int(m[1])], text)
