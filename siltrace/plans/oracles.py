@@ -313,7 +313,8 @@ _add(
 FROM acc a JOIN acc b ON b.seed = a.seed AND b.model = 'default' GROUP BY a.model""",
     DIES, GLOBAL,
     f"rows2 AS (SELECT lot % 5 AS seed, y_true, 'default' AS model, {_rule(DEFAULT)} AS y_pred FROM g UNION ALL SELECT lot % 5, y_true, 'calibrated', {_rule({k: v for k, v in CALIBRATED.items() if k in DEFAULT})} FROM g)",
-    "acc AS (SELECT model, seed, avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS f1 FROM rows2 GROUP BY model, seed)",
+    _MACRO.format(key="model, seed,", rows="rows2", names=_values(CLASSES)),
+    "acc AS (SELECT model, seed, avg(coalesce(f1, 0)) AS f1 FROM f1 GROUP BY model, seed)",
 )
 _add(
     "operating_curve",
@@ -509,3 +510,63 @@ _add(
     "SELECT (SELECT count(*) FROM (SELECT lot FROM rates WHERE rate > 0.3::DOUBLE INTERSECT SELECT lot FROM hist WHERE tool = 2)) AS both, (SELECT count(*) FROM (SELECT lot FROM rates WHERE rate > 0.3::DOUBLE UNION SELECT lot FROM hist WHERE tool = 2)) AS either",
     _traced(), HISTORY,
 )
+
+# --- splits, labels, lots as subgroups ---
+
+_MD5 = "CAST('0x' || substr(md5('42:' || CAST(lot AS VARCHAR)), 1, 8) AS BIGINT)"
+_add(
+    "lot_split",
+    "SELECT wafer, g.lot, k < floor(n * 0.3::DOUBLE + 1e-9::DOUBLE) AS is_test FROM g JOIN ls USING (lot)",
+    DIES, GLOBAL,
+    f"ls AS (SELECT lot, row_number() OVER (ORDER BY {_MD5}, lot) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT lot FROM g))",
+)
+_add(
+    "lot_folds",
+    "SELECT wafer, g.lot, CAST(CASE WHEN k % 8 < 4 THEN k % 8 ELSE 7 - k % 8 END AS BIGINT) AS fold FROM g JOIN lf USING (lot)",
+    DIES, GLOBAL,
+    "lf AS (SELECT lot, row_number() OVER (ORDER BY n DESC, lot) - 1 AS k FROM (SELECT lot, count(*) AS n FROM g GROUP BY lot))",
+)
+_add(
+    "pairwise_auc",
+    """SELECT name, other, feature, round(coalesce(sum(CASE WHEN a.value > b.value THEN 1.0::DOUBLE WHEN a.value = b.value THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / nullif(count(b.value), 0), 0.5::DOUBLE), 6) AS auc
+FROM (VALUES ('EDGE_LOC', 'LOC'), ('SCRATCH', 'LOC')) AS p(name, other) CROSS JOIN (SELECT DISTINCT feature FROM u) f
+JOIN u a ON a.y_true = name AND a.feature = f.feature JOIN u b ON b.y_true = other AND b.feature = f.feature GROUP BY name, other, f.feature""".replace("SELECT name, other, feature", "SELECT name, other, f.feature AS feature"),
+    DIES, GLOBAL, AUC,
+)
+_add(
+    "cascade_none",
+    """SELECT round(coalesce(avg(CASE WHEN y_true = 'NONE' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (y_pred = 'NONE'), 0), 6) AS none_precision,
+  round(avg(CASE WHEN y_pred = 'NONE' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (y_true = 'NONE'), 6) AS none_recall,
+  round(avg(CASE WHEN y_pred <> 'NONE' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS review_frac FROM ca""",
+    DIES, GLOBAL, VERDICT, NINE,
+    "ca AS (SELECT y_true, CASE WHEN fail_frac > 0.05::DOUBLE THEN y_pred ELSE 'NONE' END AS y_pred FROM nine)",
+)
+_SHOWN = "(SELECT DISTINCT wafer, lot, y_true FROM dies)"
+_add("labelled_wafers", f"SELECT CAST(lot AS BIGINT) AS lot, wafer AS wafer_index, CASE y_true WHEN 'CLEAN' THEN 'NONE' ELSE y_true END AS y_true, CAST(31 AS BIGINT) AS height FROM {_SHOWN} WHERE wafer % 7 <> 0", DIES)
+_add(
+    "raw_labels",
+    f"""SELECT CASE WHEN wafer % 7 = 0 THEN NULL ELSE CASE y_true WHEN 'CLEAN' THEN 'none' WHEN 'CENTER' THEN 'Center' WHEN 'DONUT' THEN 'Donut' WHEN 'EDGE_LOC' THEN 'Edge-Loc' WHEN 'EDGE_RING' THEN 'Edge-Ring'
+  WHEN 'LOC' THEN 'Loc' WHEN 'NEAR_FULL' THEN 'Near-full' WHEN 'RANDOM' THEN 'Random' WHEN 'SCRATCH' THEN 'Scratch' END END AS ftype, count(*) AS n FROM {_SHOWN} GROUP BY 1""",
+    DIES,
+)
+_add("map_shapes", f"SELECT count(DISTINCT CASE WHEN wafer % 3 <> 0 THEN 31 ELSE 31 - wafer % 4 END) AS n_shapes FROM {_SHOWN}", DIES)
+ORACLES["ordered_predictions"] = (
+    "SELECT event_id, CAST(event_id // 17 AS VARCHAR) AS lot, event_type AS y_pred, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0"
+)
+# Whole runs merged until they hold a chart's size, one chart after the other; the last open group counts from half of it.
+_add(
+    "p_chart_by_lot",
+    f"SELECT chart, {_n('i', 'n', 'count', 'end_idx')}, {_r('value', 'center', 'sigma', 'z')} FROM ch",
+    _stream(False),
+    "ch0 AS (SELECT idx, run_lot, CASE WHEN run_lot IS DISTINCT FROM lag(run_lot) OVER (ORDER BY idx) OR idx = 0 THEN 1 ELSE 0 END AS new FROM st)",
+    "rn AS (SELECT *, sum(new) OVER (ORDER BY idx) - 1 AS run FROM ch0)",
+    "runs AS (SELECT CAST(run AS BIGINT) AS run, count(*) AS len FROM rn GROUP BY run)",
+    _GROUPS.strip().split(",\n")[0],
+    """f(chart, size, run, gid, n) AS (SELECT chart, size, run, 0::BIGINT, len FROM sz, runs WHERE run = 0 UNION ALL
+  SELECT f.chart, f.size, r.run, CASE WHEN f.n >= f.size THEN f.gid + 1 ELSE f.gid END, CASE WHEN f.n >= f.size THEN r.len ELSE f.n + r.len END FROM f JOIN runs r ON r.run = f.run + 1)""",
+    "tail AS (SELECT chart, arg_max(gid, run) AS gid, arg_max(n, run) AS n, any_value(size) AS size FROM f GROUP BY chart)",
+    """sg AS (SELECT h.chart, f.gid, count(*) AS n, sum(hit) AS count, max(h.idx) AS end_idx FROM hit h JOIN rn USING (idx) JOIN f ON f.chart = h.chart AND f.run = rn.run
+  JOIN tail t ON t.chart = h.chart WHERE NOT (f.gid = t.gid AND 2 * t.n < t.size) GROUP BY h.chart, f.gid)""",
+    *_GROUPS.strip().split(",\n")[4:],
+    recursive=True,
+)

@@ -17,7 +17,8 @@ from siltrace.operators import rules as R
 from siltrace.operators import spc as S
 from siltrace.plans import adapters as A
 from siltrace.sources import tables as T
-from siltrace.sources.dimensions import CLASSES
+from siltrace.sources.dimensions import CLASSES, EXPECTED, RAW_LABELS, expected_patterns, mapped
+from siltrace.sources.stored import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,9 +41,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def _global(spark: SparkSession, sf: str) -> DataFrame:
-    cells = A.wafer_cells(spark, sf)
-    truth = cells.select("wafer", "lot", "pm", "y_true").groupBy("wafer", "lot", "pm", "y_true").agg(F.count("*").alias("_n")).drop("_n")
-    return W.global_features(D.die_positions(cells)).join(truth, "wafer")
+    return W.global_features(D.die_positions(A.wafer_cells(spark, sf)), carry=("lot", "pm", "y_true"))
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,11 +121,19 @@ def calib_sweep(spark, sf):
 @query
 def calibrated_rules(spark, sf):
     """Rules calibrated on training lots, applied to all wafers."""
-    g = L.lot_split(_global(spark, sf), seed=42)
-    best, _ = R.calibrate(g.filter("NOT is_test"), passes=1, grids={k: R.GRIDS[k] for k in ("center_r", "edge_r", "loc_dir")})
+    g = written(L.lot_split(_global(spark, sf), seed=42), "split")
+    best, _ = R.calibrate(g.filter("NOT is_test"))
     return g.select("wafer", "is_test", "y_true", R.pattern(best).alias("y_pred"))
 
 
+@query
+def calibrated_structural(spark, sf):
+    """Rules with structural parameters calibrated on training lots, applied to all wafers."""
+    f = written(L.lot_split(_features(spark, sf), seed=42), "split")
+    best, _ = R.calibrate(f.filter("NOT is_test"), structural=True)
+    return f.select("wafer", "is_test", "y_true", R.pattern(best, structural=True).alias("y_pred"))
+
+
 @query
 def radial_profile(spark, sf):
     return tidy(W.structural_die_features(_boxed(spark, sf)).select("wafer", *W.PROFILE))
@@ -187,8 +194,36 @@ def features28(spark, sf):
 def expected_match(spark, sf):
     """Verdicts that agree with the planted pattern; a blob among scattered fails may look random."""
     v = R.classified(_global(spark, sf))
-    allowed = F.when(F.col("y_true") == "LOC", F.array(F.lit("LOC"), F.lit("RANDOM"))).otherwise(F.array("y_true"))
-    return tidy(v.select("wafer", "y_true", "y_pred", F.array_contains(allowed, F.col("y_pred")).alias("matched")))
+    allowed = {p: (p,) for p in A.PLANTED} | {expected_patterns(m)[0]: expected_patterns(m) for m in EXPECTED} | {"LOC": ("LOC", "RANDOM")}
+    names = F.create_map(*[x for p, own in allowed.items() for x in (F.lit(p), F.array(*[F.lit(o) for o in own]))])
+    return tidy(v.select("wafer", "y_true", "y_pred", F.array_contains(F.element_at(names, F.col("y_true")), F.col("y_pred")).alias("matched")))
+
+
+@query
+def labelled_wafers(spark, sf):
+    """Wafers with a known label out of nested ones; every seventh has an empty label."""
+    return tidy(T.labelled(_raw_maps(spark, sf), include_none=True).select("lot", "wafer_index", "y_true", F.size("wafer_map").alias("height")))
+
+
+@query
+def raw_labels(spark, sf):
+    return T.label_distribution(_raw_maps(spark, sf))
+
+
+@query
+def map_shapes(spark, sf):
+    """Distinct shapes of maps, cut to their dies' rows."""
+    m = _raw_maps(spark, sf)
+    cut = F.filter("wafer_map", lambda row, i: (F.col("wafer_index") % 3 != 0) | (i >= F.col("wafer_index") % 4))
+    return T.map_shapes(m.withColumn("wafer_map", cut))
+
+
+def _raw_maps(spark: SparkSession, sf: str) -> DataFrame:
+    cells = A.wafer_cells(spark, sf).withColumn("wafer", F.struct("lot", "wafer", "y_true"))
+    raw = {v: k for k, v in RAW_LABELS.items()} | {"CLEAN": "none"}
+    label = mapped(raw, F.col("wafer.y_true"))
+    nested = F.when(F.col("wafer.wafer") % 7 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array(label)))
+    return D.die_map(cells).select("wafer.lot", F.col("wafer.wafer").alias("wafer_index"), "wafer_map", nested.alias("failure_type"))
 
 
 @query
@@ -239,9 +274,9 @@ def class_feature_medians(spark, sf):
     return tidy(M.class_medians(v, ("fail_frac", "r_mean", "r_std", "dir_c", "axial_c")))
 
 
-def _nine(v: DataFrame) -> DataFrame:
+def _nine(v: DataFrame, *keep: str) -> DataFrame:
     none = lambda c: F.when(F.col(c) == "CLEAN", "NONE").otherwise(F.col(c)).alias(c)
-    return v.select("wafer", none("y_true"), none("y_pred"))
+    return v.select("wafer", *keep, none("y_true"), none("y_pred"))
 
 
 @query
@@ -314,8 +349,7 @@ def miss_table(spark, sf):
 @query
 def cascade_eval(spark, sf):
     """Verdicts behind a first stage on the fail fraction, against a perfect first stage."""
-    v = _nine(R.classified(_global(spark, sf))).join(_global(spark, sf).select("wafer", "fail_frac"), "wafer")
-    v = M.cascade(v, 0.05, p="fail_frac").withColumn("y_perfect", F.when(F.col("y_true") == "NONE", "NONE").otherwise(F.col("y_pred")))
+    v = M.cascade(_nine(R.classified(_global(spark, sf)), "fail_frac"), 0.05, p="fail_frac").withColumn("y_perfect", F.when(F.col("y_true") == "NONE", "NONE").otherwise(F.col("y_pred")))
     ends = M.macro_f1(v, pred="y_cascade").select(F.col("macro_f1").alias("f1_cascade"))
     return tidy(ends.crossJoin(M.macro_f1(v, pred="y_perfect").select(F.col("macro_f1").alias("f1_perfect"))))
 
@@ -326,8 +360,22 @@ def paired_models(spark, sf):
     g = _global(spark, sf).withColumn("seed", F.col("lot") % 5)
     p = {k: v for k, v in R.CALIBRATED.items() if k in R.DEFAULT}
     rows = g.select("seed", "y_true", F.inline(F.array(F.struct(F.lit("default").alias("model"), R.pattern().alias("y_pred")), F.struct(F.lit("calibrated").alias("model"), R.pattern(p).alias("y_pred")))))
-    accuracy = rows.groupBy("model", "seed").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("f1"))
-    return tidy(M.paired_models(accuracy, "default"))
+    f1 = M.macro_f1(rows, by=("model", "seed")).select("model", "seed", F.col("macro_f1").alias("f1"))
+    return tidy(M.paired_models(f1, "default"))
+
+
+@query
+def pairwise_auc(spark, sf):
+    """How features tell patterns apart that are often mistaken for each other."""
+    f = _global(spark, sf).select("y_true", *[F.round(c, 9).alias(c) for c in W.GLOBAL])
+    return tidy(M.pairwise_auc(f, W.GLOBAL, (("EDGE_LOC", "LOC"), ("SCRATCH", "LOC"))))
+
+
+@query
+def cascade_none(spark, sf):
+    """What a first stage on the fail fraction passes as free of patterns."""
+    v = _nine(R.classified(_global(spark, sf)), "fail_frac")
+    return tidy(M.end_to_end(M.cascade(v, 0.05, p="fail_frac")))
 
 
 @query
@@ -365,6 +413,22 @@ def subgroups_fixed(spark, sf):
     return tidy(S.subgroups(S.fixed_groups(hits.crossJoin(F.broadcast(total)), F.lit(30), F.col("total"))))
 
 
+@query
+def ordered_predictions(spark, sf):
+    """Usable predictions in order of time: every eleventh is skipped, every thirteenth has no verdict."""
+    rows = A.spc_rows(spark, sf).select("ts", "event_id", F.col("run_lot").alias("lot"), "y_pred")
+    rows = rows.withColumns({"skipped": F.col("event_id") % 11 == 0, "y_pred": F.when(F.col("event_id") % 13 != 0, F.col("y_pred"))})
+    return tidy(T.predictions(rows, "ts", ("event_id",)).select("event_id", "lot", "y_pred", "idx"))
+
+
+@query
+def p_chart_by_lot(spark, sf):
+    """Charts whose subgroups are whole runs of lots."""
+    rows = _rows(spark, sf).withColumn("lot", F.col("run_lot"))
+    c = S.build_charts(rows, EVENT_TYPES, BASE_SIZE, _half(spark, sf), by_lot=True)
+    return tidy(c.select("chart", "i", "n", "count", "end_idx", "value", "center", "sigma", "z"))
+
+
 @query
 def subgroups_by_lot(spark, sf):
     rows = _rows(spark, sf).withColumn("lot", F.col("run_lot"))
@@ -429,7 +493,11 @@ def baseline_alarm_rate(spark, sf):
 
 
 def _traced(spark: SparkSession, sf: str, planted: bool = True) -> tuple[DataFrame, DataFrame]:
-    return C.lot_rates(A.history_hits(spark, sf, planted), hit="hit"), A.process_history(spark, sf)
+    return written(C.lot_rates(A.history_hits(spark, sf, planted), hit="hit"), "rates"), written(A.process_history(spark, sf), "history")
+
+
+def _tested(rates: DataFrame, history: DataFrame) -> DataFrame:
+    return written(C.commonality(rates, history), "commonality")
 
 
 @query
@@ -461,14 +529,14 @@ def bh_adjust(spark, sf):
 @query
 def confounding(spark, sf):
     rates, history = _traced(spark, sf)
-    t = C.confounding(rates, history, C.commonality(rates, history))
+    t = C.confounding(rates, history, _tested(rates, history))
     return tidy(t.select("step", "tool", "p_adj", "place", "confounded_with"))
 
 
 @query
 def verdict(spark, sf):
     rates, history = _traced(spark, sf)
-    t = C.verdicts(C.confounding(rates, history, C.commonality(rates, history)))
+    t = C.verdicts(C.confounding(rates, history, _tested(rates, history)))
     return tidy(t.select("step", "tool", "place", "verdict"))
 
 
@@ -485,7 +553,7 @@ def top_per_pattern(spark, sf):
 @query
 def tool_rates(spark, sf):
     rates, history = _traced(spark, sf)
-    return tidy(C.tool_rates(rates, history, C.commonality(rates, history)))
+    return tidy(C.tool_rates(rates, history, _tested(rates, history)))
 
 
 @query
@@ -496,7 +564,7 @@ def lot_overlap(spark, sf):
     return tidy(a.intersect(b).agg(F.count("*").alias("both")).crossJoin(a.union(b).distinct().agg(F.count("*").alias("either"))))
 
 
-# --- splits and trees (no SQL) ---
+# --- splits and trees ---
 
 
 @query
@@ -504,28 +572,51 @@ def lot_split(spark, sf):
     return L.lot_split(_global(spark, sf), seed=42).select("wafer", "lot", "is_test")
 
 
+@query
+def lot_folds(spark, sf):
+    return tidy(L.group_folds(_global(spark, sf)).select("wafer", "lot", "fold"))
+
+
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     names = [f"e{i}" for i in range(64)]
     e = A.read(spark, sf, "embeddings")
     return e.select("vec_id", (F.col("vec_id") % 40).alias("lot"), (F.col("label") == 0).alias("is_defect"), *[F.get("embedding", i).cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
+def _kept_features(spark: SparkSession, sf: str) -> DataFrame:
+    return written(_features(spark, sf), "features")
+
+
 @query
 def oof_scores(spark, sf):
     rows, names = _vectors(spark, sf)
-    return tidy(L.out_of_fold(rows, names, trees=10).select("vec_id", "lot", "fold", "is_defect", "p"))
+    return tidy(L.out_of_fold(rows, names).select("vec_id", "lot", "fold", "is_defect", "p"))
 
 
 @query
 def tree_pred(spark, sf):
-    return L.trained_predictions(_features(spark, sf), W.FEATURES[:17], L.tree()).select("wafer", "lot", "y_true", "y_pred")
+    return L.searched_tree(_kept_features(spark, sf), W.FEATURES[:17]).select("wafer", "lot", "y_true", "y_pred")
 
 
 @query
 def rf_pred(spark, sf):
-    return L.trained_predictions(_features(spark, sf), W.FEATURES[:20], L.forest(trees=40, depth=10)).select("wafer", "lot", "y_true", "y_pred")
+    return L.trained_predictions(_kept_features(spark, sf), W.FEATURES[:20], L.forest()).select("wafer", "lot", "y_true", "y_pred")
 
 
 @query
 def boost_pred(spark, sf):
-    return L.trained_predictions(_features(spark, sf), W.FEATURES, L.boosted(iterations=5)).select("wafer", "lot", "y_true", "y_pred")
+    return L.trained_predictions(_kept_features(spark, sf), W.FEATURES, L.boosted()).select("wafer", "lot", "y_true", "y_pred")
+
+
+@query
+def leaf_scan(spark, sf):
+    """Forests by least rows in a leaf; 50 trees each."""
+    rows = L.leaf_scan(_kept_features(spark, sf), W.FEATURES[:20], trees=50, depth=10)
+    return tidy(spark.createDataFrame(rows, "leaf int, inner double, train double, test double, chosen boolean"))
+
+
+@query
+def paired_forests(spark, sf):
+    """Forests on 17 and on 20 features over the same five splits; 50 trees each."""
+    models = {f"RF-{n}": (L.forest(trees=50, depth=10), W.FEATURES[:n]) for n in (17, 20)}
+    return tidy(M.paired_models(L.paired_fits(_kept_features(spark, sf), models), "RF-20"))

@@ -104,23 +104,106 @@ def _drawn(u: Column, names: tuple[str, ...], weights: list[Column]) -> Column:
     return out.otherwise(names[-1])
 
 
+def beta(seed: int, a: float, b: float, *by: Column | str) -> Column:
+    """Beta(a, b) fixed by seed and place, as a ratio of gamma values."""
+
+    def gamma(name: str, shape: float) -> Column:
+        # A cubed normal value, taken if it passes; four tries, of which each passes in more than 95 of 100 cases.
+        d = shape + 1 - 1 / 3
+        tries = []
+        for k in range(4):
+            x, u = gaussian(seed, F.lit(f"{name}{k}"), *by), uniform(seed, F.lit(f"{name}u{k}"), *by)
+            v = F.pow(1 + x / sqrt(9 * d), 3)
+            tries.append(F.when((v > 0) & (F.ln(1.0 - u) < x * x / 2 + d - d * v + d * F.ln(v)), d * v))
+        return F.coalesce(*tries, F.lit(d)) * F.pow(1.0 - uniform(seed, F.lit(f"{name}p"), *by), 1 / shape)
+
+    x, y = gamma("a", a), gamma("b", b)
+    return x / (x + y)
+
+
+# The demo stream's shifts, as shares of its groups and of its wafers.
+DRIFT_START, DRIFT_OVER, DRIFT = 0.60, 0.20, 0.15  # EDGE_RING
+STEP_START, STEP = 0.825, 0.10  # SCRATCH
+AGEING_START, AGEING = 0.75, 0.15  # rows of low confidence
+
+
 def demo_predictions(spark: SparkSession, groups: int = 200, size: int = 25, seed: int = 0) -> DataFrame:
-    """(sample_id, lot, y_pred, confidence): class mix of the public set; EDGE_RING drifts up at 60 % of the groups, confidence
-    falls at 75 %, SCRATCH jumps at 82.5 %."""
+    """(sample_id, lot, y_pred, confidence): class mix of the public set, with a drift, a step, and later rows of low confidence."""
     from siltrace.sources.dimensions import CLASSES
 
     g = F.floor(F.col("id") / size)
     weights = [F.lit(float(c)) / sum(CLASS_COUNTS) for c in CLASS_COUNTS]
     ring, scratch = CLASSES.index("EDGE_RING"), CLASSES.index("SCRATCH")
-    weights[ring] = weights[ring] + F.when(g >= groups * 0.6, 0.10 + 0.20 * (g - groups * 0.6) / (groups * 0.4)).otherwise(0.0)
-    weights[scratch] = weights[scratch] + F.when(g >= groups * 0.825, 0.20).otherwise(0.0)
-    u = uniform(seed, F.lit("class"), "id")
-    confidence = F.when(g >= groups * 0.75, 0.45 + 0.5 * uniform(seed, F.lit("c"), "id")).otherwise(0.65 + 0.35 * uniform(seed, F.lit("c"), "id"))
-    return spark.range(groups * size).select(
-        F.col("id").alias("sample_id"), F.format_string("lot%04d", g).alias("lot"), _drawn(u, CLASSES, weights).alias("y_pred"), confidence.alias("confidence")
-    )
-
-
+    drift = DRIFT * F.least(F.lit(1.0), (g - groups * DRIFT_START) / (groups * DRIFT_OVER))
+    weights[ring] = weights[ring] + F.when(g >= groups * DRIFT_START, drift).otherwise(0.0)
+    weights[scratch] = weights[scratch] + F.when(g >= groups * STEP_START, STEP).otherwise(0.0)
+    aged = (g >= groups * AGEING_START) & (uniform(seed, F.lit("aged"), "id") < AGEING)
+    confidence = F.when(aged, 0.3 + 0.4 * uniform(seed, F.lit("low"), "id")).otherwise(beta(seed, 8.0, 1.2, "id"))
+    drawn = _drawn(uniform(seed, F.lit("class"), "id"), CLASSES, weights)
+    return spark.range(groups * size).select(F.col("id").alias("sample_id"), F.format_string("lot%04d", g).alias("lot"), drawn.alias("y_pred"), confidence.alias("confidence"))
+
+
+def labelled_maps(spark: SparkSession, lots: int = 120, unlabelled: int = 50, none_lots: int | None = None, seed: int = 0) -> DataFrame:
+    """(lot, wafer_index, die_size, wafer_map, failure_type) as in the public set: maps of many sizes, labels in nested arrays.
+
+    Lots of 8 to 19 wafers: four fifths of a lot's wafers show its pattern.  Then lots without pattern, of which 5 % of wafers
+    are strays with one, and wafers of one lot whose label is empty.
+    """
+    from siltrace.operators.dies import die_map
+    from siltrace.sources.dimensions import RAW_LABELS
+
+    none_lots = lots // 2 if none_lots is None else none_lots
+    kinds = F.array(*[F.lit(k) for k in RAW_LABELS])
+    pick = lambda values, name, *by: F.get(values, F.floor(uniform(seed, F.lit(name), *by) * F.size(values)).cast("int"))
+    own = spark.range(lots + none_lots).select(F.col("id").alias("lot_id"), F.explode(F.sequence(F.lit(0), (7 + F.floor(uniform(seed, F.lit("wafers"), "id") * 12)).cast("int"))).alias("w"))
+    other, stray = pick(kinds, "own", "lot_id", "w"), uniform(seed, F.lit("stray"), "lot_id", "w")
+    label = F.when(F.col("lot_id") < lots, F.when(stray < 0.8, pick(kinds, "lot", "lot_id")).otherwise(other)).otherwise(F.when(stray < 0.05, other).otherwise("none"))
+    named = own.select(F.concat(F.lit("lot"), "lot_id").alias("lot"), F.col("w").alias("wafer_index"), label.alias("label"))
+    rest = spark.range(unlabelled).select(F.lit("lotX").alias("lot"), F.col("id").cast("int").alias("wafer_index"), F.lit(None).cast("string").alias("label"))
+    wafers = named.unionByName(rest)
+    by = ("lot", "wafer_index")
+    spread = lambda name, lo, hi: lo + (hi - lo) * uniform(seed, F.lit(name), *by)
+    wafers = wafers.select(
+        *by,
+        "label",
+        pick(F.array(*[F.lit(float(v)) for v in (200, 250, 300, 350)]), "diameter", *by).alias("diameter"),
+        pick(F.array(*[F.lit(float(v)) for v in (8, 10, 12)]), "die", *by).alias("die"),
+        F.when(F.col("label") == "none", spread("noise", 0.0, 0.04)).otherwise(spread("noise", 0.01, 0.08)).alias("noise"),
+        spread("turn", -3.141592653589793, 3.141592653589793).alias("turn"),
+        spread("out", 0.3, 0.65).alias("out"),
+        spread("blob", 0.12, 0.2).alias("blob"),
+        spread("full", 0.65, 0.9).alias("full"),
+    ).withColumn("limit", F.col("diameter") / 2 - 3.0)
+    n = F.floor(F.col("limit") / F.col("die")).cast("int")
+    axis = F.sequence(-F.col("n"), F.col("n"))
+    grid = wafers.withColumn("n", n).withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
+    x, y = F.col("i") * F.col("die"), F.col("j") * F.col("die")
+    rn, angle, u = norm2(x, y) / F.col("limit"), F.degrees(F.atan2(y, x)), uniform(seed, F.lit("die"), *by, "i", "j")
+    cx, cy = F.col("out") * F.cos("turn"), F.col("out") * F.sin("turn")
+    shapes = {
+        "Center": rn <= 0.22,
+        "Donut": rn.between(0.40, 0.62),
+        "Edge-Loc": (rn >= 0.80) & (F.abs(angle - 45.0) <= 35.0),
+        "Edge-Ring": rn >= 0.82,
+        "Loc": (norm2(x / F.col("limit") - cx, y / F.col("limit") - cy) <= F.col("blob")) | (u < 0.05),
+        "Near-full": u < F.col("full"),
+        "Random": u < 0.05,
+        "Scratch": F.abs(-0.5 * x + sqrt(3) / 2 * y) <= F.col("die"),
+        "none": F.lit(False),
+    }
+    shape = F.coalesce(F.col("label"), F.lit("Random"))
+    fail = F.coalesce(*[F.when(shape == k, c) for k, c in shapes.items()])
+    flipped = (uniform(seed, F.lit("flip"), *by, "i", "j") < F.col("noise")) & (shape != "Near-full")
+    dies = grid.filter(norm2(x, y) + F.col("die") / 2 * sqrt(2) <= F.col("limit"))
+    cells = dies.select(
+        F.struct(*by, "label").alias("wafer"), (2 * F.col("n") + 1).alias("height"), (2 * F.col("n") + 1).alias("width"),
+        (F.col("i") + F.col("n")).alias("x"), (F.col("n") - F.col("j")).alias("y"), F.when(fail != flipped, 2).otherwise(1).alias("v"),
+    )
+    nested = F.when(F.col("wafer.label").isNull(), F.array().cast("array<array<string>>")).otherwise(F.array(F.array("wafer.label")))
+    return die_map(cells).select("wafer.lot", "wafer.wafer_index", F.lit(1.0).alias("die_size"), "wafer_map", nested.alias("failure_type"))
+
+
+# Process steps of the lot demo and their numbers of tools.
 DEMO_STEPS = {"PHOTO": 4, "ETCH": 4, "DEP": 3, "CMP": 3, "CLEAN": 2}
 
 

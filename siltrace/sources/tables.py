@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,12 +60,33 @@ def map_shapes(raw: DataFrame) -> DataFrame:
     return raw.agg(F.count_distinct(F.struct(F.size(m), F.size(F.try_element_at(m, F.lit(1))))).alias("n_shapes"))
 
 
-def predictions(df: DataFrame, time_col: str | None = None) -> DataFrame:
-    """Usable predictions: lot as string, skipped and null ones dropped; optional columns stay."""
+PREDICTIONS = "sample_id long, lot string, y_pred string, confidence double, fail_frac double, skipped boolean"
+
+
+def read_predictions(spark: SparkSession, path: str, schema: str = PREDICTIONS) -> DataFrame:
+    """Predictions from a CSV file with a header, whose columns may be any of ``schema``'s in any order."""
+    types = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
+    raw = spark.read.csv(path, header=True, encoding="UTF-8")
+    return predictions(raw.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in raw.columns]))
+
+
+def predictions(df: DataFrame, time_col: str | None = None, tiebreak: Iterable[str] = (), width: str = "hour") -> DataFrame:
+    """Usable predictions: lot as string, skipped and null ones dropped; optional columns stay.
+
+    With ``time_col`` rows are numbered (idx from 0) by time, null times last, equal times by ``tiebreak``, which should make
+    the order total; time is a timestamp, numbered within each ``width``.
+    """
     require(df, ("lot", "y_pred", *([time_col] if time_col else [])))
     if "skipped" in df.columns:
         df = df.filter(~F.coalesce(F.col("skipped").cast("boolean"), F.lit(False)))
-    return df.filter("y_pred IS NOT NULL").withColumn("lot", F.col("lot").cast("string"))
+    df = df.filter("y_pred IS NOT NULL").withColumn("lot", F.col("lot").cast("string"))
+    if not time_col:
+        return df
+    from siltrace.operators.spc import numbered
+
+    last = F.lit("9999-12-31 23:00:00").cast("timestamp_ntz")
+    bucket = F.coalesce(F.date_trunc(width, F.col(time_col)).cast("timestamp_ntz"), last)
+    return numbered(df, (F.asc_nulls_last(time_col), *tiebreak), bucket)
 
 
 def history(df: DataFrame) -> DataFrame:
@@ -90,3 +111,11 @@ def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Write a result table as Parquet or as CSV with a header."""
     writer = df.write.mode("overwrite")
     writer.csv(path, header=True) if kind == "csv" else writer.format(kind).save(path)
+
+
+def save_all(results: Mapping[str, DataFrame], folder: str, kind: str = "parquet") -> dict[str, str]:
+    """Write named results side by side: {name: path}, such as alarms and subgroups of one run, or a table for each pattern."""
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in results}
+    for name, df in results.items():
+        save(df, paths[name], kind)
+    return paths

@@ -4,6 +4,7 @@ import pytest
 
 from siltrace.plans.oracles import ORACLES
 from siltrace.plans.queries import QUERIES
+from siltrace.sources.dimensions import CLASSES
 from tests.sqlcheck import same
 
 
@@ -25,3 +26,18 @@ def test_out_of_fold_scores_cover_every_row_once(spark, sf):
     folds = {}
     for r in own:
         assert folds.setdefault(r.lot, r.fold) == r.fold
+
+
+@pytest.mark.parametrize("name", ["calibrated_rules", "calibrated_structural"])
+def test_calibrated_rules_judge_every_wafer(spark, sf, name):
+    rows = QUERIES[name](spark, sf).collect()
+    assert len(rows) == QUERIES["wafer_yield"](spark, sf).count() and all(r.y_pred in (*CLASSES, "CLEAN") for r in rows)
+
+
+@pytest.mark.parametrize("name, least", [("tree_pred", 0.5), ("rf_pred", 0.6), ("boost_pred", 0.5)])
+def test_models_judge_the_test_lots(spark, sf, name, least):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables have two lots
+    rows = QUERIES[name](spark, sf).collect()
+    held = {r.wafer for r in QUERIES["lot_split"](spark, sf).filter("is_test").collect()}
+    assert {r.wafer for r in rows} <= held
+    assert sum(r.y_true == r.y_pred for r in rows) >= least * len(rows) > 0
