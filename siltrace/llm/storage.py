@@ -1,25 +1,5 @@
 """Tables written between steps, in the folder that all executors share."""
 
-from __future__ import annotations
+from siltrace.sources.stored import dropped, shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: its lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["dropped", "shared_dir", "written"]
