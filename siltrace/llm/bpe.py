@@ -6,10 +6,11 @@ symbols); their path is a parameter and every executor must have the file there.
 
 from __future__ import annotations
 
-import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from unicodedata import is_normalized, normalize
 
 import numpy as np
@@ -21,7 +22,15 @@ from pyspark.sql import functions as F
 
 from siltrace.llm.kernels import CHUNK, chunks, text_bytes, tidied
 
-MAX_CACHED = 150_000  # words, and stretches of text, whose encoding a Python worker remembers in each of two generations
+REMEMBERED_BYTES = 32 << 20  # of words whose ids a Python worker remembers in each of two generations, and as much for stretches of text
+LONGEST_REMEMBERED = 48  # characters; longer ones are encoded anew each time
+
+# The settings of a vocabulary file under which this encoder equals the library.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"add_prefix_space": False, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -31,31 +40,51 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
+def _refuse_other_settings(spec: dict) -> None:
+    """ValueError unless the file's normaliser, pieces, model and added tokens are of the kind that is encoded here."""
+
+    def has(found, wanted: dict, what: str) -> None:
+        for key, value in wanted.items():
+            if (found or {}).get(key) != value:
+                raise ValueError(f"vocabulary file with another {what}: {key} is {(found or {}).get(key)!r}, not {value!r}")
+
+    has(spec.get("normalizer"), {"type": "Sequence", "normalizers": NORMALIZER}, "normaliser")
+    has(spec.get("pre_tokenizer"), {"type": "Sequence"}, "split")
+    kinds = spec["pre_tokenizer"]["pretokenizers"]
+    if [k["type"] for k in kinds] != ["Split", "ByteLevel"] or "Regex" not in kinds[0]["pattern"]:
+        raise ValueError("vocabulary file with another split than one pattern and byte-level symbols")
+    has(kinds[0], SPLIT, "split")
+    has(kinds[1], BYTE_LEVEL, "byte level")
+    has(spec["model"], MODEL, "model")
+    has(spec, {"decoder": None}, "decoder")
+    for token in spec["added_tokens"]:
+        has(token, ADDED, "added token")
+
+
 class Bpe:
     """Encoder of one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_other_settings(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
+        pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
         v = self.vocab
-        self.merges = {(v[a], v[b]): (rank, v[a + b]) for rank, (a, b) in enumerate(pairs)}
-        added = spec["added_tokens"]
-        self.added = {t["content"]: t["id"] for t in added}
+        self.ranks = {v[a] << 32 | v[b]: rank for rank, (a, b) in enumerate(pairs)}  # by both symbols in one number
+        self.made = [v[a + b] for a, b in pairs]
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, longest))) if longest else None
-        first = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.pieces = regex.compile(first["pattern"]["Regex"])
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\s+")
         symbols = _byte_symbols()
         self.first = {b: v[c] for b, c in symbols.items()}
         self.last = {b: v[c + self.suffix] for b, c in symbols.items()}
         self.odd_space = regex.compile(r"[\x1c-\x1f]")  # white space to str.split() alone
-        self.words = _Remembered(self.merged, MAX_CACHED)
-        self.stretches = _Remembered(self.stretch, MAX_CACHED)
+        self.words, self.stretches = _Remembered(self.merged), _Remembered(self.stretch)
 
     @staticmethod
     def normalized(text: str) -> str:
@@ -65,38 +94,48 @@ class Bpe:
         # Letters are lowered one by one: the sigma that ends a word is no exception.
         return text.replace("Σ", "σ").lower()
 
-    def stretch(self, text: str) -> bytes:
-        text = self.normalized(text)
-        if text.isalpha():  # letters alone are one piece
-            return self.words[text]
-        return b"".join(map(self.words.__getitem__, self.pieces.findall(text)))
-
     def merged(self, piece: str) -> bytes:
         """Ids of one piece: the lowest-ranked pair merges first, the leftmost among equals."""
         data = piece.encode("utf-8")
         ids = [self.first[b] for b in data]
         ids[-1] = self.last[data[-1]]
         n = len(ids)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        look = self.merges.get
-        # An entry is rank * n + place of the left symbol.
-        queue = [found[0] * n + i for i in range(n - 1) if (found := look((ids[i], ids[i + 1])))]
-        heapq.heapify(queue)
+        look, made = self.ranks.get, self.made
+        # An entry is a rank above the place of the left symbol; pair[i] is the rank of the symbol at i with its right one.
+        shift = n.bit_length()
+        pair = [look(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]  # noqa: B905
+        queue = [rank << shift | i for i, rank in enumerate(pair) if rank >= 0]
+        if len(queue) > 1:
+            heapify(queue)
+        left, right, last = list(range(-1, n - 1)), list(range(1, n + 1)), (1 << shift) - 1
         while queue:
-            rank, i = divmod(heapq.heappop(queue), n)
-            j = right[i]
-            if j >= n or not (found := look((ids[i], ids[j]))) or found[0] != rank:
+            entry = heappop(queue)
+            i, rank = entry & last, entry >> shift
+            if pair[i] != rank:
                 continue  # stale: one of the two symbols has merged since
-            ids[i], ids[j] = found[1], -1
+            j = right[i]
+            ids[i] = now = made[rank]
+            ids[j] = pair[j] = -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if found := look((ids[i], ids[k])):
-                    heapq.heappush(queue, found[0] * n + i)
+                pair[i] = rank = look(now << 32 | ids[k], -1)
+                if rank >= 0:
+                    heappush(queue, rank << shift | i)
+            else:
+                pair[i] = -1
             h = left[i]
-            if h >= 0 and (found := look((ids[h], ids[i]))):
-                heapq.heappush(queue, found[0] * n + h)
-        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
+            if h >= 0:
+                pair[h] = rank = look(ids[h] << 32 | now, -1)
+                if rank >= 0:
+                    heappush(queue, rank << shift | h)
+        return array("i", [x for x in ids if x >= 0]).tobytes()
+
+    def stretch(self, text: str) -> bytes:
+        text = self.normalized(text)
+        if text.isalpha():  # letters alone are one piece
+            return self.words[text]
+        return b"".join(map(self.words.__getitem__, self.split.findall(text)))
 
     def encode_plain(self, text: str) -> bytes:
         """Ids, as little-endian int32, of a text without special tokens.
@@ -118,24 +157,24 @@ class Bpe:
 
 
 class _Remembered(dict):
-    """Results of a function by its argument, in two generations: when the younger is full it becomes the older, and what
-    is still in use comes back from there.  Forgetting costs time only."""
+    """Results of a function by its argument, in two generations of ``REMEMBERED_BYTES``: when the younger is full it becomes
+    the older, from which what is still in use comes back.  Forgetting costs time only."""
 
-    def __init__(self, function, most: int, longest: int = 48):
+    def __init__(self, function):
         super().__init__()
-        self.function, self.most, self.longest = function, most, longest
-        self.older: dict = {}
+        self.function, self.older, self.held = function, {}, 0
 
     def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.function(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.older = dict(self)
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.function(key)
+        if len(key) <= LONGEST_REMEMBERED:
+            self.held += 240 + len(ids)
+            if self.held > REMEMBERED_BYTES:
+                self.older, self.held = dict(self), 240 + len(ids)
                 self.clear()
-            self[key] = value
-        return value
+            self[key] = ids
+        return ids
 
 
 class Decoder:
@@ -154,6 +193,13 @@ class Decoder:
         return pc.binary_join(pa.ListArray.from_arrays(offsets, flat), " ")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @lru_cache(maxsize=2)
 def decoder(path: str) -> Decoder:
     return Decoder(path)
@@ -168,9 +214,11 @@ def bpe_encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     """(doc_id, ids array<int>) of every text, one row for each input row.
 
     Null and empty texts have no ids; strings of special tokens become those tokens, as in the library's default.  Texts of
-    any length are encoded whole.  Repeated rows are encoded one by one; other columns are not read.
+    any length are encoded whole.  Repeated rows are encoded one by one; other columns are not read.  A vocabulary file whose settings differ from those encoded here is refused (ValueError).
     """
 
+    load(path)  # another kind of file is refused before any task starts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:

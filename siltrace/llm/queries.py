@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode
+from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode, vocabulary
 from siltrace.llm.language_id import held_out, predict_language, train_language_model
 from siltrace.llm.license_scan import license_labels, license_scan
 from siltrace.llm.minhash_dedup import near_duplicates
@@ -63,12 +63,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     return bpe_digests(bpe_decode(bpe_encode(_read(spark, sf_dir, "documents"), path), path))
