@@ -2,8 +2,8 @@
 
 Lines are normalised (A-Z lowered, white space collapsed) and hashed; for each host the number of distinct documents that
 hold a line is counted.  Lines above the host's limit are boilerplate and are removed; a document that loses more than a
-set share of its words is depleted and rejected.  Exact copies of a text count as one document, so that copies of a good
-text never make its own lines look like boilerplate.
+set share of its words is depleted and rejected.  With ``copies_once`` exact copies of a text count as one document, so that
+a group of copies does not make its own lines look like boilerplate before a later stage has kept one of them.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from siltrace.llm.kernels import _BYTE_CODES, _LOWER_CODES, Words, chunks, range_hash, range_sums, rolling, text_bytes, tidied
 from siltrace.llm.storage import written
 
-MIN_DOCS = 20  # a line in at most so many documents of a host is never boilerplate
-MAX_SHARE = 0.2  # nor is one in at most this share of the host's documents
+MIN_DOCS = 5  # a line in at most so many documents of a host is never boilerplate
+MAX_SHARE = 0.05  # nor is one in at most this share of the host's documents
 MAX_LOST = 0.5  # a document may lose this share of its words
 
 _SYMBOL = np.zeros(256, bool)
@@ -117,10 +117,11 @@ def text_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return source.mapInArrow(tidied(_measured), _SCHEMA)
 
 
-def frequent_lines(measures: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, n_docs) of the lines above their host's limit."""
-    distinct = measures.select("host", "text_hash", "lines").dropDuplicates(["host", "text_hash"])
-    totals = measures.groupBy("host").agg(F.count_distinct("text_hash").alias("host_docs"))
+def frequent_lines(measures: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, copies_once: bool = False) -> DataFrame:
+    """(host, line, n_docs) of the lines above their host's limit; repeated rows of one id and text are one document."""
+    one = ["host", "text_hash"] if copies_once else ["host", "doc_id", "text_hash"]
+    totals = measures.groupBy("host").agg(F.count_distinct(F.struct(*one)).alias("host_docs"))
+    distinct = measures.select(*one, "lines").dropDuplicates(one)
     counts = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
     over = counts.filter(F.col("n_docs") > min_docs).join(totals, "host")
     return over.filter(F.col("n_docs") > F.col("host_docs") * max_share).select("host", "line", "n_docs")
@@ -135,16 +136,18 @@ def quality_rules(
     min_docs: int = MIN_DOCS,
     max_share: float = MAX_SHARE,
     max_lost: float = MAX_LOST,
+    copies_once: bool = False,
 ) -> DataFrame:
-    """One row per input row: text_key (a hash of the text), the base counts, base_failed, n_removed_words, removed_lines (hashes), kept.
+    """One row per input row: host, text_key (a hash of the text), the base counts, base_failed, n_removed_words, removed_lines (hashes), kept.
 
     Null texts have no words and fail the base rules; texts are measured whole whatever their length.  A null host is a
-    host of its own.  Repeated rows are judged one by one but count as one document of their host.  An empty table gives
-    an empty result; other columns are not read.
+    host of its own.  Repeated rows of one id and text are judged one by one but count as one document of their host; rows
+    of one text under several ids are several documents unless ``copies_once``.  An empty table gives an empty result; other
+    columns are not read.
     """
     measured = text_measures(docs, id_col=id_col, text_col=text_col, host_col=host_col)
     m = written(measured.withColumn("rid", F.monotonically_increasing_id()), "line-measures")
-    frequent = frequent_lines(m, min_docs, max_share)
+    frequent = frequent_lines(m, min_docs, max_share, copies_once)
     removed = (
         m.select("rid", "host", F.inline(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words"))))
         .join(frequent.select("host", "line"), ["host", "line"])
@@ -156,6 +159,7 @@ def quality_rules(
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return m.join(removed, "rid", "left").select(
         "doc_id",
+        "host",
         "text_key",
         *counts,
         failed.alias("base_failed"),
@@ -179,16 +183,25 @@ def without_lines(text: str, hashes: set[int]) -> str:
 
 
 def quality_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns and without their boilerplate lines."""
-    verdicts = quality_rules(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
-    verdicts = verdicts.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed_lines").alias("_lines"))
-    verdicts = written(verdicts.dropDuplicates(["_id", "_key"]), "verdicts")
-    joined = docs.join(verdicts, (F.xxhash64(docs[text_col]) == F.col("_key")) & docs[id_col].cast("long").eqNullSafe(F.col("_id")))
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns and without their host's boilerplate lines.
+
+    Rows are met by id, text and host, so that one text under two hosts loses the lines of each of them.  Columns may bear any names.
+    """
+    verdicts = quality_rules(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits).filter("kept")
+    verdicts = written(verdicts.select("doc_id", "host", "text_key", "removed_lines").dropDuplicates(["doc_id", "host", "text_key"]), "verdicts")
+    row = docs.select(
+        F.struct("*").alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
+        F.xxhash64(text_col).alias("text_key"),
+    )
+    met = [row["text_key"] == verdicts["text_key"], row["host"] == verdicts["host"], row["doc_id"].eqNullSafe(verdicts["doc_id"])]
+    joined = row.join(verdicts, met)
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, lines = batch.columns[:-1], batch.column(batch.num_columns - 1)
+            columns, lines = batch.column(0).flatten(), batch.column(1)
             some = {i: set(x) for i, x in enumerate(lines.to_pylist()) if x}
             if some:
                 texts = columns[at].to_pylist()
@@ -198,4 +211,4 @@ def quality_filter(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = docs.columns
-    return joined.select(*[docs[c] for c in names], "_lines").mapInArrow(tidied(cut), docs.schema)
+    return joined.select("row", "removed_lines").mapInArrow(tidied(cut), docs.schema)

@@ -45,7 +45,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_read(spark, sf_dir, "documents")).drop("removed_lines", "text_key")
+    return quality_rules(_read(spark, sf_dir, "documents")).drop("removed_lines", "text_key", "host")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +123,10 @@ worded AS (
     list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS docs FROM w GROUP BY host),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM w GROUP BY host),
 freq AS (
-  SELECT host, lw FROM (SELECT host, lw, count(DISTINCT text) AS n FROM worded GROUP BY host, lw) JOIN hosts USING (host)
-  WHERE n > 20 AND n > docs * 0.2),
+  SELECT host, lw FROM (SELECT host, lw, count(DISTINCT doc_id) AS n FROM worded GROUP BY host, lw) JOIN hosts USING (host)
+  WHERE n > 5 AND n > docs * 0.05),
 lost AS (SELECT doc_id, sum(len(lw)) AS n FROM worded JOIN freq USING (host, lw) GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,
