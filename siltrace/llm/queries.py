@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode, vocabulary
 from siltrace.llm.language_id import held_out, predict_language, train_language_model
-from siltrace.llm.license_scan import license_labels, license_scan
+from siltrace.llm.license_scan import BASE, NOTICES, license_labels, license_scan, template_words
 from siltrace.llm.minhash_dedup import near_duplicates
 from siltrace.llm.mixing import DOMAINS, mix_to_targets
 from siltrace.llm.quality_rules import quality_rules
@@ -96,6 +96,14 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
+
+
+def _template_rows() -> str:
+    """The license templates as rows of SQL."""
+    word = lambda t: ", ".join(f"'{w}'" for w in template_words(t))
+    return ", ".join(f"({i}, '{t.label}', {t.exact}, [{word(t.text)}], '{t.key}')" for i, t in enumerate(BASE + NOTICES))
+
+
 ORACLES = {
     "op1_topk_search": r"""
 WITH v AS (
@@ -160,20 +168,34 @@ FROM judged
 """,
     "op6_license_scan": r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
-p(label, phrase) AS (VALUES ('mit', ['under', 'the', 'mit', 'license']), ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])),
-hit AS (
-  SELECT doc_id, label, i - 1 AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), p
-  WHERE w[i : i + len(phrase) - 1] = phrase),
+t(tid, label, exact, tw, key) AS (VALUES """ + _template_rows() + r"""),
+tg AS (SELECT tid, i - 1 AS tpos, array_to_string(tw[i : i + 2], ' ') AS gram FROM (SELECT tid, tw, unnest(range(1, len(tw) - 1)) AS i FROM t)),
+tn AS (SELECT tid, count(*) AS size, count(DISTINCT gram) AS kinds FROM tg GROUP BY tid),
+dg AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + 2], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+hit AS (SELECT doc_id, tid, pos - tpos AS d, pos, gram FROM dg JOIN tg USING (gram)),
+dia AS (SELECT doc_id, tid, d, exact FROM (SELECT DISTINCT doc_id, tid, d FROM hit) JOIN t USING (tid)),
+cut AS (
+  SELECT *, CASE WHEN exact THEN 1 ELSE coalesce(CAST(d - lag(d) OVER (PARTITION BY doc_id, tid ORDER BY d) > 4 AS INTEGER), 1) END AS c FROM dia),
+span AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, tid ORDER BY d) AS s FROM cut),
+found AS (
+  SELECT doc_id, tid, s, count(*) AS votes, count(DISTINCT gram) AS grams, min(pos) AS first, max(pos) + 2 AS last,
+    bool_or(gram = key) AS has_key
+  FROM hit JOIN span USING (doc_id, tid, d) JOIN t USING (tid) GROUP BY doc_id, tid, s),
+fits AS (
+  SELECT doc_id, label, exact, first, CAST(grams AS DOUBLE) / kinds AS share
+  FROM found JOIN t USING (tid) JOIN tn USING (tid)
+  WHERE CASE WHEN exact THEN votes = size
+    ELSE CAST(grams AS DOUBLE) / kinds >= 0.6 AND (has_key OR key = '') AND last - first < 2 * size + 6 END),
 g AS (
-  SELECT doc_id, count(*) AS n, min(s) AS f, max(s) AS l, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
-  FROM hit GROUP BY doc_id)
+  SELECT doc_id, count(*) FILTER (exact) AS n, min(first) FILTER (exact) AS f, max(first) FILTER (exact) AS l,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (exact))), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
+  FROM fits GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_base,
   CAST(g.f AS BIGINT) AS first_word, CAST(g.l AS BIGINT) AS last_word,
-  coalesce(g.labels, '') AS base_labels, coalesce(g.labels, '') AS labels,
-  CASE WHEN g.n > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score
+  coalesce(g.base_labels, '') AS base_labels, coalesce(g.labels, '') AS labels, coalesce(g.score, CAST(0 AS DOUBLE)) AS score
 FROM w LEFT JOIN g USING (doc_id)
 """,
     "op5_substring_dedup": r"""
