@@ -46,11 +46,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    """Compressed, but for short data, of which a large corpus makes very many."""
+    return b"\0" + data if len(data) < 256 else b"\1" + zstandard.ZstdCompressor(level=1).compress(data)
 
 
 def unsqueezed(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
+    return zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[0] else blob[1:]
 
 
 def mail(rows: Iterable[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -88,16 +89,18 @@ def opened(table: pa.Table, kind: int, n: int) -> list[np.ndarray]:
 
 
 class Rounds:
-    """Texts dealt into batches, and how many buckets their digests take."""
+    """Texts dealt into batches of about ``batch_bytes``, and how many buckets their digests take."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, buckets_per_batch: float = 0.5):
         own = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+        self.carry = carry
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own)
         self.bytes = source.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         self.batches = max(1, -(-self.bytes // batch_bytes))
         self.buckets = max(12, int(self.batches * buckets_per_batch))
         self.carried = source.select("carried").schema.fields if carry else []
-        self.texts = source.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(self.batches)))
+        # Texts of one id, or without id, may lie in several batches: only exact repeats of a row share one.
+        self.texts = source.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.batches)))
 
     def ask(self, send: Callable[[int, pa.Table], pa.Table], answers: DataFrame | None = None) -> DataFrame:
         """Mail of ``send(batch, texts[, mail])`` for every batch."""
@@ -106,6 +109,8 @@ class Rounds:
     def finish(self, run: Callable, schema: str, answers: DataFrame) -> DataFrame:
         """Rows of ``run(batch, texts, mail)``, one for each text in order, with the carried columns."""
         full = T.StructType.fromDDL(schema)
+        if clash := {c.lower() for c in self.carry} & {c.lower() for c in full.names}:
+            raise ValueError(f"carried columns {sorted(clash)} bear names of the result's own columns")
         out = self.each(lambda b, t, m: with_carried(run(b, t, m), t), T.StructType([*full.fields, *self.carried]), answers)
         return out.select(*full.names, "carried.*") if self.carried else out
 

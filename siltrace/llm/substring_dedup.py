@@ -2,8 +2,8 @@
 
 Every text is indexed by its non-overlapping blocks of half a window's words, and probed with every rolling window of a
 block's size: any window of a repeat holds a whole block of the text that it repeats.  Probes that hit a block of another
-text are extended: all windows around hits are compared by hash, and windows that stand in a text of smaller id are merged
-into maximal exact repeats, which are removed.
+text are extended: the windows around hits, and no others, are compared by hash, and those that stand in a text of smaller id
+are merged into maximal exact repeats, which are removed.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.exchange import Rounds, ids_of, mail, opened, to_batches, to_buckets
+from siltrace.llm.exchange import BATCH_BYTES, Rounds, ids_of, mail, opened, to_batches, to_buckets
 from siltrace.llm.kernels import Words, chunks, covered, rolling, runs, text_bytes
 
 WINDOW = 50  # words
@@ -49,6 +49,7 @@ def substring_dedup(
     text_col: str = "text",
     window: int = WINDOW,
     filter_bits: int = 16,
+    batch_bytes: int = BATCH_BYTES,
     carry: tuple[str, ...] = (),
     keep_layout: bool = False,
 ) -> DataFrame:
@@ -56,14 +57,14 @@ def substring_dedup(
 
     One row per input row: (doc_id, n_words, n_removed, spans of removed words, kept words joined by one space).
 
-    carry: further columns to return.  keep_layout: texts that lose nothing are returned as they were.
+    carry: further columns to return, none with the name of a result column (ValueError).  batch_bytes: of text in a task.  keep_layout: texts that lose nothing are returned as they were.
     filter_bits: probes travel as hashes of log2(words) + filter_bits bits, so that about one in 2**filter_bits is kept
     without need; windows are then compared by 64-bit hashes.  Null and empty texts have no words.  Rows of equal id never
     remove each other's words; null ids count as larger than all others.  Whole texts are used whatever their length; an
     empty table gives an empty result; other columns are not read.
     """
     block = window // 2
-    rounds = Rounds(docs, id_col, text_col, carry)
+    rounds = Rounds(docs, id_col, text_col, carry, batch_bytes)
     n_buckets = rounds.buckets
     bits = min(62, filter_bits + max(10, math.ceil(math.log2(rounds.bytes / 4 + 2))))
     short = np.uint64(64 - bits)
@@ -108,38 +109,33 @@ def substring_dedup(
             near = sums[np.minimum(s2 + window - block + 1, len(w.start))] > sums[s2]
             hashes.append(h2[near])
             docs_.append(ids[text2[near] + lo])
-        v, least, _ = _unique(np.concatenate(hashes), np.concatenate(docs_))
-        return mail(to_buckets((v >> np.uint64(32)).astype(np.int64) % n_buckets, batch, 0, v, least.astype(np.int64)))
+        v, least, most = _unique(np.concatenate(hashes), np.concatenate(docs_))
+        return mail(to_buckets((v >> np.uint64(32)).astype(np.int64) % n_buckets, batch, 0, v, least.astype(np.int64), (least != most).astype(np.uint64)))
 
     def repeats(m: pa.Table) -> pa.Table:
-        v, doc, batch = opened(m, 0, 2)
+        v, doc, several, batch = opened(m, 0, 3)
         order = np.argsort(v, kind="stable")
-        v, doc, batch = v[order], doc[order].view(np.int64), batch[order]
+        v, doc, several, batch = v[order], doc[order].view(np.int64), several[order], batch[order]
         if not len(v):
             return mail([])
         first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(v))))
-        later = doc > least
-        return mail(to_batches(batch[later], 1, v[later]))
+        told = (doc > least) | (several > 0)
+        return mail(to_batches(batch[told], 1, v[told], least[told]))
 
     def remove(_batch: int, texts: pa.Table, m: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.Table.from_batches([], _OUT_ARROW)
-        known = np.sort(opened(m, 1, 1)[0])
+        known, least, _ = opened(m, 1, 2)
+        order = np.argsort(known, kind="stable")
+        known, least = known[order], least[order].view(np.int64)
         ids = ids_of(texts)
-        parts = list(_rolled(texts, (window,)))
-        all_h = np.concatenate([p[2][0][1] for p in parts]) if parts else np.zeros(0, np.uint64)
-        all_d = np.concatenate([ids[p[2][0][2] + p[0]] for p in parts]) if parts else np.zeros(0, np.int64)
-        v, least, most = _unique(all_h, all_d)
-        v, least = v[least != most], least[least != most]
         out: list[list] = [[], [], [], []]
-        for lo, w, ((s, h, text),), buf in parts:
+        for lo, w, ((s, h, text),), buf in _rolled(texts, (window,)):
             flagged = np.zeros(len(s), bool)
             if len(known):
-                flagged |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-            if len(v):
-                at = np.minimum(np.searchsorted(v, h), len(v) - 1)
-                flagged |= (v[at] == h) & (ids[text + lo] > least[at])
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                flagged = (known[at] == h) & (ids[text + lo] > least[at])
             gone = covered(len(w.start), s[flagged], window)
             # Bytes of the kept words, each followed by one space.
             lost = np.zeros(len(buf) + 1, np.int8)
