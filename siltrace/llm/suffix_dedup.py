@@ -3,14 +3,18 @@
 A suffix's bucket is refined from its first q bytes by the buckets of the suffixes at later offsets, until buckets are as
 deep as the repeats to find.  Three steps do so without moving all suffixes:
 
-1.  Anchors.  In every ``width``-byte string the q-gram of smallest hash is its anchor, so equal strings have equal anchors
-    at equal places.  Stretches of strings with a common anchor travel as (anchor's bucket id, id of the q-grams around it).
+1.  Anchors.  The initial buckets are 8-byte grams; bucket identifiers of 16 and 32 bytes are made from those of 8 and 16 bytes
+    at the same and a later offset.  In every ``width``-byte string the 16-byte bucket of smallest identifier is its anchor,
+    so equal strings have equal anchors at equal places.  Stretches of strings with a common anchor travel as (anchor's bucket,
+    identifier of the stretch, made from the 32-byte buckets of its later offsets).
 2.  First refinement.  Within an anchor's bucket, stretches are sorted on the identifiers of their later offsets.  Equal
     ones are repeats of the stretch in the smallest document; only one of each set is refined further, and only where its
     bucket holds others.
 3.  Suffix array.  The bytes of those stretches are fetched and their suffixes sorted by bucket-pointer refinement: initial
     q-gram buckets, then sorting on the bucket pointers 8, 16 and ``width - 32`` bytes later, each pass reusing the pointers
-    the last has updated, and touching only suffixes whose bucket still has others.
+    the last has updated, and touching only suffixes whose bucket still has others.  The suffixes of an anchor that very many
+    stretches share are not sorted in one place: they are dealt by the identifier of their ``width`` bytes, made in the same
+    way, and each such bucket is sorted by document.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.exchange import Rounds, ids_of, mail, opened, squeezed, to_batches, to_buckets, unsqueezed
-from siltrace.llm.kernels import _BYTE_CODES, chunks, covered, range_hash, range_sums, text_bytes
+from siltrace.llm.exchange import BATCH_BYTES, Rounds, ids_of, mail, opened, squeezed, to_batches, to_buckets, unsqueezed
+from siltrace.llm.kernels import chunks, covered, mix, text_bytes
 
 WIDTH = 50  # bytes
 ANCHOR = 16
+HOT_STRETCHES = 4096  # with one anchor, beyond which its suffixes are dealt by the identifiers of their whole strings
 SORTED_BYTES = 1 << 20  # of stretches whose suffixes are sorted at once
 
 _OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -39,16 +44,41 @@ _OUT_ARROW = pa.schema(
 )
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Identifiers of strings from those of two buckets that cover them: equal ones for equal pairs."""
+    return mix(a * _STEP + (b ^ (b >> np.uint64(29))))
+
+
+def bucket_ids(buf: np.ndarray) -> dict[int, np.ndarray]:
+    """Bucket identifiers of the 8, 16 and 32 bytes from each place on; places too near to the end have none."""
+    words = np.lib.stride_tricks.sliding_window_view(buf, 8) if len(buf) >= 8 else np.zeros((0, 8), np.uint8)
+    out = {8: np.ascontiguousarray(words).view("<u8").ravel()}
+    for size in (8, 16):
+        out[2 * size] = _joined(out[size][:-size], out[size][size:])
+    return out
+
+
+def string_ids(ids: dict[int, np.ndarray], start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Identifiers of strings of 32 to 128 bytes, from the 32-byte buckets at 0, 32, 64 and the last possible offset."""
+    own, last = ids[32], size - 32
+    out = own[start]
+    for offset in (32, 64, 96):
+        out = _joined(out, own[start + np.minimum(offset, last)])
+    return out ^ np.asarray(size).astype(np.uint64)
+
+
 def anchored_stretches(buf: np.ndarray, offsets: np.ndarray, width: int, q: int) -> tuple[np.ndarray, ...]:
-    """Stretches of strings with one anchor: (first start, number of starts, anchor id, id of the bytes around it, text)."""
+    """Stretches of strings with one anchor: (first start, number of starts, anchor's bucket, id of the stretch, text)."""
     n = len(buf) - width + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
         return z, z, z.astype(np.uint64), z.astype(np.uint64), z
-    sums = range_sums(_BYTE_CODES[buf])
-    at = np.arange(len(buf) - q + 1)
-    h = range_hash(sums, at, at + q)
-    least = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    ids = bucket_ids(buf)
+    h = ids[q]
+    least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h)).astype(np.uint64)
     grams, span = width - q + 1, 1
     while 2 * span <= grams:
         least = np.minimum(least[:-span], least[span:])
@@ -63,9 +93,8 @@ def anchored_stretches(buf: np.ndarray, offsets: np.ndarray, width: int, q: int)
     stop = np.append(np.flatnonzero(new | ~inside), n)
     count = stop[np.searchsorted(stop, first, "right")] - first
     anchor = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    around = range_hash(sums, first, first + count + width - 1)
-    # The place of the anchor in the stretch belongs to the identity of its bytes.
-    around ^= (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    # The place of the anchor in the stretch belongs to the stretch's identity.
+    around = string_ids(ids, first, count + width - 1) ^ (anchor - first).astype(np.uint64) * _STEP
     text = np.searchsorted(offsets, first, "right") - 1
     return first, count, h[anchor], around, text
 
@@ -128,19 +157,27 @@ def _repeated(text: np.ndarray, size: np.ndarray, doc: np.ndarray, width: int) -
 
 
 def suffix_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    anchor: int = ANCHOR,
+    hot_stretches: int = HOT_STRETCHES,
+    batch_bytes: int = BATCH_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Remove every byte in a ``width``-byte string that also starts in a text of smaller id; judged on the input.
 
     One row per input row: (doc_id, n_bytes, n_removed, maximal removed spans, remaining bytes), with the
-    columns named in ``carry``.  Texts are UTF-8 bytes and
-    may be cut inside a character.  Null and empty texts have no bytes.  Rows of equal id never remove each other's bytes;
+    columns named in ``carry``, none of which may bear the name of a result column (ValueError).  Texts are UTF-8 bytes and
+    may be cut inside a character.  batch_bytes: of text in a task; hot_stretches: of one anchor that are sorted in one place.  Null and empty texts have no bytes.  Rows of equal id never remove each other's bytes;
     null ids count as larger than all others.  Whole texts are used whatever their length; an empty table gives an empty
     result; other columns are not read.
     """
-    if not 48 <= width <= 64 or not 8 <= anchor < width:
-        raise ValueError("width must lie between 48 and 64 bytes and the anchor below it")
-    rounds = Rounds(docs, id_col, text_col, carry, buckets_per_batch=1.0)
+    if not 48 <= width <= 64 or anchor not in (16, 32):
+        raise ValueError("width must lie between 48 and 64 bytes and the anchor have 16 or 32")
+    rounds = Rounds(docs, id_col, text_col, carry, batch_bytes, buckets_per_batch=1.0)
     n_buckets = rounds.buckets
 
     def send(batch: int, texts: pa.Table) -> pa.Table:
@@ -183,8 +220,11 @@ def suffix_dedup(
         size = np.diff(np.append(head, len(a)))
         several = np.repeat(np.maximum.reduceat(least, head) != np.minimum.reduceat(least, head), size)
         ask = ~later & several
+        hot = ask & np.repeat(np.add.reduceat(ask.astype(np.int64), head) > hot_stretches, size)
+        ask &= ~hot
         out = to_batches(batch[later], 1, row[later], first[later], first[later] + count[later] + np.uint64(width - 1))
         out += to_batches(batch[ask], 2, row[ask], first[ask], count[ask], a[ask])
+        out += to_batches(batch[hot], 5, row[hot], first[hot], count[hot])
         return mail(passed + out)
 
     def fetch(batch: int, texts: pa.Table, m: pa.Table) -> pa.Table:
@@ -205,12 +245,44 @@ def suffix_dedup(
                 data = buf[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
                 head = to_buckets(np.full(len(own), s), batch, 3, row[own], ids[row[own]], first[own], count[own], a[own])
                 out += head + [(s, batch, 4, squeezed(data.tobytes()))]
-        return mail(out)
+        return mail(out + dealt_by_string(batch, texts, *opened(m, 5, 3)[:3]))
+
+    def dealt_by_string(batch: int, texts: pa.Table, row: np.ndarray, first: np.ndarray, count: np.ndarray) -> list:
+        """The strings of hot anchors: settled by this batch's smaller documents, or on their way to the bucket of their identifier."""
+        if not len(row):
+            return []
+        buf, offsets = text_bytes(texts["text"])
+        docs_, out = ids_of(texts), [[], [], [], []]
+        for lo, hi in chunks(np.concatenate(([0], np.cumsum(count.astype(np.int64) + (width - 1))))):
+            r, f, c = (x[lo:hi].astype(np.int64) for x in (row, first, count))
+            size = c + width - 1
+            ends = np.cumsum(size)
+            piece = buf[np.repeat(offsets[r] + f - (ends - size), size) + np.arange(ends[-1])]
+            within = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            start = np.repeat(ends - size, c) + within
+            for store, x in zip(out, (string_ids(bucket_ids(piece), start, width), docs_[np.repeat(r, c)], np.repeat(r, c), np.repeat(f, c) + within), strict=True):
+                store.append(x)
+        name, doc, r, at = (np.concatenate(x) for x in out)
+        order = np.lexsort((at, r, doc, name))
+        name, doc, r, at = name[order], doc[order], r[order], at[order]
+        new = np.concatenate(([True], name[1:] != name[:-1]))
+        settled = doc > doc[new][np.cumsum(new) - 1]
+        ways = (name[~settled] >> np.uint64(8)) % np.uint64(n_buckets)
+        return to_buckets(ways.astype(np.int64), batch, 6, name[~settled], doc[~settled], r[~settled], at[~settled]) + to_buckets(
+            np.full(int(settled.sum()), batch % n_buckets), batch, 1, r[settled], at[settled], at[settled] + width
+        )
 
     def sort(m: pa.Table) -> pa.Table:
         kinds, batches, blobs = m["kind"].to_pylist(), m["batch"].to_pylist(), m["blob"].to_pylist()
         passed = [(0, x, k, y) for k, x, y in zip(kinds, batches, blobs, strict=True) if k == 1]
         data = {x: y for k, x, y in zip(kinds, batches, blobs, strict=True) if k == 4}
+        name, doc, row, at, batch = opened(m, 6, 4)
+        if len(name):
+            order = np.lexsort((doc.view(np.int64), name))
+            name, doc, row, at, batch = (x[order] for x in (name, doc.view(np.int64), row, at, batch))
+            new = np.concatenate(([True], name[1:] != name[:-1]))
+            later = doc > doc[new][np.cumsum(new) - 1]
+            passed += to_batches(batch[later], 1, row[later], at[later], at[later] + np.uint64(width))
         row, doc, first, count, anchor_id, batch = opened(m, 3, 5)
         if not len(row):
             return mail(passed)
