@@ -13,16 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltrace.llm.kernels import text_bytes, tidied
+from siltrace.llm.kernels import CHUNK, chunks, text_bytes, tidied
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
 DOCS_PER_LANGUAGE = 500  # the training bound: labelled texts of each language
 WINDOWS_PER_DOC = 6  # and windows of each of them, spread over the whole text
-MAX_LANGUAGES = 500
+MAX_LANGUAGES = 200  # at 1.5 KB a text, 150 MB of windows reach the driver at most
 _BATCH = 512  # windows scored at once
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -35,11 +35,11 @@ def windows_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     size = np.diff(offsets)
     count = -(-size // WINDOW)
     text = np.repeat(np.arange(len(size)), count)
-    base = np.repeat(np.concatenate(([0], np.cumsum(count)))[:-1], count)
     out = np.zeros(len(text) * WINDOW, np.uint8)
-    shift = np.repeat(np.concatenate(([0], np.cumsum(count)))[:-1] * WINDOW - offsets[:-1], size)
-    out[np.arange(len(buf)) + shift] = buf
-    assert len(base) == len(text)
+    if len(size) == 1:
+        out[: len(buf)] = buf
+    else:
+        out[np.arange(len(buf)) + np.repeat((np.cumsum(count) - count) * WINDOW - offsets[:-1], size)] = buf
     return out.reshape(-1, WINDOW), text
 
 
@@ -147,11 +147,13 @@ def train_language_model(
     docs_per_language: int = DOCS_PER_LANGUAGE,
     windows_per_doc: int = WINDOWS_PER_DOC,
 ) -> ByteCnn | None:
-    """A network fitted on at most ``docs_per_language`` texts of each language, chosen by a hash of ``order_col``.
+    """A network fitted on at most ``docs_per_language`` texts of each language, chosen by a hash of ``order_col`` and the text.
 
-    Rows with null label or null text teach nothing.  None if no labelled text is left.
+    Rows with null label or null text teach nothing.  None if no labelled text is left; more than MAX_LANGUAGES labels are
+    refused (ValueError).
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(order_col).alias("h"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(text.alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(order_col, text).alias("h"))
     rows = rows.filter(F.col("label").isNotNull() & (F.length("text") > 0))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
@@ -161,6 +163,7 @@ def train_language_model(
     # Thresholds on the hash leave about twice the bound of each language; the bound itself is applied below.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * docs_per_language / n + 50 / n))])
     sampled = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("label")) * (1 << 30)).select("h", "label", "text")
+    first = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,12 +175,12 @@ def train_language_model(
                 blobs.append(own[at].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["h", "label", "windows"])
 
-    bounded = 3 * (docs_per_language + 50) * len(counts)
-    found = sampled.mapInArrow(cut, "h long, label string, windows binary").limit(bounded).collect()
+    windows = sampled.mapInArrow(tidied(cut), "h long, label string, windows binary")
+    found = windows.withColumn("place", first).filter(F.col("place") <= docs_per_language).drop("place").collect()
     languages = sorted(counts)
     xs, ys = [], []
     for k, lang in enumerate(languages):
-        own = sorted((r for r in found if r["label"] == lang), key=lambda r: (r["h"], bytes(r["windows"])))[:docs_per_language]
+        own = sorted((r for r in found if r["label"] == lang), key=lambda r: (r["h"], bytes(r["windows"])))
         for r in own:
             x = np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW)
             xs.append(x)
@@ -206,14 +209,15 @@ def predict_language(docs: DataFrame, model: ByteCnn | None, *, id_col: str = "d
                 letter[i] = _LETTER.search(bytes(buf[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace")) is not None
             names, scores = np.full(n, "und", object), np.zeros(n)
             if model:
-                step = 4096
                 total = np.zeros((n, len(model.languages)))
                 count = np.zeros(n)
-                for lo in range(0, n, step):
-                    own = offsets[lo : lo + step + 1]
+                for lo, hi in chunks(offsets):
+                    own = offsets[lo : hi + 1]
                     x, text = windows_of(buf[own[0] : own[-1]], own - own[0])
-                    np.add.at(total, text + lo, model.logits(x, tables))
-                    count[lo : lo + len(own) - 1] = np.bincount(text, minlength=len(own) - 1)
+                    for at in range(0, len(x), CHUNK // WINDOW):
+                        part, whose = x[at : at + CHUNK // WINDOW], text[at : at + CHUNK // WINDOW] + lo
+                        np.add.at(total, whose, model.logits(part, tables))
+                        count += np.bincount(whose, minlength=n)
                 mean = total / np.maximum(count, 1)[:, None]
                 prob = np.exp(mean - mean.max(1, keepdims=True))
                 prob /= prob.sum(1, keepdims=True)
