@@ -11,6 +11,7 @@ residuals of the steps so far, so that a pass over the table of posteriors repla
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -27,7 +28,8 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.09, "toxic": 0.01}  # shares of the mixture's tokens
 REFERENCE, PASSES = "good", 1.1  # the mixture holds the reference domain's tokens so many times
 PULL = 1e-4  # weight of (rate - 1)**2
-STEPS, TOLERANCE = 60, 5e-4
+STEPS, TOLERANCE = 200, 5e-4
+STALLED = 1e-6  # change of all expected shares in a step below which no further step helps
 
 
 def _counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +49,7 @@ def train_domain_classifier(
     """Weights (features + bias, domains), fitted on at most ``sample`` labelled documents chosen by a hash of their id.
 
     Labels with null quality and not toxic, or without a text, teach nothing; a document with several label rows teaches the
-    largest domain.  None without any labelled text.
+    largest domain, one with several texts the text of smallest hash.  None without any labelled text.
     """
     labelled = labels.select(F.col("doc_id").alias("id"), domain_of(F.col("quality"), F.col("toxic")).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     chosen = labelled.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -64,8 +66,9 @@ def train_domain_classifier(
                 blobs.append(np.stack([at, n]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["id", "y", "f"])
 
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(features, "id long, y int, f binary").limit(2 * sample).collect()
-    rows = sorted((r for r in rows if len(r["f"])), key=lambda r: (r["id"], bytes(r["f"])))
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.mapInArrow(features, "id long, y int, f binary").collect()
+    rows = sorted((r for r in rows if len(r["f"])), key=lambda r: r["id"])
     if not rows:
         return None
     x = []
@@ -110,12 +113,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def domain_posteriors(docs: DataFrame, weights: np.ndarray | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, n_tokens, posteriors) of every whole text; equal posteriors without words or without a classifier."""
+    """(rid, doc_id, text_key, n_tokens, posteriors) of every whole text; equal posteriors without words or without a classifier.
+
+    text_key: a hash of the text, which tells rows of one doc_id apart.
+    """
     k = len(DOMAINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = text_bytes(batch.column(2))
+            buf, offsets = text_bytes(batch.column(3))
             for lo, hi in chunks(offsets):
                 own = offsets[lo : hi + 1]
                 feature, text, n = _counts(buf[own[0] : own[-1]], own - own[0])
@@ -126,22 +132,27 @@ def domain_posteriors(docs: DataFrame, weights: np.ndarray | None, *, id_col: st
                     p[full] = _softmax(z[full] / n[full, None] + weights[-1])
                 posteriors = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), k).cast(pa.list_(pa.float64()))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), posteriors], ["rid", "doc_id", "n_tokens", "posteriors"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n.astype(np.int64)), posteriors], ["rid", "doc_id", "text_key", "n_tokens", "posteriors"])
 
-    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(tidied(run), "rid long, doc_id long, n_tokens long, posteriors array<double>")
+    source = docs.select(
+        F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")
+    )
+    return source.mapInArrow(tidied(run), f"{_DOCUMENT}, n_tokens long, posteriors array<double>")
+
+
+_DOCUMENT = "rid long, doc_id long, text_key long"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(DOMAINS))
 
 
-def _rates(p: np.ndarray, residuals: np.ndarray, pull: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point of the next step) after replaying the steps whose scaled residuals are given."""
+def _rates(p: np.ndarray, residuals: np.ndarray, pull: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, point of the next step) after replaying the steps whose scaled residuals are given; rates lie in [0, most]."""
     r = y = np.ones(len(p))
     t = 1.0
     for e in residuals:
-        new = np.maximum(0.0, y - (p @ e + pull * (y - 1)) / (1 + pull))
+        new = np.clip(y - (p @ e + pull * (y - 1)) / (1 + pull), 0.0, most)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - r)
         r, t = new, t_new
@@ -155,14 +166,17 @@ def fit_rates(
     reference: str = REFERENCE,
     passes: float = PASSES,
     pull: float = PULL,
+    most: float = np.inf,
     steps: int = STEPS,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """(rid, doc_id, n_tokens, posteriors, rate): rates >= 0 whose expected domain tokens match the targets.
+    """The rows of ``posteriors`` with ``rate``, whose expected domain tokens match the targets, and ``residuals``.
 
     targets: each domain's share of the mixture's tokens.  The mixture is as large as its share of the reference domain, at
-    ``passes`` times that domain's expected tokens, asks for.  Steps end when every domain's expected tokens are within ``tolerance`` of all tokens.  Documents
-    without tokens keep rate 1; so do all when no tokens or domains are there.
+    ``passes`` times that domain's expected tokens, asks for.  Rates lie in [0, most].  Steps end when every domain's expected
+    tokens are within ``tolerance`` of all tokens, or when a step no longer changes them: then the targets cannot be met better.
+    residuals: by domain, what the expected tokens are above the target, as a share of all tokens; a warning names them when
+    they exceed the tolerance.  Documents without tokens keep rate 1; so do all when no tokens or domains are there.
     """
     k = len(DOMAINS)
     share = np.array([targets[d] for d in DOMAINS], float)
@@ -176,7 +190,7 @@ def fit_rates(
             out = np.zeros((2, k))
             for batch in batches:
                 p, n = _matrix(batch.column(1)), batch.column(0).to_numpy()
-                r, y = _rates(p, residuals, pull)
+                r, y = _rates(p, residuals, pull, most)
                 out += np.stack([(n * y) @ p, (n * r) @ p])
             yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 1, j]) for i in range(2) for j in range(k)], [f"{a}{b}" for a in "yr" for b in names])
 
@@ -184,34 +198,58 @@ def fit_rates(
         sums = posteriors.select("n_tokens", "posteriors").mapInArrow(run, schema).agg(*[F.sum(f"{a}{b}") for a in "yr" for b in names]).first()
         return np.array([x or 0.0 for x in sums]).reshape(2, k)
 
-    residuals = np.zeros((0, k))
+    residuals, missed = np.zeros((0, k)), np.zeros(k)
     now = totals(residuals)
     tokens = now[1].sum()
     if tokens > 0:
         have = np.maximum(now[1] / tokens, 1e-12)
         at = DOMAINS.index(reference)
         goal = share * passes * have[at] / max(share[at], 1e-12)
+        missed = now[1] / tokens - goal
         for _ in range(steps):
-            if np.abs(now[1] / tokens - goal).max() <= tolerance:
+            if np.abs(missed).max() <= tolerance:
                 break
             residuals = np.vstack([residuals, (now[0] / tokens - goal) / have])
-            now = totals(residuals)
+            before, now = now, totals(residuals)
+            missed = now[1] / tokens - goal
+            if np.abs(now - before).max() / tokens <= STALLED:
+                break
+        if np.abs(missed).max() > tolerance:
+            warnings.warn(f"targets missed by {dict(zip(DOMAINS, missed.round(5).tolist(), strict=True))} of all tokens", stacklevel=2)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r, _ = _rates(_matrix(batch.column(3)), residuals, pull)
-            r = np.where(batch.column(2).to_numpy() > 0, r, 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], ["rid", "doc_id", "n_tokens", "posteriors", "rate"])
+            r, _ = _rates(_matrix(batch.column(4)), residuals, pull, most)
+            r = np.where(batch.column(3).to_numpy() > 0, r, 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], [*batch.schema.names, "rate"])
 
-    return posteriors.select("rid", "doc_id", "n_tokens", "posteriors").mapInArrow(final, "rid long, doc_id long, n_tokens long, posteriors array<double>, rate double")
+    rows = posteriors.select("rid", "doc_id", "text_key", "n_tokens", "posteriors")
+    rated = rows.mapInArrow(final, f"{_DOCUMENT}, n_tokens long, posteriors array<double>, rate double")
+    return rated.withColumn("residuals", F.array(*[F.lit(float(x)) for x in missed]))
 
 
-def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Posteriors and fitted rate of every row of ``docs``.
+def mix_to_targets(
+    docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, *, id_col: str = "doc_id", text_col: str = "text", **fit
+) -> DataFrame:
+    """Posteriors and fitted rate of every row of ``docs``; ``fit`` are further arguments of :func:`fit_rates`.
 
     labels: (doc_id, quality, toxic).  Null and empty texts get equal posteriors and rate 1, repeated rows a rate each; an
     empty table gives an empty result; other columns are not read.
     """
     weights = train_domain_classifier(docs, labels, id_col=id_col, text_col=text_col)
     posteriors = written(domain_posteriors(docs, weights, id_col=id_col, text_col=text_col), "posteriors")
-    return fit_rates(posteriors, targets)
+    return fit_rates(posteriors, targets, **fit)
+
+
+def drawn(docs: DataFrame, rates: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: str = "mixing") -> DataFrame:
+    """``docs`` drawn at their rates: the whole part of a rate is the number of copies, its fraction the probability of one more.
+
+    The draw is a hash of id and text.  Rows of one id and text have one rate; repeats of such a row are drawn alike.
+    """
+    own = [rates["doc_id"], rates["text_key"]]
+    chance = F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor(rates["rate"]) + (chance < rates["rate"] - F.floor(rates["rate"])).cast("long")
+    chosen = rates.select(*own, copies.alias("_copies")).dropDuplicates(["doc_id", "text_key"]).filter("_copies > 0")
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"))
+    met = (row["text_key"] == chosen["text_key"]) & row["doc_id"].eqNullSafe(chosen["doc_id"])
+    return row.join(chosen, met).select("row", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("row.*")
