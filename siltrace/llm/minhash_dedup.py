@@ -1,12 +1,13 @@
 """MinHash near-duplicate components with an LSH forest.
 
-Texts with one shingle set form a class; its smallest id stands for it.  Each of several trees orders the classes by its own
+Texts with one shingle set form a class, whose key is a hash of the set's size and two fingerprints.  Each of several trees orders the classes by its own
 row of minhash values.  Classes that share at least ``depth`` leading values lie in one region.  In a region of moderate
 size all pairs whose signatures agree well enough are candidates; in a crowded one the prefix is deepened until regions are
 small, and each class is also paired with its neighbours by longest common prefix in the sorted order.  Candidates are
 confirmed on the full shingle sets: first each class's best partner, then all candidates that still lie in different
-components, so that no candidate that could join two components goes unconfirmed.  Last, the classes of a crowded region that
-still lie in different components are all compared on their full sets, blocks against blocks over many tasks.
+components, so that no candidate that could join two components goes unconfirmed.  Last, an exact join by prefix filter finds
+all links between different components among the classes of crowded regions: shingles are ordered by how many of these classes
+hold them, and two sets of the threshold's similarity share one of their rarest few.
 """
 
 from __future__ import annotations
@@ -15,19 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltrace.llm.components import connected_components
+from siltrace.llm.components import connected_components, relabelled
 from siltrace.llm.exchange import mail, pack, to_buckets, unpack
 from siltrace.llm.kernels import _LOWER_CODES, Words, chunks, mix, range_hash, range_sums, release_memory, text_bytes, tidied
-from siltrace.llm.storage import written
+from siltrace.llm.storage import dropped, written
 
 TREES, LEVELS = 12, 8
 DEPTH = 2  # shared leading values that make a region: 1 - (1 - 0.8**2)**12 of all pairs at 0.8 meet in some tree
 CROWDED = 64  # classes in a region beyond which it is split by deeper prefixes
 NEIGHBOURS = 12  # classes after each in a crowded region's sorted order that are paired with it
-BLOCK, BLOCK_SHINGLES = 512, 1 << 18  # classes and shingles of a crowded region that are compared with others at once
 LEAST_AGREEMENT = 0.6  # of signatures: five standard deviations below a similarity of 0.8
 
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -61,28 +61,27 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+KEY = ("n_shingles", "set_sum", "set_xor")
+
+
+def _key(h: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Size and two fingerprints of each set: what tells classes apart."""
+    prints = np.zeros((2, len(at) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(at) > 0)
+    if len(full):
+        prints[0, full] = np.add.reduceat(h, at[full])
+        prints[1, full] = np.bitwise_xor.reduceat(mix(h * np.uint64(0xD6E8FEB86659FD93)), at[full])
+    return [pa.array(np.diff(at).astype(np.int64)), *[pa.array(x.view(np.int64)) for x in prints]]
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = text_bytes(batch.column(1))
         for lo, hi in chunks(offsets):
             own = offsets[lo : hi + 1]
             h, at = shingle_sets(buf[own[0] : own[-1]], own - own[0], size)
-            ids = np.zeros((2, len(at) - 1), np.uint64)
-            full = np.flatnonzero(np.diff(at) > 0)
-            if len(full):
-                ids[0, full] = np.add.reduceat(h, at[full])
-                ids[1, full] = np.bitwise_xor.reduceat(mix(h * np.uint64(0xD6E8FEB86659FD93)), at[full])
-            sig = signatures(h, at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array(np.diff(at).astype(np.int64)),
-                    pa.array(ids[0].view(np.int64)),
-                    pa.array(ids[1].view(np.int64)),
-                    pa.array([r.tobytes() for r in sig], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "set_sum", "set_xor", "signature"],
-            )
+            sig = pa.array([r.tobytes() for r in signatures(h, at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *_key(h, at), sig], ["doc_id", *KEY, "signature"])
 
 
 def _nibbles(sig: np.ndarray) -> np.ndarray:
@@ -184,105 +183,73 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             own = offsets[lo : hi + 1]
             h, at = shingle_sets(buf[own[0] : own[-1]], own - own[0], size)
             blobs = [pack(np.sort(h[a:b] >> np.uint64(16))) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([*_key(h, at), pa.array(blobs, pa.binary())], [*KEY, "shingles"])
 
 
 def _confirmed(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, last = [], (None, None)
-            a, b, xs, ys = (batch.column(i).to_pylist() for i in range(4))
-            for i in range(len(a)):
-                if last[0] != b[i]:
-                    last = (b[i], unpack(ys[i])[0])
-                x, y = unpack(xs[i])[0], last[1]
+            good, last, y = [], None, None
+            b, xs, ys = batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+            for i in range(len(b)):  # one pair's sets are unpacked at a time
+                if last != b[i]:
+                    last, y = b[i], unpack(ys[i].as_py())[0]
+                x = unpack(xs[i].as_py())[0]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= threshold * (len(x) + len(y) - common):
                     good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in good], pa.int64()) for v in (a, b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i not in (2, 3)], [n for n in batch.schema.names if n not in "xy"]).take(pa.array(good, pa.int64()))
 
     return run
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have a Jaccard similarity of at least ``threshold`` percent."""
+    """The pairs (a, b, ...) whose full sets have a Jaccard similarity of at least ``threshold`` percent; other columns are long."""
     # Merge joins at every size: pairs and sets both grow with the corpus.
-    sets = sets.hint("merge")
-    with_a = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(tidied(_confirmed(threshold)), "a long, b long")
-
-
-def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 2048) -> np.ndarray:
-    """How many values the sets ``left`` (rows) share with the sets ``right`` (columns)."""
-    text = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-    again = times > 1  # a value of one set alone is shared by none
-    text, code = text[again[code]], (np.cumsum(again) - 1)[code[again[code]]]
-    order = np.argsort(code, kind="stable")
-    text, code = text[order], code[order]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int(again.sum()), width):
-        own = slice(*np.searchsorted(code, (lo, lo + width)))
-        has = np.zeros((len(sets), width), np.float32)
-        has[text[own], code[own] - lo] = 1
-        out += has[left] @ has[right].T
-    return out.astype(np.int64)
-
-
-def _block_links(threshold: int):
-    """The links between two blocks, or within one, that join different components: one for each two components."""
-
-    def run(table: pa.Table) -> pa.Table:
-        sets = [unpack(x)[0] for x in table["shingles"].to_pylist()]
-        ids, component = table["id"].to_numpy(), table["component"].to_numpy()
-        first = np.array([x == y for x, y in zip(table["block"].to_pylist(), table["x"].to_pylist(), strict=True)], bool)
-        left = np.flatnonzero(first)
-        right = left if first.all() and table["x"][0] == table["y"][0] else np.flatnonzero(~first)
-        n = np.array([len(x) for x in sets])
-        common = _common(sets, left, right)
-        linked = 100 * common >= threshold * (n[left][:, None] + n[right] - common)
-        i, j = np.nonzero(linked & (component[left][:, None] != component[right]))
-        i, j = left[i], right[j]
-        _, once = np.unique(np.sort(np.stack((component[i], component[j]), 1), 1), axis=0, return_index=True)
-        i, j = i[once], j[once]
-        release_memory()
-        return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+    sets, more = sets.hint("merge"), [c for c in pairs.columns if c not in ("a", "b")]
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y", *more)
+    return both.mapInArrow(tidied(_confirmed(threshold)), ", ".join(f"{c} long" for c in ("a", "b", *more)))
 
-    return run
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component, n, token) for each shingle of each set."""
+    for batch in batches:
+        ids, components = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for i, blob in enumerate(batch.column(2)):
+            token = unpack(blob.as_py())[0].view(np.int64)
+            same = [np.full(len(token), x, np.int64) for x in (ids[i], components[i], len(token))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, token)], ["id", "component", "n", "token"])
 
 
 def crowded_links(crowds: DataFrame, components: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
-    """Links (a, b) between different components of one crowded region, of all its pairs; None if every region is one component.
+    """All links (a, b, ca, cb) between different components ca, cb among the classes of crowded regions; None if there can be none.
 
-    A component that fills more than a block has blocks of its own, which are not compared with each other; smaller ones
-    are dealt into common blocks.  Blocks are bounded, and every two of a region that must meet are a task's group.
+    An exact set join by prefix filter.  Shingles that no two components share come first in the order, then the others by the
+    number of classes that hold them: of a class, only the first few of that order, as many as a partner may lack and one more,
+    meet those of others.  What is left of both sets behind the common shingle must be able to reach the threshold.
     """
-    parts = lambda: F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK))
-    own = crowds.join(components, "id", "left").select("region", "id", "size", F.coalesce("component", "id").alias("component"))
+    own = crowds.select("region", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = own.groupBy("region").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("region")
-    own = written(own.join(mixed, "region", "left_semi"), "crowds")
+    own = written(own.join(mixed, "region", "left_semi").select("id", "component").distinct(), "crowds")
     if own.isEmpty():
         return None
-    large = own.groupBy("region", "component").agg(parts().alias("parts")).filter("parts > 1")
-    placed = own.hint("merge").join(large, ["region", "component"], "left")
-    common = placed.filter("parts IS NULL").groupBy("region").agg(parts().alias("all_parts"))
-    placed = placed.join(common, "region", "left").select(
-        "region",
-        "id",
-        "component",
-        F.when(F.col("parts") > 1, F.col("component")).alias("owner"),
-        F.when(F.col("parts") > 1, F.concat_ws(":", "component", F.pmod(F.xxhash64("id"), "parts")))
-        .otherwise(F.concat(F.lit(":"), F.pmod(F.xxhash64("component"), "all_parts")))
-        .alias("block"),
-    )
-    placed = written(placed, "blocks")
-    blocks = placed.select("region", "block", "owner").distinct()
-    x, y = (blocks.select("region", F.col("block").alias(b), F.col("owner").alias(f"owner_{b}")) for b in "xy")
-    meet = x.join(y, "region").filter("x <= y AND NOT coalesce(owner_x = owner_y, false)")
-    meet = meet.select("region", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    rows = placed.drop("owner").hint("merge").join(sets, "id").hint("merge").join(meet, ["region", "block"])
-    return rows.groupBy("region", "x", "y").applyInArrow(_block_links(threshold), "a long, b long").distinct()
+    packed = sets.hint("merge").join(own, "id").select("id", "component", "shingles")
+    tokens = written(packed.mapInArrow(tidied(_shingle_rows), "id long, component long, n long, token long"), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    common = written(common.filter("c0 <> c1").select("token", "held"), "common-tokens")
+    ranked = tokens.hint("merge").join(common, "token", "left")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("held", F.lit(0)), "token"))
+    first = ranked.withColumn("place", place).filter(F.col("held").isNotNull() & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1))
+    first = written(first.select("id", "component", "n", "place", "token"), "prefixes")
+    x, y = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "place")]) for side in "xy")
+    least = F.ceil((F.col("n_x") + F.col("n_y")) * threshold / (100 + threshold))
+    left = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    met = x.hint("merge").join(y, "token").filter((F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & (left >= least))
+    pairs = written(met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("component_x").alias("ca"), F.col("component_y").alias("cb")).distinct(), "crowded-pairs")
+    for table in (tokens, common, first):
+        dropped(table)
+    return None if pairs.isEmpty() else confirm(pairs, sets, threshold)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
@@ -302,38 +269,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         tidied(lambda it: _fingerprints(it, shingle)), "doc_id long, n_shingles long, set_sum long, set_xor long, signature binary"
     )
     marks = written(marks, "signatures")
-    key = ["n_shingles", "set_sum", "set_xor"]
-    classes = written(
-        marks.filter(F.col("n_shingles") > 0).groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")).filter("id IS NOT NULL"),
-        "classes",
-    )
+    class_id = F.xxhash64(*KEY).alias("id")
+    marked = marks.filter(F.col("n_shingles") > 0)
+    classes = marked.groupBy(*KEY).agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")).filter("least IS NOT NULL")
+    classes = written(classes.withColumn("id", class_id), "classes")
     n_buckets = max(12, classes.count() // 4096)
     plant = classes.select("id", "n_shingles", "signature").mapInArrow(tidied(_plant(n_buckets)), "bucket long, batch long, kind int, blob binary")
     found = written(plant.groupBy("bucket").applyInArrow(_candidates, "a long, b long, agreement double, region long, size long"), "regions")
     pairs = written(found.filter("region IS NULL").groupBy("a", "b").agg(F.max("agreement").alias("agreement")), "candidates")
-    crowds = found.filter("region IS NOT NULL").select("region", F.col("a").alias("id"), "size")
+    crowds = found.filter("region IS NOT NULL").select("region", F.col("a").alias("id"))
 
+    # The full set of a class is made from the text of its smallest id; other texts of that id make sets that nothing asks for.
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
-    texts = source.withColumnRenamed("doc_id", "id").hint("merge").join(wanted, "id", "left_semi")
-    sets = written(texts.mapInArrow(tidied(lambda it: _sets(it, shingle)), "id long, shingles binary").dropDuplicates(["id"]), "sets", "none")
+    holders = classes.select("id", "least").join(wanted, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    texts = source.hint("merge").join(holders, "doc_id", "left_semi").select("doc_id", "text")
+    made = texts.mapInArrow(tidied(lambda it: _sets(it, shingle)), "n_shingles long, set_sum long, set_xor long, shingles binary")
+    sets = written(made.filter("n_shingles > 0").select(class_id, "shingles").dropDuplicates(["id"]), "sets", "none")
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agreement", -F.col("a"))).alias("a"))
-    first = written(confirm(best.select("a", "b"), sets, threshold), "confirmed")
-    joined = connected_components(first)
+    # Each class's best partner has the smaller key of the two: these links are a forest.
+    components = connected_components(confirm(best.select("a", "b"), sets, threshold))
 
     def labelled(pairs: DataFrame, column: str, to: str) -> DataFrame:
-        own = joined.select(F.col("id").alias(column), F.col("component").alias(to))
-        return pairs.join(own, column, "left").withColumn(to, F.coalesce(to, column))
+        own = components.select(F.col("id").alias(column), F.col("component").alias(to))
+        return pairs.hint("merge").join(own, column, "left").withColumn(to, F.coalesce(to, column))
 
+    joins = lambda links: connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     apart = labelled(labelled(pairs.select("a", "b"), "a", "ca"), "b", "cb").filter("ca <> cb")
-    second = confirm(apart.select("a", "b"), sets, threshold)
-    components = connected_components(first.unionByName(second))
+    components = relabelled(components, joins(confirm(apart.select("a", "b", "ca", "cb"), sets, threshold)))
     rest = crowded_links(crowds, components, sets, threshold)
     if rest is not None:
-        components = connected_components(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
-
-    members = classes.select(*key, "id").join(components, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
-    return marks.join(members, key, "left").select(
+        components = relabelled(components, joins(rest))
+
+    # A component is named by the smallest doc_id of its classes.
+    linked = components.hint("merge").join(classes.select("id", "least"), "id")
+    named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("id", "component_id")
+    members = classes.select(*KEY, "id", "least").hint("merge").join(named, "id", "left").select(*KEY, F.coalesce("component_id", "least").alias("component_id"))
+    known = marked.drop("signature").hint("merge").join(members, list(KEY), "left")
+    empty = marks.filter(F.col("n_shingles") == 0).drop("signature").withColumn("component_id", F.lit(None).cast("long"))
+    return known.unionByName(empty).select(
         "doc_id",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
