@@ -110,10 +110,10 @@ def tree_depth(df: DataFrame, features: Sequence[str], depths: Sequence[int] = D
     return _first_best(fold_scores(df, features, {d: tree(d) for d in depths}, folds))
 
 
-def searched_tree(df: DataFrame, features: Sequence[str], seed: int = 42, depths: Sequence[int] = DEPTHS) -> DataFrame:
+def searched_tree(df: DataFrame, features: Sequence[str], seed: int = 42, depths: Sequence[int] = DEPTHS, folds: int = 4) -> DataFrame:
     """Test rows with y_pred of a tree whose depth was chosen on the training lots alone."""
     split = written(lot_split(df, seed), "split")
-    depth = tree_depth(split.filter("NOT is_test").drop("is_test"), features, depths)
+    depth = tree_depth(split.filter("NOT is_test").drop("is_test"), features, depths, folds)
     return trained_predictions(df, features, tree(depth, seed), seed)
 
 
