@@ -105,6 +105,25 @@ def _template_rows() -> str:
 
 
 ORACLES = {
+    "op2_suffix_dedup": r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+piece AS (SELECT doc_id, p, substr(h, 512 * p + 1, 610) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 512 + 1)) AS p FROM b)),
+win AS (SELECT doc_id, 256 * p + j AS i, substr(s, 2 * j - 1, 100) AS k FROM (SELECT doc_id, p, s, unnest(range(1, least(257, len(s) // 2 - 48))) AS j FROM piece)),
+firsts AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM win JOIN firsts USING (k) WHERE doc_id > m),
+runs AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit),
+spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 49 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM runs) GROUP BY doc_id, g),
+cuts AS (
+  SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS back FROM spans),
+kept AS (
+  SELECT doc_id, string_agg(h[2 * before + 1 : 2 * a - 2], '' ORDER BY a) || any_value(h[2 * z + 1 :]) FILTER (back = 1) AS t,
+    sum(z - a + 1) AS n, count(*) AS spans
+  FROM cuts JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id)
+""",
     "op1_topk_search": r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
