@@ -2,7 +2,9 @@
 
 Rows are sparse: (id, terms, weights).  Queries and candidates are cut into blocks of bounded size, and every pair of blocks
 is one task's work: each term's postings are scattered, weighted by the query rows that hold the term, into a dense score
-array (candidates x queries); the k best of the block are selected and the blocks' selections merged.
+array (queries x candidates), a tile at a time; partition gives each query's k largest scores of the tile, which are merged with
+those of earlier tiles, and the blocks' selections are merged last.  Blocks are large, as every candidate is sent once for each
+block of queries, and every query once for each block of candidates.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES_PER_BLOCK = 4096
-QUERIES_PER_BLOCK = 2048
-_TILE = 64  # candidates whose scores are held at once
+CANDIDATES_PER_BLOCK = 32_768
+QUERIES_PER_BLOCK = 16_384
+_TILE_SCORES = 1 << 21  # held at once
+_NONE = np.iinfo(np.int64).min
 
 _ROW = "id long, terms array<int>, weights array<long>"
 
@@ -49,54 +52,50 @@ def _postings(row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> dict[int
 
 
 def _scores(c: tuple, q_postings: dict, n_queries: int, lo: int, hi: int) -> np.ndarray:
-    """Dense scores (candidates lo..hi x queries), accumulated term by term."""
+    """Dense scores (queries x candidates lo..hi), accumulated term by term."""
     _, row, term, weight = c
     a, b = np.searchsorted(row, [lo, hi])
-    out = np.zeros((hi - lo, n_queries), np.int64)
+    out = np.zeros((n_queries, hi - lo), np.int64)
     for t, (own, w) in _postings(row[a:b] - lo, term[a:b], weight[a:b]).items():
         if t not in q_postings:
             continue
         queries, qw = q_postings[t]
-        if len(queries) == n_queries:
-            out[own] += w[:, None] * qw
+        if len(queries) == n_queries and len(own) == hi - lo:
+            out += qw[:, None] * w
         else:
-            out[np.ix_(own, queries)] += w[:, None] * qw
+            out[np.ix_(queries, own)] += qw[:, None] * w
     return out
 
 
-def _select(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, equal scores by ascending place (ids ascend)."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    above = np.flatnonzero(scores > least)
-    return np.concatenate((above, np.flatnonzero(scores == least)[: k - len(above)]))
+def _first_of_each(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, by descending score, then id."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], ids[place < k], scores[place < k]
 
 
 def _block(k: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[list[np.ndarray]] = [[], [], []]
+        empty = np.zeros(0, np.int64)
+        best = (empty, empty, empty)  # (query's place, candidate, score)
+        asked = empty
         if candidates.num_rows and queries.num_rows:
             c, q = _csr(candidates), _csr(queries)
-            q_postings = _postings(*q[1:])
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q[0])
-            for lo in range(0, len(c[0]), _TILE * 16):
-                hi = min(lo + _TILE * 16, len(c[0]))
-                tiles = [_scores(c, q_postings, len(q[0]), t, min(t + _TILE, hi)) for t in range(lo, hi, _TILE)]
-                dense = np.ascontiguousarray(np.concatenate(tiles).T)
-                for j, own in enumerate(q[0]):
-                    others = c[0][lo:hi] != own
-                    ids = np.concatenate((best[j][0], c[0][lo:hi][others]))
-                    scores = np.concatenate((best[j][1], dense[j][others]))
-                    order = np.argsort(ids, kind="stable")
-                    ids, scores = ids[order], scores[order]
-                    at = _select(ids, scores, k)
-                    best[j] = ids[at], scores[at]
-            for own, (ids, scores) in zip(q[0], best, strict=True):
-                found[0].append(np.full(len(ids), own))
-                found[1].append(ids)
-                found[2].append(scores)
-        return pa.table({n: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for n, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
+            asked, n, q_postings = q[0], len(q[0]), _postings(*q[1:])
+            least = np.full(n, _NONE)  # a query's k-th best score so far
+            step = max(k + 1, _TILE_SCORES // n)
+            for lo in range(0, len(c[0]), step):
+                ids = c[0][lo : lo + step]
+                dense = _scores(c, q_postings, n, lo, lo + len(ids))
+                own = asked[:, None] == ids
+                dense[own] = _NONE
+                floor = np.maximum(least, np.partition(dense, len(ids) - k, axis=1)[:, len(ids) - k]) if len(ids) > k else least
+                i, j = np.nonzero((dense >= floor[:, None]) & ~own)
+                best = _first_of_each(*[np.concatenate(x) for x in zip(best, (i, ids[j], dense[i, j]), strict=True)], k)
+                full = np.flatnonzero(np.bincount(best[0], minlength=n) == k)
+                least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+        return pa.table({"query_id": asked[best[0]], "vec_id": best[1], "score": best[2]})
 
     return run
 
@@ -115,7 +114,9 @@ def topk_search(
     A query with fewer than k candidates gets all; with none it has no rows.  Repeated candidate rows each take a rank;
     repeated query rows count once.  Terms that one side lacks add nothing, so vectors may differ in length.
     """
-    n_c = max(1, -(-candidates.count() // candidates_per_block))
+    # Small tables are cut into as many blocks as there are cores.
+    rows, cores = candidates.count(), candidates.sparkSession.sparkContext.defaultParallelism
+    n_c = max(1, -(-rows // candidates_per_block), min(cores, rows // 1024))
     n_q = max(1, -(-queries.count() // queries_per_block))
     unique = queries.dropDuplicates(["id"])
     pick = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
