@@ -73,9 +73,9 @@ def url_filter(
         .withColumn("rule_digest", F.sha2("rule_text", 256))
         .withColumn("rule_short", F.substring("rule_digest", 1, prefix_hex))
     )
-    hits = probes.join(
-        F.broadcast(table), (F.col("short") == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest")), "left"
-    )
+    # The short prefix alone is the join's key; >= and <= confirm the full digest of what it finds.
+    confirmed = (F.col("digest") >= F.col("rule_digest")) & (F.col("digest") <= F.col("rule_digest"))
+    hits = probes.join(F.broadcast(table), (F.col("short") == F.col("rule_short")) & confirmed, "left")
     best = F.max(
         F.when(
             F.col("rule_text").isNotNull(),
