@@ -1,8 +1,10 @@
 """Each operator against the plain form of its contract, on texts with nulls, empties, copies, ties and clashing columns."""
 
+import json
 import math
 import random
 import re
+import warnings
 
 import numpy as np
 import pytest
@@ -13,10 +15,10 @@ from tests.sqlcheck import same
 from siltrace.llm import queries as Q
 from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode
 from siltrace.llm.components import connected_components
-from siltrace.llm.language_id import held_out, predict_language, train_language_model
+from siltrace.llm.language_id import WIDTHS, WINDOW, ByteCnn, held_out, predict_language, train_language_model, windows_of
 from siltrace.llm.license_scan import license_labels, license_scan
 from siltrace.llm.minhash_dedup import near_duplicates
-from siltrace.llm.mixing import DOMAINS, domain_posteriors, fit_rates, mix_to_targets
+from siltrace.llm.mixing import DOMAINS, domain_posteriors, drawn, fit_rates, mix_to_targets
 from siltrace.llm.quality_rules import quality_filter, quality_rules
 from siltrace.llm.substring_dedup import substring_dedup
 from siltrace.llm.suffix_dedup import deep_buckets, suffix_dedup, suffix_digests
@@ -24,6 +26,9 @@ from siltrace.llm.topk_search import sparse_rows, topk_search
 from siltrace.llm.url_filter import url_filter
 
 
+POSTERIORS = "rid long, doc_id long, text_key long, n_tokens long, posteriors array<double>"
+
+
 def pairs(corpus):
     return [(r[0], r[1]) for r in corpus]
 
@@ -98,15 +103,127 @@ def test_repeated_ids_never_remove_each_other(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup(df).collect()) == [(0, 60), (1, 0), (1, 0)]
 
 
+def repeating(n, seed=3):
+    """Texts of odd lengths with shared passages, copies and runs of one letter."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(200)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages, rows = [prose(70), prose(55), prose(200)], []
+    for i in range(n):
+        t = prose(rng.randint(0, 120)) + (f" {rng.choice(passages)} {prose(rng.randint(0, 30))}" if rng.random() < 0.5 else "")
+        t = "a" * rng.randint(0, 200) if rng.random() < 0.1 else rng.choice(rows)[1] if rows and rng.random() < 0.2 else t
+        rows.append((i, t if rng.random() > 0.03 else None))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("hot", [4096, 0, 2])
+def test_suffix_dedup_over_many_batches_and_hot_anchors(spark, hot):
+    rows = repeating(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in suffix_digests(suffix_dedup(df, batch_bytes=4000, hot_stretches=hot)).collect()}
+    assert got == brute.byte_repeats(rows)
+
+
+def test_one_anchor_in_every_text(spark):
+    # 40 bytes that every text holds between bytes of its own: one anchor, many different strings, few of them repeated.
+    rng = random.Random(8)
+    own = lambda: "".join(rng.choice("xyz") for _ in range(rng.randint(3, 12)))
+    rows = [(i, f"{own()}0123456789abcdefghijklmnopqrstuvwxyz+-*/{own()}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (10, 4096):
+        got = {r.doc_id: tuple(r) for r in suffix_digests(suffix_dedup(df, batch_bytes=3000, hot_stretches=hot)).collect()}
+        assert got == brute.byte_repeats(rows)
+
+
+def test_substring_dedup_over_many_batches(spark):
+    rows = repeating(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup(df, batch_bytes=4000).collect()}
+    assert got == brute.word_repeats(rows)
+
+
+def test_dedup_of_very_long_texts(spark):
+    # One text above the size that is handled at once and above a batch, and one that repeats parts of it.
+    rng = random.Random(4)
+    text = " ".join(f"{rng.randrange(10**6):06d}" for _ in range(200_000))
+    part = text[700_000:700_700]
+    df = spark.createDataFrame([(1, text), (2, f"new words before {part} and after"), (None, text), (None, part)], "doc_id long, text string")
+    words = len(brute.WORD.findall(part.strip()))
+    got = sorted((r.doc_id or 9, r.n_words, r.n_removed) for r in substring_dedup(df, batch_bytes=1 << 19).collect())
+    assert [g for g in got if g[0] < 9] == [(1, 200_000, 0), (2, words + 5, words)] or got[1][2] in (words - 2, words - 1)
+    assert sorted(g[1:] for g in got if g[0] == 9)[1] == (200_000, 200_000)
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, len(r.spans)) for r in suffix_dedup(df, batch_bytes=1 << 19).collect()}
+    assert got[(1, len(text))] == (0, 0) and got[(None, len(text))] == (len(text), 1) and got[(None, len(part))] == (len(part), 1)
+    assert got[(2, 17 + len(part) + 10)] [0] >= len(part)
+
+
+def test_rows_without_an_id_lie_in_many_batches(spark):
+    from siltrace.llm.exchange import Rounds
+
+    df = spark.createDataFrame([(None, f"text number {i}") for i in range(200)], "doc_id long, text string")
+    sizes = [r["count"] for r in Rounds(df, "doc_id", "text", batch_bytes=300).texts.groupBy("batch").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 60
+
+
+def test_carried_columns_must_not_clash(docs):
+    for run in (substring_dedup, suffix_dedup):
+        with pytest.raises(ValueError, match="spans"):
+            run(docs.withColumn("Spans", F.lit(1)), carry=("Spans",))
+
+
 # 3
 
 
+def least_squares(p, n, goal, have, pull, most, rounds=60_000):
+    """The fit of rates in its plainest form: projected gradient on the dense problem until nothing changes."""
+    r, weight = np.ones(len(n)), n / n.sum()
+    for _ in range(rounds):
+        new = np.clip(r - (p @ (((weight * r) @ p - goal) / have) + pull * (r - 1)) / (1 + pull), 0, most)
+        if np.abs(new - r).max() < 1e-13:
+            break
+        r = new
+    return r
+
+
+@pytest.mark.parametrize("most", [np.inf, 1.2])
+def test_rates_equal_dense_least_squares(spark, most):
+    rng = np.random.default_rng(2)
+    p, n = rng.dirichlet([0.4, 0.3, 0.3], 300), rng.integers(1, 200, 300)
+    df = spark.createDataFrame([(i, i, i, int(k), [float(x) for x in q]) for i, (k, q) in enumerate(zip(n, p, strict=True))], POSTERIORS)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        fit = fit_rates(df, {"good": 0.7, "poor": 0.2, "toxic": 0.1}, passes=1.0, pull=0.02, most=most, steps=150, tolerance=0.0)
+    rows = sorted(fit.collect(), key=lambda r: r.rid)
+    have = (n / n.sum()) @ p
+    goal = np.array([0.7, 0.2, 0.1]) / 0.7 * have[0]
+    want = least_squares(p, n, goal, have, 0.02, most)
+    assert np.abs(np.array([r.rate for r in rows]) - want).max() < 2e-3
+    assert np.abs(np.array(rows[0].residuals) - ((n / n.sum() * want) @ p - goal)).max() < 1e-3
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    df = spark.createDataFrame([(i, i, i, 10, [0.5, 0.3, 0.2]) for i in range(5)], POSTERIORS)
+    with pytest.warns(UserWarning, match="targets missed"):
+        rows = fit_rates(df, {"good": 0.9, "poor": 0.05, "toxic": 0.05}).collect()
+    assert max(map(abs, rows[0].residuals)) > 0.01
+
+
+def test_drawn_copies_follow_the_rates(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", 0) for i in range(3000)] + [(None, "x", 1), (None, "x", 1)], "doc_id long, text string, _copies long")
+    rate = F.when(F.col("doc_id") < 1000, 0.25).when(F.col("doc_id") < 2000, 1.5).when(F.col("doc_id") < 3000, 0.0).otherwise(2.0)
+    got = drawn(docs, docs.select("doc_id", F.xxhash64("text").alias("text_key"), rate.alias("rate")))
+    assert got.schema == docs.schema
+    n = {r.k: r["count"] for r in got.groupBy(F.floor(F.col("doc_id") / 1000).alias("k")).count().collect()}
+    assert 200 < n[0] < 300 and 1430 < n[1] < 1570 and 2 not in n and n[None] == 4
+
+
 def test_rates_meet_targets(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.3, 0.3, 0.3], 800)
     n = rng.integers(0, 200, 800)
-    rows = [(i, i, int(k), [float(x) for x in q]) for i, (k, q) in enumerate(zip(n, p, strict=True))]
-    df = spark.createDataFrame(rows, "rid long, doc_id long, n_tokens long, posteriors array<double>")
+    rows = [(i, i, i, int(k), [float(x) for x in q]) for i, (k, q) in enumerate(zip(n, p, strict=True))]
+    df = spark.createDataFrame(rows, POSTERIORS)
     out = {r.rid: r.rate for r in fit_rates(df, {"good": 0.6, "poor": 0.3, "toxic": 0.1}, passes=1.0).collect()}
     rate = np.array([out[i] for i in range(800)])
     assert (rate >= 0).all() and (rate[n == 0] == 1).all()
@@ -140,12 +257,35 @@ def test_frequent_lines_are_removed_and_copies_count_once(spark):
     common = "Accept  all cookies to continue reading this page"
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
     rows = [(i, f"{common.upper() if i % 2 else common}\n{body(i)}", "h") for i in range(40)]
-    rows += [(100 + i, body(1000) + "\nown line of the copies", "h") for i in range(60)]
     rows += [(200, "\n".join([common] * 12), "h"), (201, f"{common}\n{body(7)}", "other"), (202, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r.doc_id: r.text for r in quality_filter(df, min_docs=5).collect()}
+    df = df.unionByName(spark.createDataFrame([(100 + i, body(1000) + "\nown line of the copies", "h") for i in range(60)], df.schema))
+    kept = {r.doc_id: r.text for r in quality_filter(df, copies_once=True).collect()}
     assert {*range(40), *range(100, 160), 201} == set(kept)
     assert kept[3] == body(3) and kept[100].endswith("copies") and kept[201].startswith("Accept")
+    # By documents the lines of 60 copies are above the limit too: nothing of them is left.
+    assert {r.doc_id for r in quality_filter(df).collect()} == {*range(40), 201}
+
+
+def test_a_line_in_a_twelfth_of_a_large_host_is_removed(spark):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, f"{body(i)}\nshare this page\n" if i % 12 == 0 else body(i), "large") for i in range(600)]
+    rows += [(1000 + i, f"{body(1000 + i)}\nin five documents only" if i < 5 else body(1000 + i), "small") for i in range(50)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, r in got.items() if r.n_removed_words} == set(range(0, 600, 12))
+    assert all(r.n_removed_words in (0, 3) and r.kept for r in got.values())
+
+
+def test_quality_filter_by_host_and_with_any_column_names(spark):
+    body = " ".join(f"w{j}" for j in range(60))
+    rows = [(7, f"{body}\nfoot of a", "a", 1), (7, f"{body}\nfoot of a", "b", 2)]
+    rows += [(10 + i, f"{body} {i}\nfoot of a", "a", i) for i in range(6)]
+    rows += [(30 + i, f"{body} b{i}", "b", i) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _lines long")
+    df = df.withColumns({c: F.col("_lines") for c in ("_id", "_key", "row", "host", "text_key", "removed_lines", "kept")})
+    got = quality_filter(df)
+    assert got.columns == df.columns and got.schema == df.schema
+    assert {(r.source, r.text.endswith("foot of a")) for r in got.filter("doc_id = 7").collect()} == {("a", False), ("b", True)}
 
 
 def test_quality_of_nothing(no_docs):
@@ -188,9 +328,62 @@ def test_license_phrases_and_notices(spark, no_docs):
     assert license_labels(license_scan(no_docs)).count() == 0
 
 
+def test_license_notices_by_their_distinct_grams(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    texts = {
+        "under the terms " * 9: "",
+        "under the terms of " * 10: "",
+        "words before. This work is licensed under the GNU General Public License, version 3. And after": "gpl",
+        "LICENSED under the GNU Lesser General Public License v3": "lgpl",
+        gpl: "gpl",
+        gpl.replace("General", "Lesser General"): "lgpl",
+        f"{gpl.replace('redistribute it and/or modify it', 'share it')} and under the terms of the GNU Lesser General Public License as published there by the Free Software Foundation": "gpl,lgpl",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "Licensed under the Mozilla Public License, version 2.0, or under the BSD license": "bsd,mpl-2",
+        "licensed under the BSD license": "bsd",
+        "\u212apache license version 2 \u0130n under the m\u0131t license": "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_labels(license_scan(df)).collect()}
+    assert [got[i].labels for i in range(len(texts))] == list(texts.values())
+    assert all((r.score > 0) == bool(r.labels) and r.base_labels == "" for r in got.values())
+
+
 # 7
 
 
+def test_lookups_equal_direct_convolution():
+    rng = np.random.default_rng(6)
+    model = ByteCnn(["a", "b", "c"], seed=3)
+    x = rng.integers(0, 256, (9, WINDOW)).astype(np.uint8)
+    e, pooled = model.p["E"][x], []
+    for w in WIDTHS:
+        answers = np.stack([sum(e[:, at + j] @ model.p[f"W{w}"].reshape(w, model.dim, -1)[j] for j in range(w)) for at in range(WINDOW - w + 1)], 1)
+        pooled.append(answers.max(1))
+    want = np.maximum(np.concatenate(pooled, 1), 0) @ model.p["V"] + model.p["c"]
+    assert np.abs(model.logits(x, model.tables()) - want).max() < 1e-3
+
+
+def test_windows_of_many_texts_and_of_one():
+    texts = [b"", b"x" * 300, b"y" * 256, b"z"]
+    buf, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    out, text = windows_of(buf, at)
+    assert text.tolist() == [1, 1, 2, 3] and bytes(out[1]) == b"x" * 44 + bytes(212) and bytes(out[2]) == b"y" * 256
+    one, _ = windows_of(buf[:300], np.array([0, 300]))
+    assert (one == out[:2]).all()
+
+
+def test_prediction_of_a_very_long_text_is_the_mean_over_its_windows(spark):
+    model = ByteCnn(["a", "b"], seed=5)
+    text = " ".join(str(i) for i in range(400_000)) + " end"
+    x, _ = windows_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    mean = model.logits(x, model.tables()).mean(0)
+    want = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+    r = predict_language(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert r.lang_pred == model.languages[int(want.argmax())] and abs(r.score - want.max()) < 1e-3
+
+
 def test_language_accuracy_on_held_out_rows(spark, sf):
     out = Q.op7_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = out.filter("held_out AND lang_pred <> 'und'")
@@ -226,6 +419,30 @@ def test_bpe_equals_the_library(spark, docs, corpus, no_docs):
     assert bpe_encode(no_docs, path).count() == 0
 
 
+def test_vocabulary_files_of_another_kind_are_refused(tmp_path, docs):
+    with open(Q.vocabulary(), encoding="utf-8") as f:
+        text = f.read()
+    for change in ({"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"model": {**json.loads(text)["model"], "byte_fallback": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps({**json.loads(text), **change}), encoding="utf-8")
+        with pytest.raises(ValueError, match="vocabulary file"):
+            bpe_encode(docs, str(path))
+        path.unlink()
+        from siltrace.llm import bpe
+
+        bpe.load.cache_clear()
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    from siltrace.llm import bpe
+
+    encoder, text = bpe.Bpe(Q.vocabulary()), " ".join(f"word{i % 40} Zürich's" for i in range(200))
+    want = encoder.encode(text)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 1000)
+    small = bpe.Bpe(Q.vocabulary())
+    assert small.encode(text) == want and len(small.words) < 6
+
+
 # 9
 
 
@@ -243,6 +460,28 @@ def test_near_duplicates_with_odd_ids(spark, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_a_hub_keeps_all_its_leaves(spark):
+    # 400 texts of two changed words each: 0.85 to the hub, 0.72 to each other.
+    rng, hub = random.Random(6), [f"h{j}" for j in range(103)]
+    rows = [(1000, " ".join(hub))]
+    for i in range(400):
+        own = list(hub)
+        for at in (rng.randrange(4, 45), rng.randrange(55, 98)):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 401
+
+
+def test_all_texts_of_a_repeated_id_keep_their_links(spark):
+    text = lambda c, last="": " ".join([f"{c}{j}" for j in range(40)] + ([last] if last else []))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a", "x")), (3, text("b", "y")), (4, text("c"))]
+    for _ in range(2):
+        rows.reverse()
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_links_of_a_crowded_template_are_all_found(spark):
     # 92 words of a template and 17 own ones: similarity 0.73 to all others; each of 200 planted pairs shares 7 own words more: 0.83.
     template, n, pairs_of = " ".join(f"t{j}" for j in range(92)), 2000, 200
@@ -257,8 +496,8 @@ def test_links_of_a_crowded_template_are_all_found(spark):
     assert got == want
 
 
-def test_blocks_of_a_crowded_region_meet(spark):
-    # One component of 1,300 classes (blocks of its own) and 700 single ones, of which 30 are linked with one of its members each.
+def test_components_of_a_crowded_region_meet(spark):
+    # One component of 1,300 classes and 700 single ones, of which 30 are linked with one of its members each.
     from siltrace.llm.exchange import pack
     from siltrace.llm.minhash_dedup import crowded_links
 
@@ -294,3 +533,16 @@ def test_url_rules(spark):
     assert url_filter(df, Q.URL_RULES).count() == len(urls) + 1
     assert url_filter(df.filter("page_id < 0"), Q.URL_RULES).count() == 0
     assert {r.verdict for r in url_filter(df, [], default_verdict="block").collect()} == {"block"}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from siltrace.llm.storage import shared_dir
+
+    class Session:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)

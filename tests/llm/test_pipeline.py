@@ -1,6 +1,7 @@
 """The pipeline against brute-force forms of its stages."""
 
 from tests.llm import brute
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 
@@ -34,8 +35,21 @@ def test_stages_take_effect(spark, docs, corpus, sf):
     assert four.columns == list(P.COLUMNS)
     assert {r.doc_id for r in four.collect()} <= kept
 
-    five = P.encoding(spark, four, top)
-    assert five.count() == four.count() and five.filter("n_tokens <> size(ids)").count() == 0
+    lib = Tokenizer.from_file(P.vocabulary())
+    five = sorted((r.doc_id, r.ids, r.n_tokens, r.decoded) for r in P.encoding(spark, four, top).collect())
+    ids = {r.text: lib.encode(r.text, add_special_tokens=False).ids for r in four.collect()}
+    assert five == sorted((r.doc_id, ids[r.text], len(ids[r.text]), lib.decode(ids[r.text], skip_special_tokens=False)) for r in four.collect())
+
+
+def test_the_drawn_corpus_meets_its_targets(spark, sf):
+    from siltrace.llm.mixing import DOMAINS, TARGETS, domain_posteriors, train_domain_classifier
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    weights = train_domain_classifier(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = domain_posteriors(P.mixing(spark, docs, sf), weights).collect()
+    totals = [sum(r.n_tokens * r.posteriors[i] for r in rows) for i in range(len(DOMAINS))]
+    assert all(abs(t / sum(totals) - TARGETS[d]) < 0.01 for d, t in zip(DOMAINS, totals, strict=True))
 
 
 def test_run_over_a_small_folder(spark, sf):
