@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltrace.llm.bpe import bpe_decode, bpe_encode
+from siltrace.llm.bpe import bpe_decode, bpe_encode, vocabulary
 from siltrace.llm.minhash_dedup import near_duplicates
-from siltrace.llm.mixing import mix_to_targets
+from siltrace.llm.mixing import drawn, mix_to_targets
 from siltrace.llm.quality_rules import quality_filter
-from siltrace.llm.queries import vocabulary
 from siltrace.llm.storage import written
 from siltrace.llm.substring_dedup import substring_dedup
 
@@ -21,8 +20,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the boilerplate lines of their host."""
-    return quality_filter(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents that pass the quality rules, without the boilerplate lines of their host.
+
+    Copies of a text count once among their host's documents, as the next stage is to keep one of them."""
+    return quality_filter(docs.select(*COLUMNS), copies_once=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +40,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at their fitted rates: one of rate 1 or more stays, others stay with their rate as probability."""
+    """Documents drawn at their fitted rates, of which those above 1 give copies; as many good tokens as there are."""
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rates = written(mix_to_targets(docs, labels).groupBy("doc_id").agg(F.max("rate").alias("rate")), "rates")
-    drawn = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rates.filter(drawn < F.col("rate")).select("doc_id")
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    rates = written(mix_to_targets(docs, labels, passes=1.0).select("doc_id", "text_key", "rate"), "rates")
+    return drawn(docs, rates)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
