@@ -37,7 +37,7 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
     holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
     low = F.max(F.when(holds(F.floor("_at")), F.col(value)))
     high = F.max(F.when(holds(F.least(F.floor("_at") + 1, F.col("_all") - 1)), F.col(value)))
-    met = wanted.join(placed, holds(F.floor("_at")) | holds(F.least(F.floor("_at") + 1, F.col("_all") - 1)), "left")
-    return met.groupBy("share", "_at").agg(low.alias("_low"), high.alias("_high")).select(
-        "share", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("quantile")
-    )
+    met = placed.join(F.broadcast(wanted), holds(F.floor("_at")) | holds(F.least(F.floor("_at") + 1, F.col("_all") - 1)))  # a row for each share
+    found = met.groupBy("share", "_at").agg(low.alias("_low"), high.alias("_high"))
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
+    return wanted.select("share").join(found.select("share", between.alias("quantile")), "share", "left")
