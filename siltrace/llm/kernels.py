@@ -79,14 +79,15 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of some texts.
+    """Words ``[^\\x20\\x09-\\x0D]+`` of some texts, or those between the bytes that ``space`` flags.
 
-    start, end: byte positions; text: index of each word's text; count, first: by text.  hash: 64 bits of each word.
+    start, end: byte positions; text: index of each word's text; count, first: by text.  hash: 64 bits of each word (none
+    without ``codes``).
     """
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, codes: np.ndarray = _BYTE_CODES):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, codes: np.ndarray | None = _BYTE_CODES, space: np.ndarray = _SPACE):
         n = len(offsets) - 1
-        space = _SPACE[buf]
+        space = space[buf]
         border = np.zeros(len(buf) + 1, bool)
         border[offsets[(offsets >= 0)]] = True
         word = ~space
@@ -99,7 +100,34 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(n), self.count)
-        self.hash = range_hash(range_sums(codes[buf]), self.start, self.end)
+        self.hash = None if codes is None else range_hash(range_sums(codes[buf]), self.start, self.end)
+
+
+def word_numbers(buf: np.ndarray, w: Words) -> np.ndarray:
+    """A number for each word: equal ones for equal words, compared byte by byte."""
+    size = w.end - w.start
+    ends = np.cumsum(size)
+    if not len(ends):
+        return ends
+    flat = buf[np.repeat(w.start - (ends - size), size) + np.arange(ends[-1])]
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def joined_words(buf: np.ndarray, w: Words, keep: np.ndarray) -> pa.Array:
+    """Each text's words that ``keep`` flags, joined by one space."""
+    stay = np.flatnonzero(keep)
+    size, text = w.end[stay] - w.start[stay], w.text[stay]
+    spaced = np.concatenate((text[1:] == text[:-1], [False]))[: len(stay)]
+    ends = np.cumsum(size + spaced)
+    flat = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    place = np.ones(len(flat), bool)
+    place[ends[spaced] - 1] = False
+    till = np.cumsum(size)
+    flat[place] = buf[np.repeat(w.start[stay] - (till - size), size) + np.arange(till[-1] if len(till) else 0)]
+    offsets = np.concatenate(([0], ends))[np.searchsorted(text, np.arange(len(w.count) + 1))].astype(np.int32)
+    return pa.StringArray.from_buffers(len(w.count), pa.py_buffer(offsets), pa.py_buffer(flat))
 
 
 def rolling(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

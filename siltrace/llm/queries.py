@@ -10,6 +10,7 @@ from siltrace.llm.language_id import held_out, predict_language, train_language_
 from siltrace.llm.license_scan import BASE, NOTICES, license_labels, license_scan, template_words
 from siltrace.llm.minhash_dedup import near_duplicates
 from siltrace.llm.mixing import DOMAINS, mix_to_targets
+from siltrace.llm.periodic_runs import periodic_runs, run_digests
 from siltrace.llm.quality_rules import quality_rules
 from siltrace.llm.substring_dedup import substring_dedup, substring_digests
 from siltrace.llm.suffix_dedup import suffix_dedup, suffix_digests
@@ -76,6 +77,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth document, by the checksum h of its id, words from place a on repeat with period p."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = docs.select("doc_id", "text", words.alias("words"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    placed = split.withColumn("n", n).withColumn("a", F.when(n > 0, g % n).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    cycle = F.slice("words", F.col("a") + 1, F.col("p"))
+    turned = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), turned), " ")
+    return placed.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(_read(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +112,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": pipeline,
 }
 
@@ -104,6 +124,12 @@ def _template_rows() -> str:
     return ", ".join(f"({i}, '{t.label}', {t.exact}, [{word(t.text)}], '{t.key}')" for i, t in enumerate(BASE + NOTICES))
 
 
+def _crc32(number: str) -> str:
+    """SQL of the unsigned CRC-32 of a whole number's decimal digits: the bits of the digits go through the divisor one by one."""
+    bits = f"flatten(list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: list_transform(range(0, 8), lambda b: (ord(x) >> b) & 1)))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"
+
+
 ORACLES = {
     "op2_suffix_dedup": r"""
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -249,5 +275,37 @@ comp(id, c) USING KEY (id) AS (
   UNION
   (SELECT l.b, min(x.c) FROM comp x JOIN links l ON l.a = x.id JOIN recurring.comp p ON p.id = l.b WHERE x.c < p.c GROUP BY l.b))
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, comp.c AS component_id, s.doc_id = comp.c AS kept FROM sets s JOIN comp ON comp.id = s.doc_id
+""",
+    "op11_periodic_runs": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS o,
+    """ + _crc32("doc_id") + r""" AS h
+  FROM documents),
+k AS (SELECT *, len(o) AS n, h // 10 AS g, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) END AS a FROM d),
+w AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE o END AS w
+  FROM k),
+-- A run of four periods q holds two whole ones from a multiple of q on.
+mark AS (SELECT doc_id, w, n, q, unnest(range(0, n - 2 * q + 1, q)) AS m FROM (SELECT *, unnest(range(1, n // 4 + 1)) AS q FROM w)),
+near AS (SELECT doc_id, w, q, m FROM mark WHERE w[m + 1] = w[m + q + 1] AND w[m + q] = w[m + 2 * q]),
+cand AS MATERIALIZED (SELECT DISTINCT doc_id, q FROM near WHERE w[m + 1 : m + q] = w[m + q + 1 : m + 2 * q]),
+same AS (SELECT doc_id, q, i FROM (SELECT doc_id, w, q, unnest(range(1, n - q + 1)) AS i FROM cand JOIN w USING (doc_id)) WHERE w[i] = w[i + q]),
+isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same),
+long AS (SELECT doc_id, q, min(i) - 1 AS s, count(*) + q AS l FROM isle GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT doc_id, s, l, min(q) AS q FROM long GROUP BY doc_id, s, l),
+per AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+    arg_min({'s': s, 'l': l, 'q': q}, {'x': -l, 's': s, 'q': q}) AS b
+  FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(s + q + 1, s + l + 1)) AS i FROM run)),
+lost AS (SELECT doc_id, list(i) AS x FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, n + 1)) AS i FROM w JOIN lost USING (doc_id)) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period,
+  CAST((1000 * b.l) // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(coalesce(t, array_to_string(w.w, ' '))) AS collapsed_sha256
+FROM w LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }

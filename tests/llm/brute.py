@@ -77,3 +77,24 @@ def quality(text):
     often = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(often)
+
+
+def periodic_runs(words, least_length=6, least_exponent=4):
+    """(start, length, period) of all runs, by trying every period."""
+    found = {}
+    n = len(words)
+    for q in range(1, n // least_exponent + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least_length, least_exponent * q):
+                found.setdefault((i, j + q - i), q)  # smaller periods come first
+            i = j + 1
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def collapsed(words, runs):
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
