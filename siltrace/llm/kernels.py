@@ -115,19 +115,31 @@ def word_numbers(buf: np.ndarray, w: Words) -> np.ndarray:
     return words.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
-def joined_words(buf: np.ndarray, w: Words, keep: np.ndarray) -> pa.Array:
-    """Each text's words that ``keep`` flags, joined by one space."""
-    stay = np.flatnonzero(keep)
-    size, text = w.end[stay] - w.start[stay], w.text[stay]
-    spaced = np.concatenate((text[1:] == text[:-1], [False]))[: len(stay)]
+def _joined(buf: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray, n: int) -> pa.Array:
+    """Of each of n groups, which do not fall, the words [start, end) joined by one space."""
+    size = end - start
+    spaced = np.concatenate((group[1:] == group[:-1], [False]))[: len(size)]
     ends = np.cumsum(size + spaced)
     flat = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
     place = np.ones(len(flat), bool)
     place[ends[spaced] - 1] = False
     till = np.cumsum(size)
-    flat[place] = buf[np.repeat(w.start[stay] - (till - size), size) + np.arange(till[-1] if len(till) else 0)]
-    offsets = np.concatenate(([0], ends))[np.searchsorted(text, np.arange(len(w.count) + 1))].astype(np.int32)
-    return pa.StringArray.from_buffers(len(w.count), pa.py_buffer(offsets), pa.py_buffer(flat))
+    flat[place] = buf[np.repeat(start - (till - size), size) + np.arange(till[-1] if len(till) else 0)]
+    offsets = np.concatenate(([0], ends))[np.searchsorted(group, np.arange(n + 1))].astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(flat))
+
+
+def joined_words(buf: np.ndarray, w: Words, keep: np.ndarray) -> pa.Array:
+    """Each text's words that ``keep`` flags, joined by one space."""
+    stay = np.flatnonzero(keep)
+    return _joined(buf, w.start[stay], w.end[stay], w.text[stay], len(w.count))
+
+
+def joined_ranges(buf: np.ndarray, w: Words, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words of each range [start, end), joined by one space."""
+    count = end - start
+    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return _joined(buf, w.start[at], w.end[at], np.repeat(np.arange(len(count)), count), len(count))
 
 
 def rolling(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

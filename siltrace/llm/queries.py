@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode, vocabulary
+from siltrace.llm.decontamination import decontaminate
 from siltrace.llm.language_id import held_out, predict_language, train_language_model
 from siltrace.llm.license_scan import BASE, NOTICES, license_labels, license_scan, template_words
 from siltrace.llm.minhash_dedup import near_duplicates
@@ -95,6 +96,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_runs(_read(spark, sf_dir, "documents"))))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), "n_items", "items_sha256", "contaminated")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +119,7 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_decontamination": op13_decontamination,
     "pipeline": pipeline,
 }
 
@@ -307,5 +314,25 @@ SELECT w.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(b.s AS BIGI
   CAST((1000 * b.l) // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
   sha256(coalesce(t, array_to_string(w.w, ' '))) AS collapsed_sha256
 FROM w LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op13_decontamination": r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, CAST(NULL AS VARCHAR) AS item, text FROM documents UNION ALL
+  SELECT 'b', NULL, coalesce(CAST(item_id AS VARCHAR), ''), text FROM benchmark),
+w AS (
+  SELECT kind, id, item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM t),
+win AS (
+  SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS k
+  FROM (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM w WHERE kind = 'b' AND len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM win),
+roll AS (SELECT id, m, i, array_to_string(w[i : i + m - 1], ' ') AS k FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, sizes WHERE kind = 'd')),
+hit AS (SELECT id, m, i, k FROM roll SEMI JOIN win USING (m, k)),
+words AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY id),
+items AS (SELECT DISTINCT id, item FROM hit JOIN win USING (m, k)),
+listed AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM items GROUP BY id)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(listed.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(listed.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (id) LEFT JOIN listed USING (id) WHERE kind = 'd'
 """,
 }

@@ -98,3 +98,28 @@ def periodic_runs(words, least_length=6, least_exponent=4):
 def collapsed(words, runs):
     gone = {i for s, length, q in runs for i in range(s + q, s + length)}
     return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contaminated(docs, items, window=10):
+    """(words, places of hit words, items with occurring windows) of each text."""
+    wins = {}
+    for item, text in items:
+        w = ITEM_WORD.findall((text or "").translate(LOWER))
+        m = min(len(w), window)
+        for k in range(len(w) - m + 1 if w else 0):
+            wins.setdefault(tuple(w[k : k + m]), set()).add("" if item is None else str(item))
+    sizes = {len(x) for x in wins}
+    out = []
+    for _, text in docs:
+        w = ITEM_WORD.findall((text or "").translate(LOWER))
+        hit, found = set(), set()
+        for m in sizes:
+            for k in range(len(w) - m + 1):
+                if (got := wins.get(tuple(w[k : k + m]))) is not None:
+                    hit |= set(range(k, k + m))
+                    found |= got
+        out.append((len(w), sorted(hit), len(found), sha(",".join(sorted(found, key=str.encode)))))
+    return out
