@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltrace.llm.bpe import bpe_decode, bpe_digests, bpe_encode, vocabulary
+from siltrace.llm.conversation_trie import conversation_turns, prefix_trie
 from siltrace.llm.decontamination import decontaminate
 from siltrace.llm.language_id import held_out, predict_language, train_language_model
 from siltrace.llm.license_scan import BASE, NOTICES, license_labels, license_scan, template_words
@@ -14,9 +15,11 @@ from siltrace.llm.mixing import DOMAINS, mix_to_targets
 from siltrace.llm.periodic_runs import periodic_runs, run_digests
 from siltrace.llm.quality_rules import quality_rules
 from siltrace.llm.substring_dedup import substring_dedup, substring_digests
+from siltrace.llm.storage import written
 from siltrace.llm.suffix_dedup import suffix_dedup, suffix_digests
 from siltrace.llm.topk_search import sparse_rows, topk_search
 from siltrace.llm.url_filter import url_filter
+from siltrace.operators.joins import looked_up
 
 URL_RULES = (
     ("allow", "org", "/"),
@@ -96,6 +99,28 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_runs(_read(spark, sf_dir, "documents"))))
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns with lengths, lengths): conversations that begin with the first h turns of another and go on with their own after their first h."""
+    own = turns.groupBy("conv").agg(F.count("*").alias("n"))
+    own = own.select("conv", "n", (F.col("conv") - F.col("conv") % 5).alias("base"), (F.crc32(F.col("conv").cast("string")) % 9).alias("h"))
+    own = written(own, "own-lengths")
+    borrowed = F.least("h", F.coalesce("n_base", F.lit(0)))
+    with_base = own.hint("merge").join(own.select(F.col("conv").alias("base"), F.col("n").alias("n_base")), "base", "left")
+    plan = with_base.select("conv", "base", "h", borrowed.alias("b"), (borrowed + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("len"))
+    plan = written(plan, "rebuilt-lengths")
+    rest = looked_up(turns, plan.select("conv", "h", "b", "len"), ["conv"]).filter("pos >= h")
+    rest = rest.select("conv", (F.col("b") + F.col("pos") - F.col("h")).alias("pos"), "key", "bytes", "len")
+    # At most 8 turns of a conversation are borrowed, by at most 5 others.
+    first = turns.filter("pos < 8").withColumnRenamed("conv", "base")
+    begin = plan.filter("b > 0").hint("merge").join(first, "base").filter("pos < b").select("conv", "pos", "key", "bytes", "len")
+    return written(begin.unionByName(rest), "rebuilt"), plan.select("conv", "len")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(conversation_turns(_read(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie(*rebuilt(turns))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), "n_items", "items_sha256", "contaminated")
@@ -119,6 +144,7 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_decontamination": op13_decontamination,
     "pipeline": pipeline,
 }
@@ -334,5 +360,27 @@ listed AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FR
 SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(listed.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(listed.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM w LEFT JOIN words USING (id) LEFT JOIN listed USING (id) WHERE kind = 'd'
+""",
+    "op12_conversation_trie": r"""
+WITH t AS MATERIALIZED (
+  SELECT conv_id AS c, {'r': r, 'x': x} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT c, count(*) AS n, c - c % 5 AS base, """ + _crc32("c") + r""" % 9 AS h FROM t GROUP BY c),
+seq AS (
+  SELECT n.c, t.pos, t.t FROM n JOIN t ON t.c = n.base AND t.pos < n.h UNION ALL
+  SELECT n.c, t.pos + 1000000000, t.t FROM n JOIN t ON t.c = n.c AND t.pos >= n.h),
+s AS (SELECT n.c, coalesce(any_value(l.s), []) AS s FROM n LEFT JOIN (SELECT c, list(t ORDER BY pos) AS s FROM seq GROUP BY c) l USING (c) GROUP BY n.c),
+p AS (SELECT c, d, s[d].x AS x, len(s) = d AS ends, sha256(CAST(s[1 : d] AS VARCHAR)) AS k FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM s)),
+path AS MATERIALIZED (SELECT c, d, x, ends, min(c) OVER (PARTITION BY d, k) AS rep FROM p),
+node AS MATERIALIZED (
+  SELECT rep, d, count(*) AS n_convs, CAST(coalesce((count(*) - 1) * octet_length(encode(any_value(x))), 0) AS BIGINT) AS saved, bool_and(ends) AS leaf,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM path GROUP BY rep, d),
+up AS (SELECT path.rep, path.d, sum(u.saved) AS saved, count(*) FILTER (u.leaf) AS leaves FROM node u JOIN path ON path.c = u.rep AND path.d <= u.d GROUP BY path.rep, path.d),
+parent AS (SELECT node.rep, node.d, path.rep AS parent FROM node JOIN path ON path.c = node.rep AND path.d = node.d - 1),
+kids AS (SELECT parent AS rep, d - 1 AS d, count(*) AS n FROM parent GROUP BY ALL)
+SELECT node.rep AS conv_id, CAST(node.d AS BIGINT) AS depth, parent AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs,
+  CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM node JOIN up USING (rep, d) LEFT JOIN parent USING (rep, d) LEFT JOIN kids USING (rep, d)
 """,
 }

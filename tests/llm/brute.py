@@ -123,3 +123,35 @@ def contaminated(docs, items, window=10):
                     found |= got
         out.append((len(w), sorted(hit), len(found), sha(",".join(sorted(found, key=str.encode)))))
     return out
+
+
+def trie(sequences):
+    """Rows of the prefix trie of {id: [(role, text), ...]}."""
+    members = {}
+    for c, s in sequences.items():
+        for d in range(len(s) + 1):
+            members.setdefault(tuple(s[:d]), []).append(c)
+    out = []
+    for node, own in members.items():
+        below = [x for x in members if x[: len(node)] == node]
+        children = [x for x in below if len(x) == len(node) + 1]
+        parent = min(members[node[:-1]]) if node else None
+        saved = sum((len(members[x]) - 1) * len(x[-1][1].encode()) for x in below if x)
+        leaves = sum(not any(len(y) == len(x) + 1 and y[: len(x)] == x for y in below) for x in below)
+        ends = sha(",".join(str(c) for c in sorted(own) if len(sequences[c]) == len(node)))
+        out.append((min(own), len(node), parent, len(own), len(children), leaves, saved, ends))
+    return sorted(out, key=lambda r: r[:2])
+
+
+def rebuilt(rows):
+    """{id: turns} of (conv_id, turn, role, text) rows as the query of the trie rebuilds them."""
+    import zlib
+
+    own = {}
+    for c, n, role, text in rows:
+        if c is not None:
+            r, x = role or "", text or ""
+            own.setdefault(c, []).append(((n is not None, n or 0), hashlib.sha256(f"{len(r)}:{r}{x}".encode()).digest(), (r, x)))
+    own = {c: [t for _, _, t in sorted(x)] for c, x in own.items()}
+    h = {c: zlib.crc32(str(c).encode()) % 9 for c in own}
+    return {c: own.get(c - (c % 5 if c >= 0 else -(-c % 5)), [])[: h[c]] + own[c][h[c] :] for c in own}
