@@ -25,10 +25,12 @@ _ROW = "id long, terms array<int>, weights array<long>"
 
 
 def sparse_rows(df: DataFrame, id_col: str, vector: Column, scale: int = 1024) -> DataFrame:
-    """(id, terms, weights) of floor(scale * x); rows with null or non-finite components are left out, zeros are implied."""
+    """(id, terms, weights) of floor(scale * x); rows without id and rows with null or non-finite components are left out, zeros
+    are implied.  Components whose scaled size reaches 2**53 are no exact whole numbers and are refused (a Spark error)."""
     v = F.transform(vector, lambda x: x.cast("double"))
-    sound = vector.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    q = F.transform(v, lambda x: F.floor(x * float(scale)).cast("long"))
+    sound = F.col(id_col).isNotNull() & vector.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    large = F.raise_error(F.lit("a component is too large for exact scores")).cast("long")
+    q = F.transform(v, lambda x: F.when(F.abs(x * float(scale)) < 2.0**53, F.floor(x * float(scale)).cast("long")).otherwise(large))
     rows = df.filter(sound).select(F.col(id_col).cast("long").alias("id"), q.alias("q"))
     terms = F.filter(F.sequence(F.lit(0), F.size("q") - 1), lambda i: F.get("q", i) != 0)
     terms = F.when(F.size("q") > 0, terms).otherwise(F.array().cast("array<int>"))
@@ -112,8 +114,11 @@ def topk_search(
 
     Both sides are (id, terms, weights) rows as of :func:`sparse_rows`.  A candidate with the query's own id takes no part.
     A query with fewer than k candidates gets all; with none it has no rows.  Repeated candidate rows each take a rank;
-    repeated query rows count once.  Terms that one side lacks add nothing, so vectors may differ in length.
+    repeated query rows count once (of several rows with one id, any one).  Rows without id take no part on either side.  Terms
+    that one side lacks add nothing, so vectors may differ in length; a task holds the terms of its blocks' rows, however many, and a
+    score of 64 bits wraps beyond that.  An empty table on either side gives an empty result; other columns are not read.
     """
+    candidates, queries = (x.filter("id IS NOT NULL").select("id", "terms", "weights") for x in (candidates, queries))
     # Small tables are cut into as many blocks as there are cores.
     rows, cores = candidates.count(), candidates.sparkSession.sparkContext.defaultParallelism
     n_c = max(1, -(-rows // candidates_per_block), min(cores, rows // 1024))

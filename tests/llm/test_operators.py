@@ -66,6 +66,20 @@ def test_topk_equals_exhaustive_search(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_topk_leaves_out_rows_without_id(spark):
+    rows = [(1, [1.0, 0.0]), (None, [9.0, 9.0]), (2, [0.5, 0.5]), (None, [0.1, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("cb", "qb", "rank", "score", "query_id")})
+    own = sparse_rows(df, "vec_id", F.col("embedding"))
+    assert own.count() == 2
+    given = spark.createDataFrame([(1, [0], [3]), (None, [0], [5]), (2, [0], [7])], "id long, terms array<int>, weights array<long>")
+    assert [tuple(r) for r in topk_search(given, given.filter("id IS NULL OR id = 1")).collect()] == [(1, 1, 2, 21)]
+    wide = spark.createDataFrame([(i, [float(i)] * 3000) for i in range(3)], "vec_id long, embedding array<double>")
+    wide = sparse_rows(wide, "vec_id", F.col("embedding"))
+    assert [tuple(r) for r in topk_search(wide, wide.filter("id = 1"), 1).collect()] == [(1, 1, 2, 3000 * 1024 * 2048)]
+    with pytest.raises(Exception, match="too large"):
+        sparse_rows(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), "vec_id", F.col("embedding")).collect()
+
+
 def test_topk_with_few_or_no_candidates(spark):
     _, df = embeddings(spark)
     own = sparse_rows(df, "vec_id", F.col("embedding"))
