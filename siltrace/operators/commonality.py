@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from math import ceil
+from functools import cache
+from itertools import combinations
+from math import ceil, comb, lcm
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,31 +15,51 @@ from siltrace.functions.columns import normal_tail, ratio
 from siltrace.sources.stored import written
 
 MIN_LOTS, ALPHA = 5, 0.05
-EXACT_PAIRS = 50_000
+SMALL_SIDE = 8  # lots, up to which a side without ties has an exact test
+
+
+@cache
+def _bounded_sums(m: int) -> tuple[int, list[int]]:
+    """(L, N): 1 / ((1 - q) * (1 - q) * (1 - q**2) ... (1 - q**m)) = N(q) / (1 - q**L) ** (m + 1)."""
+    period = lcm(*range(1, m + 1))
+    out = [1]
+    for step in (1, *range(1, m + 1)):
+        terms = period // step  # times 1 + q**step + ... + q**(period - step)
+        longer = out + [0] * (period - step)
+        for k in range(step, len(longer)):
+            longer[k] += longer[k - step]
+        out = [x - (longer[k - terms * step] if k >= terms * step else 0) for k, x in enumerate(longer)]
+    return period, out
 
 
 def rank_sum_tail(u: float, m: int, n: int) -> float:
-    """P(U >= u) of the rank statistic of m and n values without ties, from the numbers of orders that give each U.
+    """P(U >= u) of the rank statistic of m and n values without ties, of which the smaller number is small.
 
-    These are the coefficients of the Gaussian binomial, the product over i = 1..m of (1 - q**(n + i)) / (1 - q**i).
+    The orders that give each U are the coefficients of the Gaussian binomial, the product over i = 1..m of
+    (1 - q**(n + i)) / (1 - q**i).  Its numerator has 2**m terms, and the sums of the denominator's coefficients up to any place follow
+    from m + 1 binomials: whole numbers of any size, so that neither memory nor precision depends on n.
     """
     m, n = min(m, n), max(m, n)
-    ways = np.zeros(m * n + 1)
-    ways[0] = 1.0
-    for i in range(1, m + 1):
-        times = ways.copy()
-        times[n + i :] -= ways[: max(0, len(ways) - n - i)]
-        for at in range(i):
-            times[at::i] = np.cumsum(times[at::i])
-        ways = times
-    return float(ways[max(0, ceil(u)) :].sum() / ways.sum())
+    period, head = _bounded_sums(m)
+
+    def up_to(place: int) -> int:
+        return sum(head[j] * comb((place - j) // period + m, m) for j in range(place % period, min(place + 1, len(head)), period))
+
+    last = m * n - max(0, ceil(u))  # U is symmetric: as likely at least u as at most m * n - u
+    if last < 0:
+        return 0.0
+    ways = 0
+    for size in range(m + 1):
+        for chosen in combinations(range(n + 1, n + m + 1), size):
+            if (left := last - sum(chosen)) >= 0:
+                ways += (-1) ** size * up_to(left)
+    return ways / comb(m + n, m)
 
 
 @F.pandas_udf(T.DoubleType())
 def exact_tail(u: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
-    """:func:`rank_sum_tail` by row, of a table with a row for each tool; null for rows beyond the exact test's bounds."""
-    fits = (np.minimum(m, n) <= 8) & (m * n < EXACT_PAIRS)
-    return pd.Series([rank_sum_tail(*x) if ok else None for ok, *x in zip(fits, u, m, n, strict=True)], dtype="float64")
+    """:func:`rank_sum_tail` by row, of a table with a row for each tool; null where both sides are larger than eight."""
+    return pd.Series([rank_sum_tail(a, int(b), int(c)) if min(b, c) <= SMALL_SIDE else None for a, b, c in zip(u, m, n, strict=True)], dtype="float64")
 
 
 def lot_rates(predictions: DataFrame, pattern: str | None = None, hit: str | None = None) -> DataFrame:
@@ -63,8 +84,7 @@ def commonality(rates: DataFrame, history: DataFrame, min_lots: int = MIN_LOTS)
 
     Others are the lots that visited the step on another tool.  As a tool's lots and its others are always the step's lots,
     ranks are taken once a step, from counts of its distinct rates.  The rank test is exact where a side has at most eight lots
-    and no rates are equal (and the sides' product is below EXACT_PAIRS), else the normal approximation with tie and continuity
-    corrections; p is null below ``min_lots`` on a side or where all rates are equal.
+    and no rates are equal, however many the other has, else the normal approximation with tie and continuity corrections; p is null below ``min_lots`` on a side or where all rates are equal.
     """
     visits = history.select("lot", "step", "tool").join(rates.select("lot", "rate"), "lot")
     tools = visits.groupBy("step", "tool", "rate").agg(F.count("*").alias("n"))
@@ -84,7 +104,7 @@ def commonality(rates: DataFrame, history: DataFrame, min_lots: int = MIN_LOTS)
     spread = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.try_divide(F.col("ties").cast("double"), n * (n - 1))))
     judged = (F.col("n_lots") >= min_lots) & (F.col("n_others") >= min_lots) & (F.col("kinds") > 1)
     z = F.when(judged, F.try_divide(F.col("u") - n1 * n0 / 2.0 - 0.5, spread))
-    small = judged & (F.col("ties") == 0) & (F.least(n1, n0) <= 8) & (n1 * n0 < EXACT_PAIRS)
+    small = judged & (F.col("ties") == 0) & (F.least(n1, n0) <= SMALL_SIDE)
     p = F.when(small, exact_tail("u", "n_lots", "n_others")).otherwise(normal_tail(F.col("z")))
     t = t.withColumn("z", z).withColumn("p", p).withColumn("delta", F.col("rate_through") - F.col("rate_others"))
     names = ["step", "tool", "n_lots", "n_others", "rate_through", "rate_others", "delta", "u", "z", "p"]

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltrace.functions.columns import ratio
-from siltrace.operators.ranks import cumulated, quantiles
+from siltrace.operators.ranks import cumulated, quantiles, quantiles_by
 from siltrace.sources.dimensions import CLASSES, CLASSES9, class_table
+from siltrace.sources.stored import written
 
 
 def confusion(df: DataFrame, labels: Sequence[str] = CLASSES9, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
@@ -44,9 +45,15 @@ def macro_f1(df: DataFrame, labels: Sequence[str] = CLASSES, only_present: bool
 
 
 def class_medians(df: DataFrame, features: Sequence[str], truth: str = "y_true", pred: str | None = "y_pred") -> DataFrame:
-    """Median of each feature, number and recall of each class."""
+    """Median of each feature, number and recall of each class; rows without a class are a class.
+
+    Medians of all features and classes come from one table of counted values (:func:`siltrace.operators.ranks.quantiles_by`)."""
+    keyed = written(df.withColumn("_class", F.coalesce(F.concat(F.lit("="), F.col(truth).cast("string")), F.lit(""))), "classes")
     recall = [F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("recall")] if pred else []
-    return df.groupBy(F.col(truth).alias("name")).agg(F.count("*").alias("n"), *recall, *[F.median(f).alias(f) for f in features])
+    counts = keyed.groupBy("_class", F.col(truth).alias("name")).agg(F.count("*").alias("n"), *recall)
+    medians = quantiles_by(unpivoted(keyed, features, "_class"), ("_class", "feature"), "value", (0.5,))
+    wide = medians.groupBy("_class").agg(*[F.max(F.when(F.col("feature") == f, F.col("quantile"))).alias(f) for f in features])
+    return counts.join(wide, "_class", "left").drop("_class")
 
 
 def unpivoted(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:

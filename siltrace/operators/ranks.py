@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltrace.operators.joins import looked_up
 from siltrace.sources.stored import written
 
 
@@ -41,3 +43,20 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
     found = met.groupBy("share", "_at").agg(low.alias("_low"), high.alias("_high"))
     between = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
     return wanted.select("share").join(found.select("share", between.alias("quantile")), "share", "left")
+
+
+def quantiles_by(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by..., share, quantile) of each key's values: exact, between two order statistics by linear interpolation.
+
+    Values are counted by key, and placed by the counts of ranges of the order: a key of any size is never in one buffer or task.
+    Null values do not count and null keys have no row."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, value)])
+    counts = df.filter(known).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    placed = written(cumulated(counts, [F.col(value)], {"_before": F.col("_n")}, by), "placed-values")
+    totals = placed.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    asked = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    wanted = looked_up(placed, totals, by).select("*", asked).withColumn("_at", (F.col("_all") - 1) * F.col("share"))
+    holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
+    low, high = holds(F.floor("_at")), holds(F.least(F.floor("_at") + 1, F.col("_all") - 1))
+    found = wanted.filter(low | high).groupBy(*by, "share", "_at").agg(F.max(F.when(low, F.col(value))).alias("_low"), F.max(F.when(high, F.col(value))).alias("_high"))
+    return found.select(*by, "share", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("quantile"))

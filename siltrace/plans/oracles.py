@@ -522,9 +522,16 @@ _add(
 )
 _add(
     "lot_folds",
-    "SELECT wafer, g.lot, CAST(CASE WHEN k % 8 < 4 THEN k % 8 ELSE 7 - k % 8 END AS BIGINT) AS fold FROM g JOIN lf USING (lot)",
+    "SELECT wafer, g.lot, CAST(fold AS BIGINT) AS fold FROM g JOIN lf USING (lot)",
     DIES, GLOBAL,
-    "lf AS (SELECT lot, row_number() OVER (ORDER BY n DESC, lot) - 1 AS k FROM (SELECT lot, count(*) AS n FROM g GROUP BY lot))",
+    "ls AS MATERIALIZED (SELECT lot, n, row_number() OVER (ORDER BY n DESC, lot) AS k FROM (SELECT lot, count(*) AS n FROM g GROUP BY lot))",
+    """lf(k, lot, fold, loads) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([0, 0, 0, 0] AS BIGINT[])
+  UNION ALL
+  SELECT ls.k, ls.lot, list_position(loads, list_min(loads)) - 1,
+    list_transform(range(1, 5), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN n ELSE 0 END)
+  FROM lf JOIN ls ON ls.k = lf.k + 1)""",
+    recursive=True,
 )
 _add(
     "pairwise_auc",

@@ -605,18 +605,19 @@ def rf_pred(spark, sf):
 
 @query
 def boost_pred(spark, sf):
-    return L.trained_predictions(_kept_features(spark, sf), W.FEATURES, L.boosted()).select("wafer", "lot", "y_true", "y_pred")
+    """A booster of 20 rounds."""
+    return L.trained_predictions(_kept_features(spark, sf), W.FEATURES, L.boosted(iterations=20)).select("wafer", "lot", "y_true", "y_pred")
 
 
 @query
 def leaf_scan(spark, sf):
     """Forests by least rows in a leaf; 50 trees each."""
-    rows = L.leaf_scan(_kept_features(spark, sf), W.FEATURES[:20], trees=50, depth=10)
+    rows = L.leaf_scan(_kept_features(spark, sf), W.FEATURES[:20], trees=50)
     return tidy(spark.createDataFrame(rows, "leaf int, inner double, train double, test double, chosen boolean"))
 
 
 @query
 def paired_forests(spark, sf):
     """Forests on 17 and on 20 features over the same five splits; 50 trees each."""
-    models = {f"RF-{n}": (L.forest(trees=50, depth=10), W.FEATURES[:n]) for n in (17, 20)}
+    models = {f"RF-{n}": (L.forest(trees=50), W.FEATURES[:n]) for n in (17, 20)}
     return tidy(M.paired_models(L.paired_fits(_kept_features(spark, sf), models), "RF-20"))

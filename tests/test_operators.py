@@ -407,9 +407,9 @@ def test_searches_over_folds_and_paired_fits(spark):
     df, names = vectors(spark), ["a", "b", "c"]
     out = L.searched_tree(df, names, depths=(1, 3), folds=2).select("y_true", "y_pred").collect()
     assert sum(r.y_true == r.y_pred for r in out) > 0.85 * len(out) == 0.85 * 120
-    scan = L.leaf_scan(df, names, leaves=(2, 200), trees=5, depth=4, folds=2)
+    scan = L.leaf_scan(df, names, leaves=(2, 200), trees=5, folds=2)
     assert [k for k, *_, chosen in scan if chosen] == [2] and scan[0][2] > scan[1][2]
-    fits = L.paired_fits(df, {"good": (L.forest(5, depth=4), names), "noise": (L.forest(5, depth=4), names[1:])}, seeds=(0, 1))
+    fits = L.paired_fits(df, {"good": (L.forest(5), names), "noise": (L.forest(5), names[1:])}, seeds=(0, 1))
     table = {r.model: r for r in M.paired_models(fits, "noise").collect()}
     assert table["good"].wins == 2 and table["good"].mean_gain > 0.2 and table["noise"].wins == 0
     assert "a <=" in L.tree_text(df, names, depth=2)
