@@ -1,8 +1,9 @@
 """Statistical process control charts over an ordered stream of predictions.
 
-Rows are numbered by counts of coarse time buckets plus a place within the bucket, so that no task sorts the whole stream.
-One pass over them counts blocks of the smallest subgroup size; that table is written, and everything after it works on it.
-Recurrences (groups of whole lots, EWMA) are cut into blocks whose outcomes are joined.
+Rows are numbered over ranges of their order, so that no task sorts the whole stream.  One pass over them counts blocks of the
+smallest subgroup size; that table is written, and everything after it works on it.  Everything that looks along a chart works on
+ranges of its places (:mod:`siltrace.operators.scans`): rules with a halo of the last seven points, EWMA and groups of whole lots
+with states that pass from range to range.  Charts are few, as they come from a list of classes; their limits are a broadcast table.
 """
 
 from __future__ import annotations
@@ -17,21 +18,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltrace.functions.columns import clip
+from siltrace.operators.ranks import cumulated
+from siltrace.operators.scans import entry_states, own_rows, range_window, with_halo
 from siltrace.sources.stored import written
 
 RULES = ("R1", "R2", "R3", "R4", "EWMA")
-RUN_RANGE, RUN_BLOCK = 100_000, 4096  # rows, and runs, that one task handles
+RUN_BLOCK = 4096  # runs of lots that one task merges
 LAMBDA, LIMIT, D2, MIN_EXPECTED = 0.2, 2.7, 1.128, 5.0
 
 
-def numbered(df: DataFrame, order: Sequence[str], bucket: Column, name: str = "idx") -> DataFrame:
-    """Adds ``name``, the row's place from 0 in the total order ``order``; ``bucket`` must not decrease along it."""
-    b = df.withColumn("_b", bucket)
-    counts = b.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_b", before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return b.join(starts, "_b").withColumn(name, F.col("_before") + own - 1).drop("_b", "_before")
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
+    """Adds ``name``, the row's place from 0 in the total order ``order``."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    return cumulated(df, columns, {name: F.lit(1).cast("long")})
 
 
 def fixed_groups(rows: DataFrame, size: Column, total: Column) -> DataFrame:
@@ -41,19 +40,26 @@ def fixed_groups(rows: DataFrame, size: Column, total: Column) -> DataFrame:
     return rows.withColumn("gid", F.when(short, F.lit(-1)).otherwise(F.floor(F.col("idx") / size)).cast("long"))
 
 
+def with_runs(rows: DataFrame, lot: str = "lot") -> DataFrame:
+    """Adds run, the number from 0 of the row's run of consecutive rows of one lot, to rows with idx.
+
+    A row begins a run if the row before has another lot; begins are counted over ranges of idx."""
+    seen = with_halo(rows, "idx", before=1)
+    before = F.lag(F.struct(F.col(lot).alias("l"))).over(range_window("idx"))
+    begins = (F.col("idx") == 0) | ~F.col("_before.l").eqNullSafe(F.col(lot))
+    marked = own_rows(seen.withColumn("_before", before).withColumn("_begins", begins.cast("long"))).drop("_before")
+    counted = cumulated(marked, [F.col("idx")], {"run": F.col("_begins")})
+    return counted.withColumn("run", F.col("run") + F.col("_begins") - 1).drop("_begins")
+
+
+def runs_of(rows: DataFrame, lot: str = "lot") -> DataFrame:
+    """(run, first_idx, size, lot) from rows with run."""
+    return rows.groupBy("run", lot).agg(F.min("idx").alias("first_idx"), F.count("*").alias("size")).select("run", "first_idx", "size", lot)
+
+
 def lot_runs(rows: DataFrame, lot: str = "lot") -> DataFrame:
-    """(run, first_idx, size, lot) of consecutive rows of one lot, from rows with idx.
-
-    A row starts a run if its predecessor has another lot; predecessors meet in an equi-join on idx.  Runs are numbered over
-    ranges of idx, and a run ends where the next begins, which is again an equi-join."""
-    before = rows.select((F.col("idx") + 1).alias("idx"), F.col(lot).alias("_prev"))
-    starts = rows.join(before, "idx", "left").filter(~F.col(lot).eqNullSafe(F.col("_prev")) | (F.col("idx") == 0)).select("idx", lot)
-    own = written(numbered(starts, ("idx",), F.floor(F.col("idx") / RUN_RANGE), "run"), "lot-runs")
-    total = rows.agg((F.max("idx") + 1).alias("_total"))
-    follow = own.select((F.col("run") - 1).alias("run"), F.col("idx").alias("_next"))
-    return own.join(follow, "run", "left").crossJoin(F.broadcast(total)).select(
-        "run", F.col("idx").alias("first_idx"), (F.coalesce("_next", "_total") - F.col("idx")).alias("size"), lot
-    )
+    """(run, first_idx, size, lot) of consecutive rows of one lot, from rows with idx."""
+    return runs_of(with_runs(rows, lot), lot)
 
 
 def _merged(sizes: np.ndarray, target: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,37 +78,27 @@ def lot_groups(runs: DataFrame, target: int) -> DataFrame:
     """(run, gid): runs merged in order until a group has ``target`` rows; -1 for a last group of less than half of that.
 
     How a block of runs is merged depends on its predecessors only through the rows that the open group holds when it begins,
-    a number below ``target``.  Every block is merged from all of these at once; chaining the blocks' outcomes gives each its
+    a number below ``target``.  Every block is merged from all of these at once; composing the blocks' outcomes gives each its
     beginning, from which its groups are numbered.
     """
-    block = F.floor(F.col("run") / RUN_BLOCK)
-    parts = runs.select(block.alias("block"), "run", "size")
+    parts = runs.select(F.floor(F.col("run") / RUN_BLOCK).alias("range"), "run", "size")
 
     def outcomes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sizes = table.sort_by("run")["size"].to_numpy()
         _, closed, held = _merged(sizes, target, np.arange(target))
-        return pa.table({"block": [key[0].as_py()], "closed": pa.array([closed.tolist()], pa.list_(pa.int64())), "held": pa.array([held.tolist()], pa.list_(pa.int64()))})
-
-    def chained(table: pa.Table) -> pa.Table:
-        table, groups, held = table.sort_by("block"), 0, 0
-        rows = []
-        for b, closed, after in zip(*(table[c].to_pylist() for c in ("block", "closed", "held")), strict=True):
-            rows.append((b, groups, held))
-            groups, held = groups + closed[held], after[held]
-        names = ("block", "groups", "fill")
-        columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in names}
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()} | {n: pa.array([v] * len(rows), pa.int64()) for n, v in (("last", groups), ("rest", held))})
-
-    def numbered_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return pa.table({"range": [key[0].as_py()], "counts": pa.array([closed.tolist()], pa.list_(pa.int64())), "after": pa.array([held.tolist()], pa.list_(pa.int64()))})
+
+    ends = parts.groupBy("range").applyInArrow(outcomes, "range long, counts array<long>, after array<long>")
+    begins, last, rest = entry_states(written(ends, "merged-blocks"), target)
+
+    def numbered_runs(_key: tuple[pa.Scalar, ...], table: pa.Table, begin: pa.Table) -> pa.Table:
         table = table.sort_by("run")
-        before, _, _ = _merged(table["size"].to_numpy(), target, table["fill"].to_numpy()[:1])
-        gid = before[:, 0] + table["groups"].to_numpy()
-        short = (gid == table["last"].to_numpy()) & (2 * table["rest"].to_numpy() < target)
+        before, _, _ = _merged(table["size"].to_numpy(), target, begin["state"].to_numpy()[:1])
+        gid = before[:, 0] + begin["count"][0].as_py()
+        short = (gid == last) & (2 * rest < target)
         return pa.table({"run": table["run"], "gid": np.where(short, -1, gid)})
 
-    ends = parts.groupBy("block").applyInArrow(outcomes, "block long, closed array<long>, held array<long>")
-    begins = ends.groupBy().applyInArrow(chained, "block long, groups long, fill long, last long, rest long")
-    return parts.join(F.broadcast(begins), "block").groupBy("block").applyInArrow(numbered_runs, "run long, gid long")
+    return parts.groupBy("range").cogroup(begins.groupBy("range")).applyInArrow(numbered_runs, "run long, gid long")
 
 
 def chart_rows(rows: DataFrame, classes: Sequence[str], conf_threshold: float = 0.7, *keep: str) -> DataFrame:
@@ -142,24 +138,34 @@ def _joined_lots(parts: DataFrame) -> DataFrame:
 
 
 def with_baseline(groups: DataFrame, n_base_rows: int) -> DataFrame:
-    """Adds i (place from 0 in the chart) and n_base: groups that end in the baseline rows, three at least."""
-    w = Window.partitionBy("chart")
-    n_base = F.greatest(F.lit(3), F.sum((F.col("end_idx") < n_base_rows).cast("long")).over(w))
-    return groups.withColumns({"i": F.row_number().over(w.orderBy("gid")) - 1, "n_base": n_base})
+    """Adds i (place from 0 in the chart), n_base (groups that end in the baseline rows, three at least) and n_groups.
+
+    gid counts from 0 without gaps in each chart, as those of whole subgroups do."""
+    stats = groups.groupBy("chart").agg(F.count_if(F.col("end_idx") < n_base_rows).alias("n_base"), F.count("*").alias("n_groups"))
+    stats = stats.withColumn("n_base", F.greatest(F.lit(3), F.col("n_base")))
+    return groups.join(F.broadcast(stats), "chart").withColumn("i", F.col("gid"))
+
+
+def _steps(points: DataFrame, value: str) -> DataFrame:
+    """(chart, step): the mean absolute difference of neighbours in each chart's baseline."""
+    base = points.filter(F.col("i") < F.col("n_base")).select("chart", "i", value)
+    seen = with_halo(base, "i", before=1)
+    step = F.abs(F.col(value) - F.lag(value).over(range_window("i", ["chart"])))
+    return own_rows(seen.withColumn("step", step)).groupBy("chart").agg(F.avg("step").alias("step"))
 
 
 def p_chart(groups: DataFrame, laney: bool = True) -> DataFrame:
     """Adds value, center, sigma, sigma_z, z, ucl, lcl from groups with n, count, i, n_base; charts whose baseline share is 0 or 1 drop out."""
-    w = Window.partitionBy("chart")
     base = F.col("i") < F.col("n_base")
-    center = F.sum(F.when(base, F.col("count"))).over(w) / F.sum(F.when(base, F.col("n"))).over(w)
-    raw = groups.withColumns({"value": F.col("count") / F.col("n"), "center": center}).filter("center > 0 AND center < 1")
-    sigma = F.sqrt(F.col("center") * (1 - F.col("center")) / F.col("n"))
-    raw = raw.withColumn("s0", sigma).withColumn("z0", (F.col("value") - F.col("center")) / F.col("s0"))
-    step = F.abs(F.col("z0") - F.lag("z0").over(w.orderBy("i")))
-    raw = raw.withColumn("step", F.when(base, step))
-    held = F.least(F.col("n_base"), F.count("*").over(w))
-    factor = F.when(held >= 3, F.greatest(F.lit(1.0), F.avg("step").over(w) / D2)).otherwise(1.0) if laney else F.lit(1.0)
+    own = groups.filter(base).groupBy("chart").agg((F.sum("count") / F.sum("n")).alias("center"), F.count("*").alias("_held"))
+    raw = groups.join(F.broadcast(own.filter("center > 0 AND center < 1")), "chart").withColumn("value", F.col("count") / F.col("n"))
+    raw = raw.withColumn("s0", F.sqrt(F.col("center") * (1 - F.col("center")) / F.col("n")))
+    raw = raw.withColumn("z0", (F.col("value") - F.col("center")) / F.col("s0"))
+    if laney:
+        raw = raw.join(F.broadcast(_steps(raw, "z0")), "chart")
+        factor = F.when(F.col("_held") >= 3, F.greatest(F.lit(1.0), F.col("step") / D2)).otherwise(1.0)
+    else:
+        raw, factor = raw.withColumn("step", F.lit(None)), F.lit(1.0)
     out = raw.withColumn("sigma_z", factor).withColumn("sigma", F.col("s0") * F.col("sigma_z"))
     return out.withColumns(
         {
@@ -167,17 +173,15 @@ def p_chart(groups: DataFrame, laney: bool = True) -> DataFrame:
             "ucl": clip(F.col("center") + 3 * F.col("sigma"), 0.0, 1.0),
             "lcl": clip(F.col("center") - 3 * F.col("sigma"), 0.0, 1.0),
         }
-    ).drop("s0", "z0", "step")
+    ).drop("s0", "z0", "step", "_held")
 
 
 def mean_chart(groups: DataFrame, value: str = "value") -> DataFrame:
     """Individuals chart of group means: sigma is the baseline's mean moving range / 1.128; empty below three baseline groups."""
-    w = Window.partitionBy("chart")
-    base = F.col("i") < F.col("n_base")
-    own = groups.withColumn("value", F.col(value)).withColumn("step", F.when(base, F.abs(F.col("value") - F.lag("value").over(w.orderBy("i")))))
-    own = own.withColumns(
-        {"center": F.avg(F.when(base, F.col("value"))).over(w), "sigma": F.avg("step").over(w) / D2, "held": F.count_if(base).over(w)}
-    ).filter("held >= 3 AND sigma > 0")
+    named = groups.withColumn("value", F.col(value))
+    base = named.filter(F.col("i") < F.col("n_base")).groupBy("chart").agg(F.avg("value").alias("center"), F.count("*").alias("_held"))
+    limits = base.join(_steps(named, "value"), "chart").withColumn("sigma", F.col("step") / D2).filter("_held >= 3 AND sigma > 0")
+    own = named.join(F.broadcast(limits.select("chart", "center", "sigma")), "chart")
     return own.withColumns(
         {
             "sigma_z": F.lit(1.0),
@@ -185,12 +189,14 @@ def mean_chart(groups: DataFrame, value: str = "value") -> DataFrame:
             "ucl": F.col("center") + 3 * F.col("sigma"),
             "lcl": F.col("center") - 3 * F.col("sigma"),
         }
-    ).drop("step", "held")
+    )
 
 
 def western_electric(points: DataFrame, key: str = "chart", order: str = "i", z: str = "z") -> DataFrame:
-    """Adds R1..R4: one point beyond 3; 2 of 3 beyond 2, 4 of 5 beyond 1, 8 of 8 beyond 0 on one side, in full windows only."""
-    w = Window.partitionBy(key).orderBy(order)
+    """Adds R1..R4: one point beyond 3; 2 of 3 beyond 2, 4 of 5 beyond 1, 8 of 8 beyond 0 on one side, in full windows only.
+
+    ``order`` counts from 0 without gaps in each chart."""
+    w = range_window(order, [key])
 
     def run(length: int, least: int, beyond: float) -> Column:
         own = w.rowsBetween(-(length - 1), 0)
@@ -198,7 +204,8 @@ def western_electric(points: DataFrame, key: str = "chart", order: str = "i", z:
         full = F.count("*").over(own) == length
         return full & ((count(F.col(z) > beyond) >= least) | (count(F.col(z) < -beyond) >= least))
 
-    return points.withColumns({"R1": F.abs(z) > 3, "R2": run(3, 2, 2.0), "R3": run(5, 4, 1.0), "R4": run(8, 8, 0.0)})
+    rules = {"R1": F.abs(z) > 3, "R2": run(3, 2, 2.0), "R3": run(5, 4, 1.0), "R4": run(8, 8, 0.0)}
+    return own_rows(with_halo(points, order, before=7).withColumns(rules))
 
 
 def ewma(points: DataFrame, key: str = "chart", order: str = "i", z: str = "z", lam: float = LAMBDA, limit: float = LIMIT) -> DataFrame:
@@ -259,9 +266,8 @@ def build_charts(
     whole runs of lots merged until they hold as many.
     """
     if by_lot:
-        runs = written(lot_runs(rows), "lot-runs")
-        places = runs.select("run", F.explode(F.sequence("first_idx", F.col("first_idx") + F.col("size") - 1)).alias("idx"))
-        rows = rows.join(places, "idx")
+        rows = written(with_runs(rows), "rows-of-runs")
+        runs = written(runs_of(rows), "lot-runs")
     blocks = written(counted_blocks(rows, classes, base_size, n_base_rows, conf_threshold, F.col("run") if by_lot else None), "blocks")
     stats = blocks.groupBy("chart").agg(F.try_divide(F.sum("hit_start").cast("double"), F.sum("n_start").cast("double")).alias("p0"), (F.max("last") + 1).alias("total"))
     sizes = written(_sizes(stats, base_size), "sizes")
@@ -272,9 +278,8 @@ def build_charts(
         grouped = reduce(DataFrame.unionByName, parts) if parts else placed.withColumn("gid", F.col("block")).limit(0)
     else:
         grouped = fixed_groups(placed.withColumn("idx", F.col("block") * base_size), F.col("size"), F.col("total"))
-    groups = with_baseline(_joined_lots(grouped), n_base_rows)
-    enough = F.count("*").over(Window.partitionBy("chart")) - F.col("n_base") >= 2
-    charts = p_chart(groups.withColumn("ok", enough).filter("ok").drop("ok"), laney).withColumn("kind", F.lit("p"))
+    groups = with_baseline(written(_joined_lots(grouped), "subgroups"), n_base_rows)
+    charts = p_chart(groups.filter("n_groups - n_base >= 2"), laney).withColumn("kind", F.lit("p"))
     if "fail_frac" in rows.columns:
         if by_lot:
             cells = rows.join(_gids(runs, base_size), "run")
@@ -284,7 +289,7 @@ def build_charts(
         means = cells.filter("gid >= 0").groupBy(F.lit("FAIL_FRAC_MEAN").alias("chart"), "gid").agg(
             F.count("*").alias("n"), F.max("idx").alias("end_idx"), F.avg("fail_frac").alias("value")
         )
-        own = mean_chart(with_baseline(means, n_base_rows)).withColumn("kind", F.lit("mean"))
+        own = mean_chart(with_baseline(written(means, "means"), n_base_rows)).withColumn("kind", F.lit("mean"))
         charts = charts.unionByName(own, allowMissingColumns=True)
     return finished(written(charts, "chart-points"))
 

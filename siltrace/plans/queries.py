@@ -393,7 +393,7 @@ def operating_curve(spark, sf):
 def _rows(spark: SparkSession, sf: str, planted: bool = False, optional: bool = False) -> DataFrame:
     rows = A.spc_rows(spark, sf, planted)
     kept = rows if optional else rows.drop("confidence", "fail_frac")
-    return S.numbered(kept, ("ts", "event_id"), F.date_trunc("hour", "ts"))
+    return S.numbered(kept, ("ts", "event_id"))
 
 
 def _charts(spark: SparkSession, sf: str, planted: bool = True, optional: bool = False, laney: bool = True) -> DataFrame:
@@ -605,8 +605,8 @@ def rf_pred(spark, sf):
 
 @query
 def boost_pred(spark, sf):
-    """A booster of 20 rounds."""
-    return L.trained_predictions(_kept_features(spark, sf), W.FEATURES, L.boosted(iterations=20)).select("wafer", "lot", "y_true", "y_pred")
+    """A booster of 50 rounds."""
+    return L.trained_predictions(_kept_features(spark, sf), W.FEATURES, L.boosted(iterations=50)).select("wafer", "lot", "y_true", "y_pred")
 
 
 @query

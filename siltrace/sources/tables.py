@@ -70,11 +70,11 @@ def read_predictions(spark: SparkSession, path: str, schema: str = PREDICTIONS)
     return predictions(raw.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in raw.columns]))
 
 
-def predictions(df: DataFrame, time_col: str | None = None, tiebreak: Iterable[str] = (), width: str = "hour") -> DataFrame:
+def predictions(df: DataFrame, time_col: str | None = None, tiebreak: Iterable[str] = ()) -> DataFrame:
     """Usable predictions: lot as string, skipped and null ones dropped; optional columns stay.
 
     With ``time_col`` rows are numbered (idx from 0) by time, null times last, equal times by ``tiebreak``, which should make
-    the order total; time is a timestamp, numbered within each ``width``.
+    the order total.
     """
     require(df, ("lot", "y_pred", *([time_col] if time_col else [])))
     if "skipped" in df.columns:
@@ -84,9 +84,7 @@ def predictions(df: DataFrame, time_col: str | None = None, tiebreak: Iterable[s
         return df
     from siltrace.operators.spc import numbered
 
-    last = F.lit("9999-12-31 23:00:00").cast("timestamp_ntz")
-    bucket = F.coalesce(F.date_trunc(width, F.col(time_col)).cast("timestamp_ntz"), last)
-    return numbered(df, (F.asc_nulls_last(time_col), *tiebreak), bucket)
+    return numbered(df, (F.asc_nulls_last(time_col), *tiebreak))
 
 
 def history(df: DataFrame) -> DataFrame:
