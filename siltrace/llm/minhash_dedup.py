@@ -5,9 +5,9 @@ row of minhash values.  Classes that share at least ``depth`` leading values lie
 size all pairs whose signatures agree well enough are candidates; in a crowded one the prefix is deepened until regions are
 small, and each class is also paired with its neighbours by longest common prefix in the sorted order.  Candidates are
 confirmed on the full shingle sets: first each class's best partner, then all candidates that still lie in different
-components, so that no candidate that could join two components goes unconfirmed.  Last, an exact join by prefix filter finds
-all links between different components among the classes of crowded regions: shingles are ordered by how many of these classes
-hold them, and two sets of the threshold's similarity share one of their rarest few.
+components, so that no candidate that could join two components goes unconfirmed.  Last, the classes of crowded regions that
+still hold several components are compared on their full sets, block against block: a task counts the common shingles of all
+pairs of two blocks at once, as a product of matrices over the shingles that both hold, and gives out which components meet, never pairs.
 """
 
 from __future__ import annotations
@@ -16,18 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltrace.llm.components import connected_components, relabelled
 from siltrace.llm.exchange import mail, pack, to_buckets, unpack
 from siltrace.llm.kernels import _LOWER_CODES, Words, chunks, mix, range_hash, range_sums, release_memory, text_bytes, tidied
 from siltrace.llm.storage import dropped, written
+from siltrace.operators.ranks import cumulated
 
 TREES, LEVELS = 12, 8
 DEPTH = 2  # shared leading values that make a region: 1 - (1 - 0.8**2)**12 of all pairs at 0.8 meet in some tree
 CROWDED = 64  # classes in a region beyond which it is split by deeper prefixes
 NEIGHBOURS = 12  # classes after each in a crowded region's sorted order that are paired with it
+HOT_REGION = 1 << 16  # classes in a region beyond which it is dealt over several tasks by its deeper prefixes
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19  # classes, and shingles, of a crowded region that are compared at once
 LEAST_AGREEMENT = 0.6  # of signatures: five standard deviations below a similarity of 0.8
 
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -93,23 +96,46 @@ def _nibbles(sig: np.ndarray) -> np.ndarray:
 _SAME = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
 
 
-def _plant(n_buckets: int):
-    """From (id, n, signature) to mail: each class once in every tree's bucket."""
+def _region_keys(sig: np.ndarray, tree: int) -> np.ndarray:
+    """Names of the regions of some classes in a tree."""
+    own = sig[:, tree * LEVELS : tree * LEVELS + DEPTH].astype(np.uint64)
+    key = np.full(len(sig), tree + 1, np.uint64)
+    for d in range(DEPTH):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[:, d])
+    return key
+
+
+def _signatures_of(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, n): how many of a batch's classes lie in each region of each tree."""
+    for batch in batches:
+        sig = _signatures_of(batch, 0)
+        key, n = np.unique(np.concatenate([_region_keys(sig, t) for t in range(TREES)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["region", "n"])
+
+
+def _plant(n_buckets: int, hot: np.ndarray):
+    """From (id, n, signature) to mail: each class once in every tree's bucket; regions in ``hot`` are dealt by their next levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-            words = _nibbles(sig).view(np.uint64).reshape(batch.num_rows, -1)
+            sig = _signatures_of(batch, 2)
+            nibbles = _nibbles(sig)
+            words = nibbles.view(np.uint64).reshape(batch.num_rows, -1)
             ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             rows = []
             for t in range(TREES):
-                own = sig[:, t * LEVELS : t * LEVELS + DEPTH].astype(np.uint64)
-                key = np.full(len(ids), t + 1, np.uint64)
-                for d in range(DEPTH):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[:, d])
-                rows += to_buckets((key % np.uint64(n_buckets)).astype(np.int64), t, 0, key, ids, n, *words.T)
+                region = _region_keys(sig, t)
+                key, split = region.copy(), np.isin(region, hot)
+                for level in range(DEPTH // 2, LEVELS // 2 - 1):
+                    deeper = nibbles[split, t * LEVELS // 2 + level].astype(np.uint64)
+                    key[split] = mix(key[split] * np.uint64(0x9E3779B97F4A7C15) + deeper)
+                rows += to_buckets((key % np.uint64(n_buckets)).astype(np.int64), t, 0, key, region, ids, n, *words.T)
             yield from mail(rows).to_batches()
 
     return run
@@ -134,16 +160,16 @@ def _candidates(table: pa.Table) -> pa.Table:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     crowd: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for tree in sorted({t for t, _ in parts}):
-        key, ids, n, *words = (np.concatenate(x) for x in zip(*[p for t, p in parts if t == tree], strict=True))
+        key, whole, ids, n, *words = (np.concatenate(x) for x in zip(*[p for t, p in parts if t == tree], strict=True))
         ids, n, words = ids.view(np.int64), n.astype(np.int64), np.stack(words, 1)
         path = np.ascontiguousarray(words.view(np.uint8)[:, tree * LEVELS // 2 : (tree + 1) * LEVELS // 2]).view(">u4").ravel()
         order = np.lexsort((ids, path, key))
-        key, path, ids, n, words = key[order], path[order], ids[order], n[order], words[order]
+        key, whole, path, ids, n, words = key[order], whole[order], path[order], ids[order], n[order], words[order]
         region = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(region, len(key)))
         tasks = [(a, a + s, DEPTH) for a, s in zip(region[size > 1].tolist(), size[size > 1].tolist(), strict=True)]
-        full = np.repeat(size > CROWDED, size)
-        crowd.append((ids[full], key[full].view(np.int64), n[full]))
+        full = np.repeat(size > CROWDED, size) | (key != whole)  # parts of hot regions are crowded whatever their size
+        crowd.append((ids[full], whole[full].view(np.int64), n[full]))
         left, right = [], []
         while tasks:
             a, b, depth = tasks.pop()
@@ -212,47 +238,97 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(tidied(_confirmed(threshold)), ", ".join(f"{c} long" for c in ("a", "b", *more)))
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, component, n, token) for each shingle of each set."""
-    for batch in batches:
-        ids, components = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i, blob in enumerate(batch.column(2)):
-            token = unpack(blob.as_py())[0].view(np.int64)
-            same = [np.full(len(token), x, np.int64) for x in (ids[i], components[i], len(token))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, token)], ["id", "component", "n", "token"])
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, as products of 0/1 matrices over the elements of both sides."""
+    flat = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (x, y)]
+    row = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(x), len(y)), np.int64)
+    at = [np.searchsorted(both, f) if len(both) else np.zeros(len(f), np.int64) for f in flat]
+    held = [(a < len(both)) & (both[np.minimum(a, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool) for a, f in zip(at, flat, strict=True)]
+    at, row = [a[h] for a, h in zip(at, held, strict=True)], [r[h] for r, h in zip(row, held, strict=True)]
+    order = [np.argsort(a, kind="stable") for a in at]
+    at, row = [a[o] for a, o in zip(at, order, strict=True)], [r[o] for r, o in zip(row, order, strict=True)]
+    for lo in range(0, len(both), step):
+        sides = []
+        for a, r, n in zip(at, row, (len(x), len(y)), strict=True):
+            i, j = np.searchsorted(a, [lo, lo + step])
+            side = np.zeros((n, min(step, len(both) - lo)), np.float32)
+            side[r[i:j], a[i:j] - lo] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def met_components(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From pairs of linked components to a link of each to the smallest that it reaches over these pairs."""
+    names, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    a, b = at[: len(i)], at[len(i) :]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    moved = label != np.arange(len(names))
+    return names[moved], names[label[moved]]
+
+
+def _compared(threshold: int):
+    """Of two blocks of classes (or one with itself): the components that a link joins."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, component = table["side"].to_numpy(), table["component"].to_numpy()
+        sets = [unpack(x.as_py())[0] for x in table["shingles"].combine_chunks()]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        x, y = [sets[k] for k in left], [sets[k] for k in right]
+        common = common_counts(x, y)
+        n, m = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+        i, j = np.nonzero((100 * common >= threshold * (n[:, None] + m[None, :] - common)) & (component[left][:, None] != component[right][None, :]))
+        a, b = met_components(component[left[i]], component[right[j]])
+        release_memory()
+        return pa.table({"ca": a, "cb": b})
+
+    return run
 
 
-def crowded_links(crowds: DataFrame, components: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
-    """All links (a, b, ca, cb) between different components ca, cb among the classes of crowded regions; None if there can be none.
+def crowded_links(crowds: DataFrame, components: DataFrame, sets: DataFrame, threshold: int, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame | None:
+    """Links (ca, cb) that join components among the classes of each crowded region; None if no region holds several components.
 
-    An exact set join by prefix filter.  Shingles that no two components share come first in the order, then the others by the
-    number of classes that hold them: of a class, only the first few of that order, as many as a partner may lack and one more,
-    meet those of others.  What is left of both sets behind the common shingle must be able to reach the threshold.
+    A region's classes, ordered by component, are cut into blocks of at most ``block`` classes and about ``block_shingles``
+    shingles, over ranges of the order; blocks of one and the same component need not meet.  Every other pair of blocks of a
+    region is one group, whatever the size of the region.
     """
     own = crowds.select("region", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = own.groupBy("region").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("region")
-    own = written(own.join(mixed, "region", "left_semi").select("id", "component").distinct(), "crowds")
+    own = own.distinct().join(mixed, "region", "left_semi").hint("merge").join(sets.select("id", "n_shingles"), "id")
+    own = written(own, "crowds")
     if own.isEmpty():
         return None
-    packed = sets.hint("merge").join(own, "id").select("id", "component", "shingles")
-    tokens = written(packed.mapInArrow(tidied(_shingle_rows), "id long, component long, n long, token long"), "tokens")
-    common = tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    common = written(common.filter("c0 <> c1").select("token", "held"), "common-tokens")
-    ranked = tokens.hint("merge").join(common, "token", "left")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("held", F.lit(0)), "token"))
-    first = ranked.withColumn("place", place).filter(F.col("held").isNotNull() & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1))
-    first = written(first.select("id", "component", "n", "place", "token"), "prefixes")
-    x, y = (first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "place")]) for side in "xy")
-    least = F.ceil((F.col("n_x") + F.col("n_y")) * threshold / (100 + threshold))
-    left = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    met = x.hint("merge").join(y, "token").filter((F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & (left >= least))
-    pairs = written(met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("component_x").alias("ca"), F.col("component_y").alias("cb")).distinct(), "crowded-pairs")
-    for table in (tokens, common, first):
+    placed = cumulated(own, [F.col("component"), F.col("id")], {"place": F.lit(1), "before": F.col("n_shingles")}, by=["region"])
+    name = F.struct(F.floor(F.col("place") / block).alias("i"), F.floor(F.col("before") / block_shingles).alias("j")).alias("block")
+    placed = written(placed.select("region", "id", "component", name), "crowd-blocks")
+    blocks = placed.groupBy("region", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    x, y = (blocks.select("region", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "c0", "c1")]) for side in "xy")
+    met = x.hint("merge").join(y, "region").filter("block_x <= block_y AND (c0_x <> c1_x OR c0_y <> c1_y OR c0_x <> c0_y)")
+    met = written(met.select("region", "block_x", "block_y"), "block-pairs")
+    members = placed.hint("merge").join(sets.select("id", "shingles"), "id").select("region", "block", "component", "shingles")
+    members = written(members, "crowd-sets", "none")
+    left = met.hint("merge").join(members.withColumnRenamed("block", "block_x"), ["region", "block_x"]).withColumn("side", F.lit(0))
+    right = met.filter("block_x < block_y").hint("merge").join(members.withColumnRenamed("block", "block_y"), ["region", "block_y"]).withColumn("side", F.lit(1))
+    both = left.unionByName(right).select(F.xxhash64("region", "block_x", "block_y").alias("pair"), "side", "component", "shingles")
+    links = written(both.groupBy("pair").applyInArrow(_compared(threshold), "ca long, cb long").distinct(), "crowd-links")
+    for table in (own, placed, met, members):
         dropped(table)
-    return None if pairs.isEmpty() else confirm(pairs, sets, threshold)
+    return None if links.isEmpty() else links
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80, hot_region: int = HOT_REGION) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id, kept).
 
     Texts are linked at a Jaccard similarity of at least ``threshold`` percent (80 or more) of their distinct ``shingle``-word
@@ -273,8 +349,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     marked = marks.filter(F.col("n_shingles") > 0)
     classes = marked.groupBy(*KEY).agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")).filter("least IS NOT NULL")
     classes = written(classes.withColumn("id", class_id), "classes")
-    n_buckets = max(12, classes.count() // 4096)
-    plant = classes.select("id", "n_shingles", "signature").mapInArrow(tidied(_plant(n_buckets)), "bucket long, batch long, kind int, blob binary")
+    n_classes = classes.count()
+    n_buckets = max(12, n_classes // 4096)
+    hot = np.zeros(0, np.uint64)
+    if n_classes > hot_region:  # a smaller table has no such region
+        sizes = classes.select("signature").mapInArrow(tidied(_regions), "region long, n long").groupBy("region").agg(F.sum("n").alias("n"))
+        few = sizes.filter(F.col("n") > hot_region).select("region").toArrow()  # at most TREES * classes / hot_region numbers
+        hot = few["region"].to_numpy().view(np.uint64)
+    plant = classes.select("id", "n_shingles", "signature").mapInArrow(tidied(_plant(n_buckets, hot)), "bucket long, batch long, kind int, blob binary")
     found = written(plant.groupBy("bucket").applyInArrow(_candidates, "a long, b long, agreement double, region long, size long"), "regions")
     pairs = written(found.filter("region IS NULL").groupBy("a", "b").agg(F.max("agreement").alias("agreement")), "candidates")
     crowds = found.filter("region IS NOT NULL").select("region", F.col("a").alias("id"))
@@ -284,7 +366,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     holders = classes.select("id", "least").join(wanted, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct()
     texts = source.hint("merge").join(holders, "doc_id", "left_semi").select("doc_id", "text")
     made = texts.mapInArrow(tidied(lambda it: _sets(it, shingle)), "n_shingles long, set_sum long, set_xor long, shingles binary")
-    sets = written(made.filter("n_shingles > 0").select(class_id, "shingles").dropDuplicates(["id"]), "sets", "none")
+    sets = written(made.filter("n_shingles > 0").select(class_id, "n_shingles", "shingles").dropDuplicates(["id"]), "sets", "none")
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agreement", -F.col("a"))).alias("a"))
     # Each class's best partner has the smaller key of the two: these links are a forest.

@@ -522,11 +522,66 @@ def test_components_of_a_crowded_region_meet(spark):
         sets[i] = np.sort(np.append(sets[j][:18], sets[i][:2]))
     crowds = spark.createDataFrame([(1, i, 20) for i in sets] + [(2, i, 20) for i in range(100)], "region long, id long, size long")
     joined = spark.createDataFrame([(i, 0) for i in range(1300)], "id long, component long")
-    packed = spark.createDataFrame([(i, pack(x)) for i, x in sets.items()], "id long, shingles binary")
-    assert {(r.b, r.a) for r in crowded_links(crowds, joined, packed, 80).collect()} == set(linked.items())
+    packed = spark.createDataFrame([(i, len(x), pack(x)) for i, x in sets.items()], "id long, n_shingles long, shingles binary")
+    want = {frozenset((i, 0)) for i in linked}  # every one of them joins the component
+    for block, shingles in ((1024, 1 << 19), (64, 1 << 19), (1024, 900)):
+        found = crowded_links(crowds, joined, packed, 80, block, shingles).collect()
+        assert {frozenset((r.ca, r.cb)) for r in found} == want
     assert crowded_links(crowds.filter("region = 2"), joined, packed, 80) is None
 
 
+def test_common_counts_and_met_components():
+    from siltrace.llm.minhash_dedup import common_counts, met_components
+
+    rng = np.random.default_rng(3)
+    x, y = ([np.unique(rng.integers(0, 300, rng.integers(0, 90), dtype=np.uint64)) for _ in range(n)] for n in (17, 23))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    for step in (7, 4096):
+        assert common_counts(x, y, step).tolist() == want
+    assert common_counts(x, [np.zeros(0, np.uint64)]).tolist() == [[0]] * 17
+    chain = np.arange(50)
+    a, b = met_components(np.concatenate((chain[:-1], [90])), np.concatenate((chain[1:], [80])))
+    assert dict(zip(a.tolist(), b.tolist())) == {i: 0 for i in range(1, 50)} | {90: 80}
+    assert len(met_components(chain[:0], chain[:0])[0]) == 0
+
+
+def test_form_letters_meet_in_blocks(spark):
+    # 400 words with 25 slots of 4 values: similarity 0.65 to all others, so that nearly all pairs meet somewhere; 60 planted near copies.
+    rng, n = random.Random(12), 1200
+    frame = [f"w{k}" for k in range(400)]
+
+    def letter():
+        own = list(frame)
+        for slot in range(25):
+            own[16 * slot + 3] = f"s{slot}v{rng.randrange(4)}"
+        return own
+
+    letters = [letter() for _ in range(n)]
+    near = []
+    for k in range(60):
+        own = list(letters[k])
+        own[7 + k] = f"changed{k}"
+        near.append(own)
+    rows = [(i, " ".join(x)) for i, x in enumerate(letters + near)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    every = letters + near
+    names, held = {}, np.zeros((len(every), 2000), np.float32)
+    for i, x in enumerate(every):
+        for k in range(396):
+            held[i, names.setdefault(tuple(x[k : k + 5]), len(names))] = 1
+    common, size = held @ held.T, held.sum(1)
+    links = np.argwhere(100 * common >= 80 * (size[:, None] + size[None, :] - common))
+    want = {i: i for i in range(len(every))}
+    while any(want[i] != want[j] for i, j in links.tolist()):
+        for i, j in links.tolist():
+            want[i] = want[j] = min(want[i], want[j])
+    assert 60 <= sum(i != c for i, c in want.items()) < 200  # the planted ones, and some letters that differ in few slots by chance
+    for hot in (1 << 16, 100):  # with and without regions dealt by deeper levels
+        got = {r.doc_id: r.component_id for r in near_duplicates(df, hot_region=hot).collect()}
+        assert got == want
+
+
 def test_connected_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
