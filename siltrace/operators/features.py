@@ -7,6 +7,8 @@ components give the other features through one aggregate by component and one by
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from siltrace.functions.columns import concentration, norm2, wrapped
 from siltrace.operators.components import label_arrays
 from siltrace.operators.dies import die_positions
-from siltrace.sources.stored import kept_by_version, written
+from siltrace.sources.stored import deleted, dropped, exists, written
 
 GLOBAL = ("fail_frac", "r_mean", "r_med", "r_std", "dir_c", "axial_c")
 PROFILE = tuple(f"prof{b}" for b in range(5))
@@ -199,6 +201,7 @@ def component_features(components: DataFrame, id_col: str = "wafer") -> DataFram
 
 
 FEATURE_VERSION = "28-1"  # of the set below; a kept table of another version is not read
+FEATURE_BUCKETS = 64
 _WITHOUT_FAILS = {"elongation": 1.0}
 
 
@@ -213,6 +216,59 @@ def wafer_features(cells: DataFrame, id_col: str = "wafer", carry: tuple[str, ..
     return parts.select(id_col, *carry, "n_die", *FEATURES)
 
 
+@dataclass(frozen=True)
+class Refreshed:
+    """A kept feature table, and how many wafers were computed and removed to bring it up to date."""
+
+    table: DataFrame
+    computed: int
+    removed: int
+
+
+def map_contents(cells: DataFrame, id_col: str = "wafer", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, content): a text that changes when a wafer's dies or carried columns do, whatever the order of its rows."""
+    cell = F.xxhash64("height", "width", "x", "y", "v")
+    parts = [F.count("*"), F.bit_xor(cell), F.bit_xor(F.xxhash64(F.lit("again"), "x", "y", "v")), *[F.xxhash64(F.first(c)) for c in carry]]
+    return cells.groupBy(id_col).agg(F.concat_ws(":", *[p.cast("string") for p in parts]).alias("content"))
+
+
+def refreshed_features(cells: DataFrame, folder: str, id_col: str = "wafer", carry: tuple[str, ...] = (), buckets: int = FEATURE_BUCKETS) -> Refreshed:
+    """:func:`wafer_features` of the cells, kept in ``folder`` by version of the feature set and brought up to date.
+
+    Wafers whose content is that of the kept row are not computed again; new and changed ones are, and those without cells are
+    removed.  The table lies in ``buckets`` partitions by a hash of the id, of which only those with changes are written anew.  A refresh
+    that breaks off leaves rows of both states, each with its content, and the next one goes on from there.
+    """
+    spark, target = cells.sparkSession, f"{folder.rstrip('/')}/features-{FEATURE_VERSION}"
+    found = written(map_contents(cells, id_col, carry), "map-contents")
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("bucket")
+    kept = spark.read.parquet(target) if exists(spark, target) else None
+    key = [id_col, "content"]
+    stale = written((found if kept is None else found.join(kept.select(*key), key, "left_anti")).select(*key, bucket), "stale-wafers")
+    gone = None if kept is None else written(kept.join(found.select(id_col), id_col, "left_anti").select(id_col, "bucket"), "gone-wafers")
+    computed, removed = stale.count(), 0 if gone is None else gone.count()
+    if computed:
+        fresh = wafer_features(cells.join(stale.select(id_col), id_col, "left_semi"), id_col, carry).join(stale, id_col)
+    if computed or removed:
+        touched = [r["bucket"] for r in (stale.select("bucket") if gone is None else stale.select("bucket").union(gone.select("bucket"))).distinct().collect()]
+        parts = [fresh] if computed else []
+        if kept is not None:
+            parts.append(kept.filter(F.col("bucket").isin(touched)).join(found, key, "left_semi"))
+        after = written(reduce(lambda a, b: a.unionByName(b), parts), "fresh-features")
+        if kept is not None:  # an overwritten partition without rows would stay
+            left = {r["bucket"] for r in after.select("bucket").distinct().collect()}
+            for b in set(touched) - left:
+                deleted(spark, f"{target}/bucket={b}")
+        after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+        dropped(after)
+    for table in (found, stale, gone):
+        if table is not None:
+            dropped(table)
+    schema = kept.schema if kept is not None else None
+    table = (spark.read.schema(schema) if schema else spark.read).parquet(target) if exists(spark, target) else wafer_features(cells.limit(0), id_col, carry)
+    return Refreshed(table.drop("content", "bucket"), computed, removed)
+
+
 def feature_table(cells: DataFrame, folder: str, id_col: str = "wafer", carry: tuple[str, ...] = ()) -> DataFrame:
-    """:func:`wafer_features`, computed once for each folder and version of the feature set and read from there afterwards."""
-    return kept_by_version(cells.sparkSession, folder, "features", FEATURE_VERSION, lambda: wafer_features(cells, id_col, carry))
+    """The table of :func:`refreshed_features`."""
+    return refreshed_features(cells, folder, id_col, carry).table

@@ -95,13 +95,22 @@ _n = lambda *names: ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in names)  # n
 _r = lambda *names: ", ".join(f"round({c}, 6) AS {c}" for c in names)
 
 _add("rule_classify", "SELECT wafer, CAST(lot AS BIGINT) AS lot, y_true, y_pred FROM v", DIES, GLOBAL, VERDICT)
+_SCORE = """round(least(greatest(CASE y_pred WHEN 'CLEAN' THEN 1 - fail_frac / 0.02::DOUBLE WHEN 'NEAR_FULL' THEN fail_frac
+  WHEN 'CENTER' THEN 1 - r_med / 0.30::DOUBLE WHEN 'EDGE_RING' THEN r_mean * (1 - 0.5::DOUBLE * r_std / 0.15::DOUBLE) WHEN 'EDGE_LOC' THEN greatest(dir_c, r_mean)
+  WHEN 'DONUT' THEN 1 - r_std / 0.16::DOUBLE WHEN 'SCRATCH' THEN axial_c * (1 - dir_c) WHEN 'LOC' THEN dir_c ELSE 1 - greatest(dir_c, axial_c) END, 0.0::DOUBLE), 1.0::DOUBLE), 6)"""
 _add(
     "rule_score",
-    """SELECT wafer, y_pred, round(least(greatest(CASE y_pred WHEN 'CLEAN' THEN 1 - fail_frac / 0.02::DOUBLE WHEN 'NEAR_FULL' THEN fail_frac
-  WHEN 'CENTER' THEN 1 - r_med / 0.30::DOUBLE WHEN 'EDGE_RING' THEN r_mean * (1 - 0.5::DOUBLE * r_std / 0.15::DOUBLE) WHEN 'EDGE_LOC' THEN greatest(dir_c, r_mean)
-  WHEN 'DONUT' THEN 1 - r_std / 0.16::DOUBLE WHEN 'SCRATCH' THEN axial_c * (1 - dir_c) WHEN 'LOC' THEN dir_c ELSE 1 - greatest(dir_c, axial_c) END, 0.0::DOUBLE), 1.0::DOUBLE), 6) AS score
-FROM v""",
+    f"SELECT wafer, y_pred, {_SCORE} AS score FROM v",
+    DIES, GLOBAL, VERDICT,
+)
+_add(
+    "classify_all",
+    f"""SELECT wafer, CAST(lot AS BIGINT) AS lot, y_true, CASE WHEN ok THEN y_pred END AS y_pred, CAST(CASE WHEN error IS NULL THEN n END AS BIGINT) AS n_die, NOT ok AS skipped,
+  CASE WHEN ok THEN {_SCORE} END AS score, {", ".join(f"CASE WHEN ok THEN round({c}, 6) END AS {c}" for c in ("fail_frac", "r_mean", "r_std", "dir_c", "axial_c"))}, error
+FROM (SELECT v.*, error, CASE WHEN wafer % 10 = 0 THEN few.n ELSE n_die END AS n, error IS NULL AND CASE WHEN wafer % 10 = 0 THEN few.n ELSE n_die END >= 100 AS ok FROM v JOIN er USING (wafer) LEFT JOIN few USING (wafer))""",
     DIES, GLOBAL, VERDICT,
+    "few AS (SELECT wafer, count(*) AS n FROM dies WHERE x <= 4 GROUP BY wafer)",
+    "er AS (SELECT wafer, CASE WHEN wafer % 11 = 5 THEN 'no map' WHEN wafer % 7 = 3 THEN 'rows of unequal length' WHEN wafer % 13 = 6 THEN 'unknown cell code' END AS error FROM v)",
 )
 _add("wafer_yield", f"SELECT wafer, {_n('n_die', 'n_fail')}, round(fail_frac, 6) AS fail_frac, round((1 - fail_frac) * 100, 6) AS yield_pct FROM g0", DIES, GLOBAL)
 _add("die_explode", f"SELECT wafer, {_n('x', 'y')}, {_r('die_x', 'die_y', 'radius', 'angle_deg')}, CASE v WHEN 2 THEN 'FAIL' ELSE 'PASS' END AS status FROM pos", DIES)
@@ -253,14 +262,15 @@ _add(
     "SELECT round((SELECT avg(tp::DOUBLE / support) FROM f1 WHERE support > 0), 6) AS balanced_accuracy, round(avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM v",
     DIES, GLOBAL, VERDICT, _MACRO.format(key="", rows="v", names=_values((*CLASSES, "CLEAN"))),
 )
+FEATURE_CTES = (DIES, GLOBAL, BOX, RING, LABELS, COMPS, _ALL)
 AUC = f"""
-u AS (SELECT wafer, y_true, feature, round(value, 9) AS value FROM (UNPIVOT (SELECT wafer, y_true, fail_frac, r_mean, r_med, r_std, dir_c, axial_c FROM g) ON fail_frac, r_mean, r_med, r_std, dir_c, axial_c INTO NAME feature VALUE value)),
+u AS (SELECT wafer, y_true, feature, value FROM (UNPIVOT (SELECT wafer, y_true, round(elongation, 3) AS elongation, {_r(*_FEATURES)} FROM fa) ON elongation, {", ".join(_FEATURES)} INTO NAME feature VALUE value)),
 rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS r FROM u),
 auc AS (SELECT name, feature, coalesce((sum(r) FILTER (y_true = name) - count(*) FILTER (y_true = name) * (count(*) FILTER (y_true = name) + 1) / 2.0::DOUBLE)
   / nullif(count(*) FILTER (y_true = name) * count(*) FILTER (y_true <> name), 0)::DOUBLE, 0.5::DOUBLE) AS auc FROM rk, (VALUES {_values(CLASSES)}) k(name) GROUP BY name, feature)
 """
-_add("auc_ovr_table", "SELECT name, feature, round(auc, 6) AS auc FROM auc", DIES, GLOBAL, AUC)
-_add("auc_rank", "SELECT name, feature, round(auc, 6) AS auc FROM auc ORDER BY round(abs(auc - 0.5::DOUBLE), 9) DESC, name, feature LIMIT 10", DIES, GLOBAL, AUC)
+_add("auc_ovr_table", "SELECT name, feature, round(auc, 6) AS auc FROM auc", *FEATURE_CTES, AUC, recursive=True)
+_add("auc_rank", "SELECT name, feature, round(auc, 6) AS auc FROM auc ORDER BY round(abs(auc - 0.5::DOUBLE), 9) DESC, name, feature LIMIT 10", *FEATURE_CTES, AUC, recursive=True)
 
 SCORES = """
 s AS (SELECT l.doc_id, 1.0::DOUBLE / (1 + n_chars / 1000.0::DOUBLE) AS p, quality = 0 AS is_defect, source AS y_true FROM labels l JOIN documents d USING (doc_id))
@@ -538,7 +548,7 @@ _add(
     """SELECT name, other, feature, round(coalesce(sum(CASE WHEN a.value > b.value THEN 1.0::DOUBLE WHEN a.value = b.value THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / nullif(count(b.value), 0), 0.5::DOUBLE), 6) AS auc
 FROM (VALUES ('EDGE_LOC', 'LOC'), ('SCRATCH', 'LOC')) AS p(name, other) CROSS JOIN (SELECT DISTINCT feature FROM u) f
 JOIN u a ON a.y_true = name AND a.feature = f.feature JOIN u b ON b.y_true = other AND b.feature = f.feature GROUP BY name, other, f.feature""".replace("SELECT name, other, feature", "SELECT name, other, f.feature AS feature"),
-    DIES, GLOBAL, AUC,
+    *FEATURE_CTES, AUC, recursive=True,
 )
 _add(
     "cascade_none",

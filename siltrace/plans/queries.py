@@ -15,6 +15,8 @@ from siltrace.operators import ml as L
 from siltrace.operators import report as P
 from siltrace.operators import rules as R
 from siltrace.operators import spc as S
+from siltrace.operators.audit import classify_all as classify_all_maps
+from siltrace.operators.detection import detection_summary, detection_verdicts
 from siltrace.plans import adapters as A
 from siltrace.sources import tables as T
 from siltrace.sources.dimensions import CLASSES, EXPECTED, RAW_LABELS, expected_patterns, mapped
@@ -48,6 +50,12 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return W.wafer_features(A.wafer_cells(spark, sf), carry=("lot", "pm", "y_true"))
 
 
+def _rounded_features(spark: SparkSession, sf: str) -> DataFrame:
+    """All features without the rounding noise that would tell ties apart."""
+    digits = lambda c: 3 if c == "elongation" else 6
+    return written(_features(spark, sf).select("wafer", "y_true", *[F.round(c, digits(c)).alias(c) for c in W.FEATURES]), "rounded-features")
+
+
 def _boxed(spark: SparkSession, sf: str) -> DataFrame:
     return W.with_box(A.wafer_cells(spark, sf))
 
@@ -238,6 +246,20 @@ def quality_filter(spark, sf):
     return tidy(s.groupBy("wafer").agg(F.first("n_die").alias("n_die"), F.first("skipped").alias("skipped")))
 
 
+@query
+def classify_all(spark, sf):
+    """Every wafer with its verdict or why it has none; some maps are cut down, made ragged, given an unknown code or taken away."""
+    wafer = F.col("wafer")
+    cells = A.wafer_cells(spark, sf).filter(~((wafer % 10 == 0) & (F.col("x") > 4)))
+    maps = D.die_map(cells).join(cells.select("wafer", "lot", "y_true").distinct(), "wafer")
+    m, rest = F.col("wafer_map"), F.slice("wafer_map", F.lit(2), F.size("wafer_map") - 1)
+    first = F.get(m, 0)
+    ragged = F.concat(F.array(F.slice(first, F.lit(2), F.size(first) - 1)), rest)
+    coded = F.concat(F.array(F.concat(F.array(F.lit(9).cast("tinyint")), F.slice(first, F.lit(2), F.size(first) - 1))), rest)
+    broken = F.when(wafer % 11 == 5, F.lit(None)).when(wafer % 7 == 3, ragged).when(wafer % 13 == 6, coded).otherwise(m)
+    return tidy(classify_all_maps(maps.withColumn("wafer_map", broken), carry=("lot", "y_true")))
+
+
 @query
 def spec_yield(spark, sf):
     """A measured field over the grid, judged by its limits."""
@@ -305,14 +327,12 @@ def balanced_acc(spark, sf):
 
 @query
 def auc_ovr_table(spark, sf):
-    f = _global(spark, sf).select("y_true", *[F.round(c, 9).alias(c) for c in W.GLOBAL])
-    return tidy(M.auc_table(f, W.GLOBAL))
+    return tidy(M.auc_table(_rounded_features(spark, sf), W.FEATURES))
 
 
 @query
 def auc_rank(spark, sf):
-    f = _global(spark, sf).select("y_true", *[F.round(c, 9).alias(c) for c in W.GLOBAL])
-    return tidy(M.auc_ranking(M.auc_table(f, W.GLOBAL)).select("name", "feature", "auc"))
+    return tidy(M.auc_ranking(M.auc_table(_rounded_features(spark, sf), W.FEATURES)).select("name", "feature", "auc"))
 
 
 @query
@@ -367,8 +387,7 @@ def paired_models(spark, sf):
 @query
 def pairwise_auc(spark, sf):
     """How features tell patterns apart that are often mistaken for each other."""
-    f = _global(spark, sf).select("y_true", *[F.round(c, 9).alias(c) for c in W.GLOBAL])
-    return tidy(M.pairwise_auc(f, W.GLOBAL, (("EDGE_LOC", "LOC"), ("SCRATCH", "LOC"))))
+    return tidy(M.pairwise_auc(_rounded_features(spark, sf), W.FEATURES, (("EDGE_LOC", "LOC"), ("SCRATCH", "LOC"))))
 
 
 @query
@@ -621,3 +640,17 @@ def paired_forests(spark, sf):
     """Forests on 17 and on 20 features over the same five splits; 50 trees each."""
     models = {f"RF-{n}": (L.forest(trees=50), W.FEATURES[:n]) for n in (17, 20)}
     return tidy(M.paired_models(L.paired_fits(_kept_features(spark, sf), models), "RF-20"))
+
+
+@query
+def tree_pred_extended(spark, sf):
+    """The second grid of depths, on the features of the extended rules."""
+    return L.searched_tree(_kept_features(spark, sf), W.FEATURES[:17], depths=L.EXTENDED_DEPTHS).select("wafer", "lot", "y_true", "y_pred")
+
+
+@query
+def detection(spark, sf):
+    """Detection at a false-alarm rate of 2 % and the second stage behind it, over one split of lots."""
+    rows = _kept_features(spark, sf).withColumn("y_true", F.when(F.col("y_true") == "CLEAN", "NONE").otherwise(F.col("y_true")))
+    verdicts, _ = detection_verdicts(rows, W.FEATURES, W.FEATURES[:20], keep=("wafer",), seeds=(42,))
+    return tidy(detection_summary(written(verdicts, "verdicts")))

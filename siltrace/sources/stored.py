@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +44,12 @@ def dropped(df: DataFrame) -> None:
             store.delete(path, True)
 
 
-def kept_by_version(spark: SparkSession, folder: str, name: str, version: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` of a version in ``folder``: built and written once, then read by every later query.
+def exists(spark: SparkSession, name: str) -> bool:
+    path, store = _path(spark, name)
+    return store.exists(path)
 
-    A table counts as there when its writer has finished.  Another version gets a table of its own; older ones stay.
-    """
-    target = f"{folder.rstrip('/')}/{name}-{version}"
-    done, store = _path(spark, f"{target}/_SUCCESS")
-    if not store.exists(done):
-        build().write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+
+def deleted(spark: SparkSession, name: str) -> None:
+    """Delete a folder, if it is there."""
+    path, store = _path(spark, name)
+    store.delete(path, True)
