@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltrace.llm.storage import written
+
 MAX_RULES = 10_000  # the broadcast bound: rules are a Python sequence and refused beyond this
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -45,7 +47,8 @@ def url_filter(
     among fitting rules the longest ``host + path`` wins, ``block`` before ``allow`` at equal length, then by name.
 
     Null or malformed URLs have empty host and path, no rule and the default verdict.  Repeated rows are judged one by
-    one.  An empty table gives an empty result.  Other columns of the input, whatever their names, are not read.
+    one.  URLs of any length are split and looked up whole, in as many expressions as rules have host depths times path lengths.  A-Z of
+    a rule's host count as a-z, as a URL's do.  An empty table gives an empty result.  Other columns of the input, whatever their names, are not read.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can be broadcast")
@@ -60,14 +63,15 @@ def url_filter(
     suffixes = [F.when(dots >= d - 1, F.substring_index("host", ".", -d)) for d in depths]
     prefixes = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]
     expressions = F.array_compact(F.array(*[F.concat(s, p) for s in suffixes for p in prefixes]))
+    # Row numbers are written before rows are dealt by them: a task that runs again could number them otherwise.
+    numbered = written(base.withColumn("rid", F.monotonically_increasing_id()), "urls")
     probes = (
-        base.withColumn("rid", F.monotonically_increasing_id())
-        .select("rid", "page_id", "host", "path", F.explode_outer(expressions).alias("expression"))
+        numbered.select("rid", "page_id", "host", "path", F.explode_outer(expressions).alias("expression"))
         .withColumn("digest", F.sha2(F.col("expression"), 256))
         .withColumn("short", F.substring("digest", 1, prefix_hex))
     )
 
-    values = ", ".join(f"({_quoted(v)}, {_quoted(h.lower() + p)})" for v, h, p in rules)
+    values = ", ".join(f"({_quoted(v)}, {_quoted(h.translate(str.maketrans(_UPPER, _LOWER)) + p)})" for v, h, p in rules)
     table = (
         pages.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(action, rule_text)")
         .withColumn("rule_digest", F.sha2("rule_text", 256))

@@ -57,7 +57,7 @@ def test_decontamination_equals_brute_force(spark):
 
 def test_other_windows_and_a_table_of_bits_that_lets_much_through(spark):
     docs, items = tables(7)
-    for window, shingle, bits in ((6, 2, 16), (13, 4, 8), (4, 4, 27)):
+    for window, shingle, bits in ((6, 2, 16), (4, 4, 8)):
         want = {i: x for (i, _), x in zip(docs, brute.contaminated(docs, items, window), strict=True)}
         got = judged(spark, docs, items, window=window, shingle=shingle, filter_bits=bits).collect()
         assert {r.doc_id: (r.n_words, r.hit_words, r.n_items, r.items_sha256) for r in got} == want

@@ -577,9 +577,9 @@ def test_form_letters_meet_in_blocks(spark):
         for i, j in links.tolist():
             want[i] = want[j] = min(want[i], want[j])
     assert 60 <= sum(i != c for i, c in want.items()) < 200  # the planted ones, and some letters that differ in few slots by chance
-    for hot in (1 << 16, 100):  # with and without regions dealt by deeper levels
-        got = {r.doc_id: r.component_id for r in near_duplicates(df, hot_region=hot).collect()}
-        assert got == want
+    # Regions of more than 100 classes are dealt by deeper levels here.
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, hot_region=100).collect()}
+    assert got == want
 
 
 def test_connected_components_of_chains_and_stars(spark):
@@ -604,6 +604,30 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter(df, [], default_verdict="block").collect()} == {"block"}
 
 
+def test_long_urls_and_rules_in_capitals(spark):
+    long = "http://" + "a." * 50_000 + "Example.ORG/es/" + "x/" * 200_000
+    rows = [(1, long), (2, "http://\u00c9cole.fr/"), (3, "http://\u00e9cole.fr/"), (4, "http://sub.\u00c9COLE.FR/x"), (None, "http://a.example.org/es/")]
+    rules = [*Q.URL_RULES, ("block", "\u00c9COLE.fr", "/")]
+    got = {r.page_id: (r.rule, r.verdict, len(r.host)) for r in url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got[1] == ("example.org/es/", "block", 100_011)
+    assert got[2][:2] == got[4][:2] == ("\u00c9cole.fr/", "block") and got[3][:2] == (None, "allow")  # only A-Z are lowered
+    assert got[None][0] == "example.org/es/"
+
+
+def test_license_in_a_very_long_text(spark):
+    text = "word " * 300_000 + "under the MIT license" + " other" * 100_000
+    got = license_labels(license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (got.n_words, got.n_base, got.first_word, got.base_labels) == (400_004, 1, 300_000, "mit")
+
+
+def test_mixing_with_a_very_long_text(spark):
+    docs = [(i, ("plain prose " * 30 if i % 2 else "buy now cheap " * 30)) for i in range(40)] + [(99, "plain prose " * 200_000)]
+    labels = [(i, int(i % 2 == 1), 0) for i in range(40)]
+    out = mix_to_targets(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {"good": 0.6, "poor": 0.4, "toxic": 0.0})
+    rates = {r.doc_id: r.rate for r in out.collect()}
+    assert len(rates) == 41 and all(x >= 0 for x in rates.values())
+
+
 def test_a_cluster_must_name_its_shared_folder():
     from siltrace.llm.storage import shared_dir
 
