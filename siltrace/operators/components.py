@@ -19,6 +19,8 @@ _STRIDE = 1 << 16  # more columns than any map has
 
 def _labels(wafer: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(label, failing neighbours) of each cell; cells are distinct."""
+    if len(x) and max(int(x.max()), int(y.max())) > _STRIDE - 3:
+        raise ValueError(f"maps of more than {_STRIDE - 2} rows or columns cannot be labelled")
     place = (wafer * _STRIDE + y + 1) * _STRIDE + x + 1
     order = np.argsort(place)
     p = place[order]

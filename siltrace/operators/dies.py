@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltrace.functions.columns import norm2
@@ -63,6 +63,11 @@ def infer_geometry(positions: DataFrame, id_col: str = "wafer") -> DataFrame:
     )
 
 
+def effective_radius(radius: Column, edge_exclusion: Column | float = 0.0) -> Column:
+    """The radius within which dies count: without the edge that is left out, never below 0."""
+    return F.greatest(radius - edge_exclusion, F.lit(0.0))
+
+
 def spec_yield(field: DataFrame, id_col: str = "wafer") -> DataFrame:
     """Yield of measured cells (id, z, spec_lo, spec_hi); cells without a value are no dies."""
     fail = (F.col("z") < F.col("spec_lo")) | (F.col("z") > F.col("spec_hi"))

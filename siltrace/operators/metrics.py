@@ -63,12 +63,12 @@ def unpivoted(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
 
 
 def auc_table(df: DataFrame, features: Sequence[str], labels: Sequence[str] = CLASSES, truth: str = "y_true") -> DataFrame:
-    """(name, feature, auc): one-vs-rest rank AUC of each class and feature; 0.5 where a side is empty.
+    """(name, feature, auc): one-vs-rest rank AUC of each class and feature; 0.5 where a side is empty.  Rows without a class take no part.
 
     Values are counted by (feature, value, class) first; ranks come from cumulative counts over distinct values, so that no
     task holds more than a feature's distinct values.
     """
-    counts = unpivoted(df, features, truth).groupBy("feature", "value", truth).agg(F.count("*").alias("n"))
+    counts = unpivoted(df.filter(F.col(truth).isNotNull()), features, truth).groupBy("feature", "value", truth).agg(F.count("*").alias("n"))
     by_value = counts.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(truth, "n"))).alias("of"))
     ranked = cumulated(by_value, [F.col("value")], {"below": F.col("n")}, by=["feature"]).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
     names = F.explode(F.array(*[F.lit(c) for c in labels])).alias("name")

@@ -217,8 +217,9 @@ def out_of_fold(df: DataFrame, features: Sequence[str], defect: str = "is_defect
     return reduce(DataFrame.unionByName, parts)
 
 
-def importances(model, features: Sequence[str]) -> list[tuple[str, float]]:
-    return sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+def importances(model: Forest, features: Sequence[str]) -> list[tuple[str, float]]:
+    """(feature, share) from the most to the least important; equal ones by name."""
+    return sorted(zip(features, model.importance.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def tree_text(df: DataFrame, features: Sequence[str], depth: int = 8, seed: int = 42) -> str:

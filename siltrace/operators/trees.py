@@ -231,10 +231,13 @@ def class_weights(rows: DataFrame, trees: int, classes: int, seed: int) -> np.nd
 
 @dataclass
 class Forest:
-    """A fitted forest: class probabilities are the mean of its trees' leaves."""
+    """A fitted forest: class probabilities are the mean of its trees' leaves.
+
+    importance: by feature, what its splits take from the trees' Gini impurity, as shares of a tree and then their mean."""
 
     trees: Trees
     classes: int
+    importance: np.ndarray
 
     def probabilities(self, bins: np.ndarray) -> np.ndarray:
         return self.trees.outputs(bins) / len(self.trees.roots)
@@ -261,6 +264,7 @@ def fit_forest(
     width, tries = len(bounds), max_features or max(1, int(np.sqrt(len(bounds))))
     weights = class_weights(rows, trees, classes, seed)
     model = Trees.planted(trees, bounds, classes)
+    taken = np.zeros((trees, width))
     tree_of, seeds = np.arange(trees), mixed(np.arange(trees, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B9))
     queue = [(int(n), 0) for n in model.roots]
     while queue:
@@ -305,7 +309,9 @@ def fit_forest(
         queue += [(int(node[x]), int(turn[x]) + 1) for x in k[again]]
         good = np.flatnonzero((found["slot"] >= 0) & ((found["total"][:, :-1] > 0).sum(1) > 1))
         parents = node[k[good]]
-        left = model.split(parents, tried[k[good], found["slot"][good]], found["cut"][good])
+        chosen = tried[k[good], found["slot"][good]]
+        np.add.at(taken, (tree_of[parents], chosen), np.maximum(found["gain"][good], 0.0))
+        left = model.split(parents, chosen, found["cut"][good])
         tree_of = np.concatenate((tree_of, np.repeat(tree_of[parents], 2)))
         seeds = np.concatenate((seeds, mixed(np.repeat(seeds[parents], 2) * np.uint64(2) + np.tile(np.array([1, 2], np.uint64), len(good)))))
         sides = np.stack((found["left"][good], found["total"][good] - found["left"][good]), 1).reshape(-1, classes + 1)
@@ -315,7 +321,8 @@ def fit_forest(
         done = (sides[:, -1] < 2 * min_leaf) | ((sides[:, :-1] > 0).sum(1) < 2)
         model.feature[child[done]] = LEAF
         queue += [(int(n), 0) for n in child[~done]]
-    return Forest(model, classes)
+    grown = taken[taken.sum(1) > 0]
+    return Forest(model, classes, (grown / grown.sum(1, keepdims=True)).mean(0) if len(grown) else np.zeros(width))
 
 
 # --- boosting ---

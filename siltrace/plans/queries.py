@@ -654,3 +654,12 @@ def detection(spark, sf):
     rows = _kept_features(spark, sf).withColumn("y_true", F.when(F.col("y_true") == "CLEAN", "NONE").otherwise(F.col("y_true")))
     verdicts, _ = detection_verdicts(rows, W.FEATURES, W.FEATURES[:20], keep=("wafer",), seeds=(42,))
     return tidy(detection_summary(written(verdicts, "verdicts")))
+
+
+@query
+def feature_importance(spark, sf):
+    """Shares of 20 features in a forest of 400 trees on the training lots."""
+    split = L.lot_split(_kept_features(spark, sf).withColumn("code", L.class_code()).filter("code IS NOT NULL"), 42)
+    found = L.forest().fit(split.filter("NOT is_test").drop("is_test"), W.FEATURES[:20])
+    rows = [(k + 1, f, x) for k, (f, x) in enumerate(L.importances(found, W.FEATURES[:20]))]  # one a feature
+    return tidy(spark.createDataFrame(rows, "place int, feature string, share double"))

@@ -22,10 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_left: list[str] = []  # tables of this process that nothing has deleted
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: its lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,8 +44,16 @@ def dropped(df: DataFrame) -> None:
     own = shared_dir(df.sparkSession).removeprefix("file://")
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if own in name:
-            path, store = _path(df.sparkSession, name)
-            store.delete(path, True)
+            deleted(df.sparkSession, name)
+
+
+def cleared(spark: SparkSession) -> int:
+    """Delete all tables that this process has written between steps; how many there were.  For when the results of its
+    queries, which read them, are written or read themselves."""
+    names, _left[:] = list(_left), []
+    for name in names:
+        deleted(spark, name)
+    return len(names)
 
 
 def exists(spark: SparkSession, name: str) -> bool:

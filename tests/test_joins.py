@@ -15,3 +15,14 @@ def test_looked_up_is_a_left_join(spark, hot_keys):
     assert found.columns == ["k", "l", "v", "w"]
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(((k, x, v, known.get((k, x))) for k, x, v in rows), key=repr)
     assert looked_up(df.limit(0), found.select("k", "l", "w").limit(0), ["k", "l"]).count() == 0
+
+
+def test_written_tables_are_cleared(spark):
+    from siltrace.sources.stored import cleared, dropped, exists, written
+
+    cleared(spark)
+    a, b = written(spark.range(3), "one"), written(spark.range(4), "two")
+    dropped(a)
+    paths = [f.rsplit("/", 1)[0] for f in b.inputFiles()]
+    assert b.count() == 4 and all(exists(spark, p) for p in paths)
+    assert cleared(spark) == 2 and not any(exists(spark, p) for p in paths) and cleared(spark) == 0

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -75,15 +76,15 @@ def verdicts(spark):
         shift = 0 if y == "NONE" else 2.5
         data.append((i, f"lot{i % 35}", y, rng.gauss(shift, 1), rng.gauss(3 if y == CLASSES[3] else 0, 1), rng.random()))
     df = spark.createDataFrame([*data, (9999, "lot1", "OTHER", 0.0, 0.0, 0.0)], "wafer long, lot string, y_true string, a double, b double, c double")
-    found, points = detection_verdicts(df, ("a", "b", "c"), ("a", "b"), keep=("wafer",), far=0.05, grid=(0.01, 0.05, 0.2), seeds=(0, 1), trees=(25, 25))
+    found, points = detection_verdicts(df, ("a", "b", "c"), ("a", "b"), keep=("wafer",), far=0.05, grid=(0.01, 0.05, 0.2), seeds=(0,), trees=(15, 15))
     return written(found, "verdicts"), points.collect()
 
 
 def test_detection_end_to_end(verdicts):
     found, points = verdicts
     held = found.collect()
-    assert {r.seed for r in held} == {0, 1} and all(r.y_true != "OTHER" for r in held)
-    for seed in (0, 1):
+    assert {r.seed for r in held} == {0} and all(r.y_true != "OTHER" for r in held)
+    for seed in (0,):
         own = [r for r in held if r.seed == seed]
         assert 100 < len(own) < 350 and len({r.lot for r in own}) == 10  # three tenths of the lots
         assert len({r.threshold for r in own}) == 1
@@ -121,3 +122,61 @@ def test_detection_summary(verdicts):
     for c in (CLASSES[0], CLASSES[3]):
         own = [x for x in held if x.y_true == c]
         assert missed[c] == (len(own), sum(not x.flagged for x in own))
+
+
+def test_calibration_equals_a_plain_search(spark, sf):
+    from siltrace.operators import rules as R
+    from siltrace.operators.dies import die_positions
+
+    table = written(W.global_features(die_positions(A.wafer_cells(spark, sf.replace("sf0.001", "sf0.01"))), carry=("y_true",)), "global")
+    held = table.collect()
+
+    def verdict(r, p):
+        if r.fail_frac <= p["clean_frac"]:
+            return "CLEAN"
+        if r.fail_frac >= p["nearfull_frac"]:
+            return "NEAR_FULL"
+        if r.r_med <= p["center_r"] and r.r_std >= p["center_std_min"] and r.dir_c < p["loc_dir"]:
+            return "CENTER"
+        if r.r_mean >= p["edge_r"]:
+            return "EDGE_RING" if r.r_std <= p["ring_std"] and r.dir_c <= p["ring_dir"] else "EDGE_LOC"
+        if p["donut_lo"] <= r.r_med <= p["donut_hi"] and r.r_std <= p["donut_std"] and r.dir_c <= p["ring_dir"]:
+            return "DONUT"
+        if r.axial_c >= p["scratch_axial"] and r.dir_c <= p["scratch_dir"]:
+            return "SCRATCH"
+        return "LOC" if r.dir_c >= p["loc_dir"] else "RANDOM"
+
+    def f1(p):
+        said = [verdict(r, p) for r in held]
+        out = []
+        for c in CLASSES:
+            tp = sum(r.y_true == c == v for r, v in zip(held, said, strict=True))
+            both = sum(r.y_true == c for r in held) + said.count(c)
+            out.append(2 * tp / both if both else 0.0)
+        return sum(out) / len(out)
+
+    want, best = dict(R.DEFAULT), round(f1(R.DEFAULT), 9)
+    for _ in range(4):
+        before = dict(want)
+        for name, grid in R.GRIDS.items():
+            tried = [(round(f1({**want, name: float(v)}), 9), -k, float(v)) for k, v in enumerate(grid)]
+            top = max(tried)
+            if top[0] > best + 1e-6:
+                want, best = {**want, name: top[2]}, top[0]
+        if want == before:
+            break
+    got, score = R.calibrate(table)
+    assert score == pytest.approx(best, abs=1e-9) and {k: got[k] for k in want} == want and got != dict(R.DEFAULT)
+
+
+def test_small_guards(spark):
+    from siltrace.operators import metrics as M
+    from siltrace.operators.components import _labels
+    from siltrace.operators.dies import effective_radius
+
+    with pytest.raises(ValueError):
+        _labels(np.array([0, 0]), np.array([0, 4]), np.array([65541, 1]))
+    df = spark.createDataFrame([("CENTER", 1.0), (None, 5.0), ("LOC", 0.0)], "y_true string, a double")
+    assert {r.name: r.auc for r in M.auc_table(df, ("a",)).collect()}["CENTER"] == 1.0
+    got = spark.createDataFrame([(150.0, 3.0), (2.0, 3.0)], "r double, e double").select(effective_radius(F.col("r"), F.col("e")).alias("x")).collect()
+    assert [r.x for r in got] == [147.0, 0.0]

@@ -85,6 +85,19 @@ def test_forest_equals_dense_trees(spark, open_nodes):
     want = np.array([np.mean([at(t, b) for t in own], axis=0) for b in bins])
     assert np.abs(forest.probabilities(bins) - want).max() < 1e-9
 
+    def gains(t, rows, n, weight, out):
+        if isinstance(t, tuple):
+            go = bins[rows, t[0]] <= t[1]
+            c = [np.bincount(code[r], n[r], classes) for r in (rows, rows[go], rows[~go])]
+            out[t[0]] += side(c[1], weight) + side(c[2], weight) - side(c[0], weight)
+            gains(t[2], rows[go], n, weight, out)
+            gains(t[3], rows[~go], n, weight, out)
+        return out
+
+    shares = [gains(t, np.flatnonzero(n[:, k]), n[:, k], weights[k], np.zeros(5)) for k, t in enumerate(own)]
+    assert forest.importance == pytest.approx(np.mean([x / x.sum() for x in shares], axis=0), abs=1e-7)
+    assert forest.importance.argmax() == 0 and forest.importance[-1] == 0
+
     def depth(t):
         return 1 + max(depth(t[2]), depth(t[3])) if isinstance(t, tuple) else 0
 
