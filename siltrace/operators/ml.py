@@ -192,14 +192,22 @@ def leaf_scan(df: DataFrame, features: Sequence[str], leaves: Sequence[int] = LE
 
 
 def paired_fits(df: DataFrame, models: Mapping[str, tuple[Grown | DecisionTreeClassifier, Sequence[str]]], seeds: Sequence[int] = SEEDS) -> DataFrame:
-    """(model, seed, f1) of each (model, features) on the test lots of each seed's split, all models on the same splits."""
-    rows = []  # one number for each model and seed
+    """(model, seed, f1, train_f1) of each (model, features) on the test lots of each seed's split and on the lots it learned from, all
+    models on the same splits."""
+    rows = []  # two numbers for each model and seed
     for seed in seeds:
         split = written(lot_split(_coded(df), seed), "split")
+        train, test = split.filter("NOT is_test"), split.filter("is_test")
         for name, (model, features) in models.items():
-            rows.append((name, seed, macro_f1(_split_predictions(split, features, model)).first()["macro_f1"]))
+            judged = fitted(model, train, features)
+            rows.append((name, seed, *[macro_f1(_named(judged(part))).first()["macro_f1"] for part in (test, train)]))
         dropped(split)
-    return df.sparkSession.createDataFrame(rows, "model string, seed int, f1 double")
+    return df.sparkSession.createDataFrame(rows, "model string, seed int, f1 double, train_f1 double")
+
+
+def gaps(fits: DataFrame) -> DataFrame:
+    """(model, train, test, gap): mean macro-F1 over seeds on the lots a model learned from and on others, and what lies between."""
+    return fits.groupBy("model").agg(F.avg("train_f1").alias("train"), F.avg("f1").alias("test"), F.avg(F.col("train_f1") - F.col("f1")).alias("gap"))
 
 
 def out_of_fold(df: DataFrame, features: Sequence[str], defect: str = "is_defect", folds: int = 4, group: str = "lot", trees: int = 200) -> DataFrame:

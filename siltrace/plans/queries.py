@@ -663,3 +663,10 @@ def feature_importance(spark, sf):
     found = L.forest().fit(split.filter("NOT is_test").drop("is_test"), W.FEATURES[:20])
     rows = [(k + 1, f, x) for k, (f, x) in enumerate(L.importances(found, W.FEATURES[:20]))]  # one a feature
     return tidy(spark.createDataFrame(rows, "place int, feature string, share double"))
+
+
+@query
+def model_gaps(spark, sf):
+    """Forests of 25 trees and boosters of 10 rounds on 20 and on all features, over two splits: on lots they learned from and on others."""
+    models = {f"{name}-{n}": (model, W.FEATURES[:n]) for n in (20, 28) for name, model in (("RF", L.forest(trees=25)), ("HGB", L.boosted(iterations=10)))}
+    return tidy(L.gaps(L.paired_fits(_kept_features(spark, sf), models, seeds=L.SEEDS[:2])))

@@ -411,6 +411,8 @@ def test_searches_over_folds_and_paired_fits(spark):
     assert [k for k, *_, chosen in scan if chosen] == [2] and scan[0][2] > scan[1][2]
     fits = L.paired_fits(df, {"good": (L.forest(5), names), "noise": (L.forest(5), names[1:])}, seeds=(0, 1))
     table = {r.model: r for r in M.paired_models(fits, "noise").collect()}
+    between = {r.model: r for r in L.gaps(fits).collect()}
+    assert between["noise"].gap > 0.1 > between["good"].gap and between["good"].gap == pytest.approx(between["good"].train - between["good"].test)
     assert table["good"].wins == 2 and table["good"].mean_gain > 0.2 and table["noise"].wins == 0
     assert "a <=" in L.tree_text(df, names, depth=2)
 
