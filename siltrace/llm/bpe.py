@@ -7,7 +7,6 @@ symbols); their path is a parameter and every executor must have the file there.
 from __future__ import annotations
 
 import json
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -22,8 +21,9 @@ from pyspark.sql import functions as F
 
 from siltrace.llm.kernels import CHUNK, chunks, text_bytes, tidied
 
-REMEMBERED_BYTES = 32 << 20  # of words whose ids a Python worker remembers in each of two generations, and as much for stretches of text
+REMEMBERED_BYTES = 64 << 20  # of stretches of text whose ids a Python worker remembers in each of two generations, and as much for pieces that are no words
 LONGEST_REMEMBERED = 48  # characters; longer ones are encoded anew each time
+PLACE_BITS = 13  # of a queue's entries: with the ranks of usual files they stay below 2**30, whose arithmetic is quickest
 
 # The settings of a vocabulary file under which this encoder equals the library.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -73,23 +73,28 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
         v = self.vocab
-        self.ranks = {v[a] << 32 | v[b]: rank for rank, (a, b) in enumerate(pairs)}  # by both symbols in one number
-        self.made = [v[a + b] for a, b in pairs]
+        # A symbol is its id as little-endian int32: one object for each, so that lookups compare by identity.
+        code = {i: i.to_bytes(4, "little") for i in v.values()}
+        self.merges = [(code[v[a]], code[v[b]]) for a, b in pairs]
+        self.made = [code[v[a + b]] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, longest))) if longest else None
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\s+")
         symbols = _byte_symbols()
-        self.first = {b: v[c] for b, c in symbols.items()}
-        self.last = {b: v[c + self.suffix] for b, c in symbols.items()}
+        self.first = [code[v[symbols[b]]] for b in range(256)]
+        self.last = [code[v[symbols[b] + self.suffix]] for b in range(256)]
         self.odd_space = regex.compile(r"[\x1c-\x1f]")  # white space to str.split() alone
+        self.short, self.long = _Ranks(self, PLACE_BITS), None
         self.words, self.stretches = _Remembered(self.merged), _Remembered(self.stretch)
 
     @staticmethod
     def normalized(text: str) -> str:
         """Composed and lowered; the white space that the vocabulary's rules collapse has been split away before."""
-        if not text.isascii() and not is_normalized("NFC", text):
+        if text.isascii():
+            return text.lower()
+        if not is_normalized("NFC", text):
             text = normalize("NFC", text)
         # Letters are lowered one by one: the sigma that ends a word is no exception.
         return text.replace("Σ", "σ").lower()
@@ -97,45 +102,54 @@ class Bpe:
     def merged(self, piece: str) -> bytes:
         """Ids of one piece: the lowest-ranked pair merges first, the leftmost among equals."""
         data = piece.encode("utf-8")
-        ids = [self.first[b] for b in data]
+        n = len(data)
+        if n == 1:
+            return self.last[data[0]]
+        ranks = self.short
+        if n >> PLACE_BITS:
+            ranks = self.long = self.long or _Ranks(self, 40)
+        shift, none, made, follow, first, starts = ranks.shift, ranks.none, self.made, ranks.follow, self.first, ranks.starts
+        ids = [first[b] for b in data]
         ids[-1] = self.last[data[-1]]
-        n = len(ids)
-        look, made = self.ranks.get, self.made
-        # An entry is a rank above the place of the left symbol; pair[i] is the rank of the symbol at i with its right one.
-        shift = n.bit_length()
-        pair = [look(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]  # noqa: B905
-        queue = [rank << shift | i for i, rank in enumerate(pair) if rank >= 0]
-        if len(queue) > 1:
-            heapify(queue)
-        left, right, last = list(range(-1, n - 1)), list(range(1, n + 1)), (1 << shift) - 1
+        after = [starts[b] for b in data]
+        # An entry is a rank above the place of the left symbol; pair[i] is the entry of the symbol at i with its right one.
+        pair = [a.get(b, none) | i for i, (a, b) in enumerate(zip(after, ids[1:]))]  # noqa: B905
+        queue = [entry for entry in pair if entry < none]
+        heapify(queue)
+        ids.append(b"")  # follows no symbol
+        pair += (none, none)
+        left, right, last = list(range(-1, n)), list(range(1, n + 1)), (1 << shift) - 1
         while queue:
             entry = heappop(queue)
-            i, rank = entry & last, entry >> shift
-            if pair[i] != rank:
+            i = entry & last
+            if pair[i] != entry:
                 continue  # stale: one of the two symbols has merged since
-            j = right[i]
-            ids[i] = now = made[rank]
-            ids[j] = pair[j] = -1
+            j, rank = right[i], entry >> shift
+            ids[i], after[i] = now, pairs = made[rank], follow[rank]
+            ids[j], pair[j] = b"", none
             right[i] = k = right[j]
-            if k < n:
-                left[k] = i
-                pair[i] = rank = look(now << 32 | ids[k], -1)
-                if rank >= 0:
-                    heappush(queue, rank << shift | i)
-            else:
-                pair[i] = -1
+            left[k] = i
+            pair[i] = entry = pairs.get(ids[k], none) | i
+            if entry < none:
+                heappush(queue, entry)
             h = left[i]
             if h >= 0:
-                pair[h] = rank = look(ids[h] << 32 | now, -1)
-                if rank >= 0:
-                    heappush(queue, rank << shift | h)
-        return array("i", [x for x in ids if x >= 0]).tobytes()
+                pair[h] = entry = after[h].get(now, none) | h
+                if entry < none:
+                    heappush(queue, entry)
+        return b"".join(ids)
+
+    def piece(self, text: str) -> bytes:
+        """Ids of one piece of normalised text: letters that normalising leaves as they are are remembered as a stretch."""
+        if text.isalpha() and (text.isascii() or self.normalized(text) == text):
+            return self.stretches[text]
+        return self.words[text]
 
     def stretch(self, text: str) -> bytes:
-        text = self.normalized(text)
-        if text.isalpha():  # letters alone are one piece
-            return self.words[text]
-        return b"".join(map(self.words.__getitem__, self.split.findall(text)))
+        plain = self.normalized(text)
+        if plain.isalpha():  # letters alone are one piece
+            return self.merged(plain) if plain == text else self.piece(plain)
+        return b"".join(map(self.piece, self.split.findall(plain)))
 
     def encode_plain(self, text: str) -> bytes:
         """Ids, as little-endian int32, of a text without special tokens.
@@ -156,6 +170,21 @@ class Bpe:
         return b"".join([*out, self.encode_plain(text[at:])])
 
 
+class _Ranks:
+    """Entries of the queue, but for their place of ``shift`` bits, by left and right symbol; ``none`` is above all of them.
+
+    starts: of the symbol of each byte, follow: of what each merge makes, the entries by right symbol.
+    """
+
+    def __init__(self, bpe: Bpe, shift: int):
+        by_left: dict[bytes, dict[bytes, int]] = {}
+        for rank, (a, b) in enumerate(bpe.merges):
+            by_left.setdefault(a, {})[b] = rank << shift
+        self.shift, self.none, nothing = shift, len(bpe.merges) << shift, {}
+        self.starts = [by_left.get(a, nothing) for a in bpe.first]
+        self.follow = [by_left.get(a, nothing) for a in bpe.made]
+
+
 class _Remembered(dict):
     """Results of a function by its argument, in two generations of ``REMEMBERED_BYTES``: when the younger is full it becomes
     the older, from which what is still in use comes back.  Forgetting costs time only."""

@@ -457,6 +457,32 @@ def test_forgotten_words_are_encoded_again(monkeypatch):
     assert small.encode(text) == want and len(small.words) < 6
 
 
+def test_words_are_remembered_and_merged_once():
+    from siltrace.llm import bpe
+
+    encoder, seen = bpe.Bpe(Q.vocabulary()), []
+    for text in ("alphax Alphax alphax, zürichx", "Zürichx! betax zürichx betax."):
+        seen.append(encoder.encode(text))
+    assert not {"alphax", "betax", "zürichx"} & encoder.words.keys()  # they are stretches, which are remembered anyway
+    assert len(encoder.words) + len(encoder.stretches) == 3 + 7  # marks, and texts between white space
+    assert seen == [bpe.Bpe(Q.vocabulary()).encode(t) for t in ("alphax Alphax alphax, zürichx", "Zürichx! betax zürichx betax.")]
+
+
+def test_bpe_of_odd_letters_and_of_long_pieces_equals_the_library():
+    from tokenizers import Tokenizer
+
+    from siltrace.llm import bpe
+
+    encoder, lib, pick = bpe.Bpe(Q.vocabulary()), Tokenizer.from_file(Q.vocabulary()), random.Random(8)
+    letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()] + list("J\u030cİΣςſKÅﬁ\u1112\u1161\u11ab힣\u0344\u0345\u0301'.,-7")
+    texts = ["J\u030c ǰ İstanbul i\u0307stanbul", "ΟΔΟΣ ΟΔΟΣ, οδοσ", "\u1112\u1161\u11ab \u1112\u1161\u11ab. 한", "\u0344 \u0308\u0301 x\u0344", "'s ''s !'s it's IT'S", "a<|endoftext|>B <|ENDOFTEXT|>"]
+    texts += ["".join(pick.choices(letters, k=pick.randint(1, 6))) + pick.choice(["", ",", "'s"]) for _ in range(3000)]
+    texts += ["".join(pick.choices("etaoinéß", k=n)) for n in (1, 2, 3)] + ["".join(pick.choices("etaoin", k=n)) for n in (8191, 8192, 8193, 30_000)] + ["a" * 8192, "!" * 20_000]
+    texts += [t.upper() for t in texts] + [f"{t} {t}." for t in texts]
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), np.int32).tolist() == lib.encode(t, add_special_tokens=False).ids, t[:50]
+
+
 # 9
 
 
