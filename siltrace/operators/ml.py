@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltrace.operators.metrics import macro_f1
 from siltrace.operators.ranks import cumulated
-from siltrace.operators.trees import Booster, Forest, binned, cuts, fit_booster, fit_forest, with_probabilities
+from siltrace.operators.trees import Booster, Forest, binned, cuts, cuts_by, fit_booster, fit_forest, with_probabilities
 from siltrace.sources.dimensions import CLASSES
 from siltrace.sources.stored import dropped, written
 
@@ -96,10 +96,10 @@ class Grown:
 
     grow: Callable[..., Forest | Booster]
 
-    def fit(self, train: DataFrame, features: Sequence[str], classes: int = len(CLASSES)) -> Forest | Booster:
-        """The model of rows with a code; all their columns tell rows apart in bootstrap samples."""
+    def fit(self, train: DataFrame, features: Sequence[str], classes: int = len(CLASSES), bounds: list[np.ndarray] | None = None) -> Forest | Booster:
+        """The model of rows with a code; all their columns tell rows apart in bootstrap samples.  bounds: their ``cuts``, where known."""
         rows = train.drop("features")
-        bounds = cuts(rows, features)
+        bounds = cuts(rows, features) if bounds is None else bounds
         return self.grow(binned(rows, features, bounds, F.xxhash64(*rows.columns)), bounds, classes)
 
 
@@ -214,13 +214,15 @@ def out_of_fold(df: DataFrame, features: Sequence[str], defect: str = "is_defect
     """Adds p, the defect probability of a forest that never saw the row's group; 0 where it saw no defect."""
     rows = written(group_folds(df.withColumn("code", F.col(defect).cast("double")), folds, group), "folds")
     parts = []
+    others = F.explode(F.array(*[F.lit(k) for k in range(folds)])).alias("_held")
+    bounds = cuts_by(rows.select("fold", *features, others).filter("fold != _held"), features, "_held")
     for k in range(folds):
         train, held = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
         kinds = {r["code"] for r in train.select("code").distinct().limit(3).collect()}
         if 1.0 not in kinds:
             parts.append(held.withColumn("p", F.lit(0.0)))
         else:
-            found = forest(trees=trees).fit(train, features, 2)
+            found = forest(trees=trees).fit(train, features, 2, bounds.get(k))
             parts.append(with_probabilities(held, features, found).withColumn("p", F.get("probability", 1)).drop("probability"))
     return reduce(DataFrame.unionByName, parts)
 

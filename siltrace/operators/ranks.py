@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -54,7 +55,13 @@ def quantiles_by(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[
     counts = df.filter(known).groupBy(*by, value).agg(F.count("*").alias("_n"))
     placed = written(cumulated(counts, [F.col(value)], {"_before": F.col("_n")}, by), "placed-values")
     totals = placed.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    asked = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    # Of the shares in order, those that may end at a row, and a few beside them: found by a table over steps of equal width.
+    own, steps = sorted({float(s) for s in shares}), len(shares)
+    below = F.array(*[F.lit(bisect_left(own, k / steps)) for k in range(steps + 1)], F.lit(len(own)))
+    step = lambda at: F.floor(at / F.greatest(F.col("_all") - 1, F.lit(1)) * steps)
+    start = F.get(below, F.greatest(step(F.col("_before") - 1) - 1, F.lit(0)).cast("int"))
+    end = F.get(below, F.least(step(F.col("_before") + F.col("_n")) + 2, F.lit(steps + 1)).cast("int"))
+    asked = F.explode(F.slice(F.array(*[F.lit(s) for s in own]), start + 1, end - start)).alias("share")
     wanted = looked_up(placed, totals, by).select("*", asked).withColumn("_at", (F.col("_all") - 1) * F.col("share"))
     holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
     low, high = holds(F.floor("_at")), holds(F.least(F.floor("_at") + 1, F.col("_all") - 1))

@@ -3,6 +3,7 @@
 Values are binned once by exact quantiles.  To grow trees by one step, every task sends its rows down the trees as they are and counts, for
 each open node, feature and bin, whole numbers: rows by class (forests), or gradients and hessians of fixed point (boosting).  Spark adds
 them up; the tasks that hold a node's sums find its best split.  One row a node comes to the driver, which extends the trees.
+A forest's nodes of few rows are dealt out with these rows: one task grows all that is below a node, by the same rule.
 
 Sums of whole numbers do not depend on the order of tasks, so that a model is the same on any cluster and after lost executors.
 """
@@ -26,6 +27,9 @@ from siltrace.sources.stored import dropped, written
 BINS = 255
 OPEN_NODES = 1 << 15  # whose histograms one step sums
 ROWS_AT_ONCE = 2048  # that a task sends down all trees together
+NODE_BYTES = 1 << 22  # of the bins of a node's rows, up to which one task grows all below it
+GROUP_BYTES = 1 << 26  # of the rows of all nodes that one task grows, one node after the other
+CELLS_AT_ONCE = 1 << 20  # rows times features that a task sorts together
 FIXED = float(1 << 30)  # a gradient of 1
 LEAF, OPEN = -1, -2
 
@@ -40,10 +44,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def cuts(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
     """For each feature the distinct values that bound its bins: exact quantiles; a value up to the first lies in bin 0."""
-    found = quantiles_by(unpivoted(df, features), ("feature",), "value", [k / bins for k in range(1, bins)])
-    rows = found.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("cuts")).collect()  # at most bins - 1 each
-    by = {r["feature"]: np.array(r["cuts"]) for r in rows}
-    return [by.get(f, np.zeros(0)) for f in features]
+    return cuts_by(df.withColumn("_set", F.lit(0)), features, "_set", bins).get(0, [np.zeros(0)] * len(features))
+
+
+def cuts_by(df: DataFrame, features: Sequence[str], key: str, bins: int = BINS) -> dict[object, list[np.ndarray]]:
+    """:func:`cuts` of the rows of each key, such as the rows that each fold learns from, in common passes."""
+    found = quantiles_by(unpivoted(df, features, key), (key, "feature"), "value", [k / bins for k in range(1, bins)])
+    rows = found.groupBy(key, "feature").agg(F.array_sort(F.collect_set("quantile")).alias("cuts")).collect()  # at most bins - 1 each
+    by = {(r[key], r["feature"]): np.array(r["cuts"]) for r in rows}
+    return {k: [by.get((k, f), np.zeros(0)) for f in features] for k in {k for k, _ in by}}
 
 
 def bin_of(values: np.ndarray, bounds: Sequence[np.ndarray]) -> np.ndarray:
@@ -145,12 +154,13 @@ def best_splits(slot: np.ndarray, bins: np.ndarray, sums: np.ndarray, slots: int
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(slot)))
     run = np.cumsum(sums, axis=0)
-    before = np.repeat(run[start] - sums[start], size, axis=0)
-    left = run - before
-    total = np.repeat(left[start + size - 1], size, axis=0)
-    right = total - left
-    gain = score(left, node) + score(right, node) - score(total, node)
-    gain = np.where((left[:, -1] >= least) & (right[:, -1] >= least), np.round(gain, 9), -np.inf)
+    left = run - np.repeat(run[start] - sums[start], size, axis=0)
+    whole = left[start + size - 1]
+    total = np.repeat(whole, size, axis=0)
+    able = np.flatnonzero((left[:, -1] >= least) & (total[:, -1] - left[:, -1] >= least))
+    one, at = left[able], node[able]
+    gain = np.full(len(slot), -np.inf)
+    gain[able] = np.round(score(one, at) + score(total[able] - one, at) - np.repeat(score(whole, node[start]), size)[able], 9)
     head = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     most = np.maximum.reduceat(gain, head)
     reach = np.diff(np.append(head, len(node)))
@@ -229,6 +239,176 @@ def class_weights(rows: DataFrame, trees: int, classes: int, seed: int) -> np.nd
     return np.divide(n.sum(1, keepdims=True), kinds * n, out=np.zeros_like(n), where=n > 0)
 
 
+def _purity(weights: np.ndarray) -> Gain:
+    """What Gini impurity leaves of a side, whose classes are weighted by the row of ``weights`` of its node."""
+
+    def score(sums: np.ndarray, node: np.ndarray) -> np.ndarray:
+        squares, whole = np.zeros(len(sums)), np.zeros(len(sums))
+        for c in range(weights.shape[1]):
+            w = sums[:, c] * weights[node, c]
+            squares += w * w
+            whole += w
+        return np.divide(squares, whole, out=np.zeros(len(sums)), where=sums[:, -1] > 0)
+
+    return score
+
+
+def _tried(seeds: np.ndarray, turn: np.ndarray, tries: int, width: int) -> np.ndarray:
+    """nodes x tries: the features that nodes try in their turn; -1 where there are no more."""
+    order = np.argsort(mixed(seeds[:, None] ^ np.arange(1, width + 1, dtype=np.uint64)[None, :]), axis=1)
+    at = turn[:, None] * tries + np.arange(tries)[None, :]
+    return np.where(at < width, np.take_along_axis(order, np.minimum(at, width - 1), 1), -1)
+
+
+def _below(seeds: np.ndarray) -> np.ndarray:
+    """Seeds of the two children of each node, side by side."""
+    return mixed(np.repeat(seeds, 2) * np.uint64(2) + np.tile(np.array([1, 2], np.uint64), len(seeds)))
+
+
+def _shares(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    share = counts * weights
+    return share / np.maximum(share.sum(1, keepdims=True), 1e-300)
+
+
+def grown(
+    bins: np.ndarray, code: np.ndarray, row: np.ndarray, draws: np.ndarray, node: np.ndarray, seeds: np.ndarray, weights: np.ndarray, tries: int, least: int
+) -> tuple[Trees, np.ndarray]:
+    """All that is below some nodes, and what their splits by feature take from impurity (nodes x features).
+
+    bins, code: of rows; row, draws, node: which row stands how often in the sample of which node; seeds, weights: by node.  The
+    nodes are the first of the returned trees."""
+    (nodes, classes), width = weights.shape, bins.shape[1]
+    trees, taken = Trees.planted(nodes, [], classes), np.zeros((nodes, width))
+    flat, row = bins.ravel(), row.astype(np.int64)
+    top, low = np.arange(nodes), code[row].astype(np.int64) * 16 + draws  # a row is drawn 12 times at most
+    bits = 4 + int(classes - 1).bit_length()
+    counts = np.bincount(node * classes + code[row], draws, nodes * classes).reshape(-1, classes)
+    trees.values[:] = _shares(counts, weights)
+    done = (np.bincount(node, minlength=nodes) < 2 * least) | ((counts > 0).sum(1) < 2)
+    trees.feature[done] = LEAF
+    look, turn = np.flatnonzero(~done), np.zeros(nodes - done.sum(), np.int64)
+    while len(look):
+        place = np.full(len(trees.feature), -1)
+        place[look] = np.arange(len(look))
+        mine = place[node]
+        kept = np.flatnonzero(mine >= 0)
+        if len(kept) < len(mine):
+            row, node, low, mine = row[kept], node[kept], low[kept], mine[kept]
+        tried = _tried(seeds[look], turn, tries, width)
+        own = tried[mine]
+        key = ((mine[:, None] * tries + np.arange(tries)[None, :]) << 8 | flat.take(row[:, None] * width + own, mode="wrap")) << bits | low[:, None]
+        key = key.ravel() if tried.min() >= 0 else key[own >= 0]
+        key.sort()
+        slot = key >> bits
+        last = np.flatnonzero(np.concatenate((slot[1:] != slot[:-1], [True])))
+        size = np.diff(last, prepend=-1)
+        run = np.repeat(np.arange(len(last)), size)
+        sums = np.bincount(run * classes + (key >> 4 & (1 << bits - 4) - 1), key & 15, len(last) * classes).reshape(-1, classes)
+        sums = np.concatenate((sums.astype(np.int64), size[:, None]), 1)
+        k, slot, cut, gain, left, total = best_splits(slot[last] >> 8, slot[last] & 255, sums, tries, _purity(weights[top[look]]), least)
+        trees.feature[look] = LEAF
+        again = (slot < 0) & ((turn[k] + 1) * tries < width)
+        good = np.flatnonzero(slot >= 0)
+        parents, chosen = look[k[good]], tried[k[good], slot[good]]
+        np.add.at(taken, (top[parents], chosen), np.maximum(gain[good], 0.0))
+        first = trees.split(parents, chosen, cut[good])
+        top, seeds = np.concatenate((top, np.repeat(top[parents], 2))), np.concatenate((seeds, _below(seeds[parents])))
+        sides = np.stack((left[good], total[good] - left[good]), 1).reshape(-1, classes + 1)
+        child = np.stack((first, first + 1), 1).ravel()
+        trees.values[child] = _shares(sides[:, :-1], weights[top[child]])
+        done = (sides[:, -1] < 2 * least) | ((sides[:, :-1] > 0).sum(1) < 2)
+        trees.feature[child[done]] = LEAF
+        moving = np.flatnonzero(trees.feature[node] >= 0)
+        at = node[moving]
+        node[moving] = trees.left[at] + (bins[row[moving], trees.feature[at]] > trees.cut[at])
+        look, turn = np.concatenate((look[k[again]], child[~done])), np.concatenate((turn[k[again]] + 1, np.zeros((~done).sum(), np.int64)))
+    return trees, taken
+
+
+def _grown_apart(
+    rows: DataFrame, model: Trees, nodes: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, weights: np.ndarray, *, trees: int, seed: int, tries: int, least: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Extends ``model`` by all that is below the given nodes; returns (node, feature, what the node's splits by it take from impurity).
+
+    sizes: rows of the nodes, at most; seeds, weights: by node.  Nodes are dealt into groups of about equal size and rows to every
+    group whose nodes they reach, once each; one task grows the nodes of a group."""
+    width, classes = len(model.bounds), weights.shape[1]
+    spark = rows.sparkSession
+    whole = int(sizes.sum())
+    groups = min(len(nodes), max(3 * spark.sparkContext.defaultParallelism, -(-whole * (width + 9) // GROUP_BYTES)))
+    group_of = ((np.cumsum(sizes) - 1) * groups // max(1, whole)).astype(np.int64)
+    place = np.full(len(model.feature), -1)
+    place[nodes] = np.arange(len(nodes))
+    shared = spark.sparkContext.broadcast((model.paths(), place, group_of, seeds, weights))
+    kinds = {"code": np.int32, "bins": np.uint8, "row": np.int32, "draws": np.uint8, "node": np.int32}
+    made = {"nodes": np.int64, "feature": np.int16, "cut": np.int16, "left": np.int32, "values": np.float64, "split": np.int64, "gain": np.float64}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, place, group_of = shared.value[:3]
+        for batch in batches:
+            for row, code, bins in _pieces(batch, width):
+                n = drawn(row, np.arange(trees), seed)
+                r, t = np.nonzero(n)
+                mine = place[paths.leaves(bins, r, paths.roots[t])]
+                open_ = mine >= 0
+                r, mine, n = r[open_], mine[open_], n[r, t][open_]
+                order = np.argsort(group_of[mine], kind="stable")
+                own = group_of[mine[order]]
+                for part in np.split(order, np.flatnonzero(own[1:] != own[:-1]) + 1) if len(own) else []:
+                    used, at = np.unique(r[part], return_inverse=True)
+                    found = {"code": code[used], "bins": bins[used], "row": at, "draws": n[part], "node": mine[part]}
+                    blobs = [pa.array([found[c].astype(kind).tobytes()], pa.binary()) for c, kind in kinds.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(group_of[mine[part[:1]]].astype(np.int32)), *blobs], ["group", *kinds])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, after = [], 0
+        for batch in batches:
+            for blobs in zip(*(batch.column(k + 1).to_pylist() for k in range(len(kinds))), strict=True):
+                piece = dict(zip(kinds, (np.frombuffer(b, kind) for b, kind in zip(blobs, kinds.values(), strict=True)), strict=True))
+                piece["row"] = piece["row"] + np.int32(after)
+                after += len(piece["code"])
+                pieces.append(piece)
+        if not pieces:
+            return
+        code, bins, row, draws, node = (np.concatenate([p[c] for p in pieces]) for c in kinds)
+        pieces.clear()
+        bins = bins.reshape(-1, width)
+        order = np.argsort(node, kind="stable")
+        node, row, draws = node[order], row[order], draws[order]
+        names, start = np.unique(node, return_index=True)
+        end = np.append(start[1:], len(node))
+        a = 0
+        while a < len(names):
+            b = max(a + 1, int(np.searchsorted(end, start[a] + CELLS_AT_ONCE // tries, "right")))
+            own = slice(start[a], end[b - 1])
+            at = names[a:b]
+            found, taken = grown(bins, code, row[own], draws[own].astype(np.int64), np.searchsorted(at, node[own]), shared.value[3][at], shared.value[4][at], tries, least)
+            split = np.flatnonzero(taken)
+            parts = (at, found.feature, found.cut, found.left, found.values, split, taken.ravel()[split])
+            blobs = [np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(parts, made.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], list(made))
+            a = b
+
+    sent = rows.mapInArrow(deal, "group int, " + ", ".join(f"{c} binary" for c in kinds)).repartitionById(groups, F.col("group"))
+    out = sent.mapInArrow(grow, ", ".join(f"{c} binary" for c in made)).toArrow().to_pylist()
+    shared.unpersist()
+    model.feature[nodes] = LEAF  # also those without rows
+    found = [[np.frombuffer(x[c], kind) for c, kind in made.items()] for x in out]
+    base, new, takes = len(model.feature), [], []
+    for at, feature, cut, left, values, split, gain in sorted(found, key=lambda x: x[0][0]):
+        k, own, values = len(at), nodes[at], values.reshape(-1, classes)
+        left = np.where(feature >= 0, left + np.int64(base - k), 0)
+        model.feature[own], model.cut[own], model.left[own], model.values[own] = feature[:k], cut[:k], left[:k], values[:k]
+        new.append((feature[k:], cut[k:], left[k:], values[k:]))
+        takes.append((at[split // width], split % width, gain))
+        base += len(feature) - k
+    if not new:
+        return (np.zeros(0, np.int64),) * 3
+    held = (model.feature, model.cut, model.left, model.values)
+    model.feature, model.cut, model.left, model.values = (np.concatenate(x) for x in zip(held, *new, strict=True))
+    return tuple(np.concatenate(x) for x in zip(*takes, strict=True))
+
+
 @dataclass
 class Forest:
     """A fitted forest: class probabilities are the mean of its trees' leaves.
@@ -253,26 +433,28 @@ def fit_forest(
     max_features: int | None = None,
     seed: int = 42,
     open_nodes: int = OPEN_NODES,
+    node_bytes: int = NODE_BYTES,
 ) -> Forest:
     """A forest of the rows of :func:`binned`, without a bound on depth.
 
     Each tree has a Poisson bootstrap sample by hash and weighs classes by their rows in that sample.  A node tries ``max_features``
     features (the root of their number by default), and further ones until one can be split so that both sides keep ``min_leaf`` rows;
-    the split of least Gini impurity is taken.  A step sums the histograms of at most ``open_nodes`` nodes.  The model, which grows
-    with the rows as unbounded trees do, is held by the driver and sent to all tasks.
+    the split of least Gini impurity is taken.  A step sums the histograms of at most ``open_nodes`` nodes.  Nodes whose rows take up to
+    ``node_bytes`` are grown to their leaves by tasks that have these rows, all in one job.  The model, which grows with the rows as
+    unbounded trees do, is held by the driver and sent to all tasks.
     """
     width, tries = len(bounds), max_features or max(1, int(np.sqrt(len(bounds))))
     weights = class_weights(rows, trees, classes, seed)
     model = Trees.planted(trees, bounds, classes)
     taken = np.zeros((trees, width))
     tree_of, seeds = np.arange(trees), mixed(np.arange(trees, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B9))
-    queue = [(int(n), 0) for n in model.roots]
+    whole, most = rows.count(), node_bytes // width
+    queue = [(int(n), 0) for n in model.roots] if whole > most else []
+    apart = [] if queue else [(model.roots, np.full(trees, max(1, whole)))]  # nodes that one task grows, and their rows
     while queue:
         part, queue = queue[:open_nodes], queue[open_nodes:]
         node, turn = (np.array(x) for x in zip(*part, strict=True))
-        order = np.argsort(mixed(seeds[node][:, None] ^ np.arange(1, width + 1, dtype=np.uint64)[None, :]), axis=1)
-        at = turn[:, None] * tries + np.arange(tries)[None, :]
-        tried = np.where(at < width, np.take_along_axis(order, np.minimum(at, width - 1), 1), -1)
+        tried = _tried(seeds[node], turn, tries, width)
         place = np.full(len(model.feature), -1)
         place[node] = np.arange(len(node))
         own_weights = weights[tree_of[node]]
@@ -294,16 +476,11 @@ def fit_forest(
                     amounts[:, -1] = 1
                     yield _summed(mine[some] * tries + j, bins[r[some], own[some, j]], amounts)
 
-        def purity(sums: np.ndarray, node: np.ndarray, own_weights=own_weights) -> np.ndarray:
-            w = sums[:, :-1] * own_weights[node]
-            return np.divide((w * w).sum(1), w.sum(1), out=np.zeros(len(w)), where=sums[:, -1] > 0)
-
-        found = _step(rows, count, classes + 1, tries, purity, min_leaf)
+        found = _step(rows, count, classes + 1, tries, _purity(own_weights), min_leaf)
         shared.unpersist()
         k = found["node"]
-        share = found["total"][:, :-1] * own_weights[k]
         model.feature[node] = LEAF  # also those without rows
-        model.values[node[k]] = share / np.maximum(share.sum(1, keepdims=True), 1e-300)
+        model.values[node[k]] = _shares(found["total"][:, :-1], own_weights[k])
         again = (found["slot"] < 0) & (found["total"][:, -1] >= 2 * min_leaf) & ((found["total"][:, :-1] > 0).sum(1) > 1) & ((turn[k] + 1) * tries < width)
         model.feature[node[k[again]]] = OPEN
         queue += [(int(node[x]), int(turn[x]) + 1) for x in k[again]]
@@ -313,16 +490,21 @@ def fit_forest(
         np.add.at(taken, (tree_of[parents], chosen), np.maximum(found["gain"][good], 0.0))
         left = model.split(parents, chosen, found["cut"][good])
         tree_of = np.concatenate((tree_of, np.repeat(tree_of[parents], 2)))
-        seeds = np.concatenate((seeds, mixed(np.repeat(seeds[parents], 2) * np.uint64(2) + np.tile(np.array([1, 2], np.uint64), len(good)))))
+        seeds = np.concatenate((seeds, _below(seeds[parents])))
         sides = np.stack((found["left"][good], found["total"][good] - found["left"][good]), 1).reshape(-1, classes + 1)
         child = np.stack((left, left + 1), 1).ravel()
-        share = sides[:, :-1] * weights[tree_of[child]]
-        model.values[child] = share / np.maximum(share.sum(1, keepdims=True), 1e-300)
+        model.values[child] = _shares(sides[:, :-1], weights[tree_of[child]])
         done = (sides[:, -1] < 2 * min_leaf) | ((sides[:, :-1] > 0).sum(1) < 2)
         model.feature[child[done]] = LEAF
-        queue += [(int(n), 0) for n in child[~done]]
-    grown = taken[taken.sum(1) > 0]
-    return Forest(model, classes, (grown / grown.sum(1, keepdims=True)).mean(0) if len(grown) else np.zeros(width))
+        few = ~done & (sides[:, -1] <= most)
+        apart.append((child[few], sides[few, -1]))
+        queue += [(int(n), 0) for n in child[~done & ~few]]
+    node, sizes = (np.concatenate(x) for x in zip(*apart, strict=True))
+    if len(node):
+        at, chosen, gain = _grown_apart(rows, model, node, sizes, seeds[node], weights[tree_of[node]], trees=trees, seed=seed, tries=tries, least=min_leaf)
+        np.add.at(taken, (tree_of[node[at]], chosen), gain)
+    split = taken[taken.sum(1) > 0]
+    return Forest(model, classes, (split / split.sum(1, keepdims=True)).mean(0) if len(split) else np.zeros(width))
 
 
 # --- boosting ---

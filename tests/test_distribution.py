@@ -70,6 +70,17 @@ def test_quantiles_by_key(spark):
     assert quantiles_by(df.limit(0), ("k", "f"), "v", (0.5,)).count() == 0
 
 
+def test_quantiles_at_uneven_shares(spark):
+    rng = np.random.default_rng(8)
+    shares = sorted({0.0, 1.0, 0.5, 0.25, 1 / 3, *(0.9 + rng.random(40) / 1e6), *rng.random(60).round(2), *(k / 255 for k in range(1, 60))})
+    own = {k: rng.choice(values, n) for k, values, n in (("many", rng.normal(size=900), 900), ("tied", [1.0, 2.0, 5.0], 400), ("two", [3.0, 4.0], 2), ("one", [7.0], 1))}
+    df = spark.createDataFrame([(k, float(v)) for k, x in own.items() for v in x], "k string, v double").repartition(5)
+    got = {(r.k, r.share): r.quantile for r in quantiles_by(df, ("k",), "v", shares).collect()}
+    assert len(got) == 4 * len(shares)
+    for k, x in own.items():
+        assert [got[k, float(s)] for s in shares] == pytest.approx(np.quantile(x, shares))
+
+
 def test_class_medians(spark):
     rng = random.Random(9)
     rows = [(rng.choice(["A", "B", None]), rng.choice(["A", "B"]), rng.random(), float(rng.randint(0, 3)) if rng.random() < 0.8 else None) for _ in range(500)] + [("C", "A", None, None)]

@@ -190,3 +190,43 @@ def test_model_does_not_depend_on_partitions(spark):
     bounds, rows, _, _, bins = prepared(df, names)
     a, b = (R.fit_forest(rows.repartition(p), bounds, 3, trees=5).probabilities(bins) for p in (1, 7))
     assert (a == b).all()
+
+
+def test_nodes_of_few_rows_are_grown_by_one_task(spark, monkeypatch):
+    df, names, _, _ = table(spark)
+    bounds, rows, _, _, bins = prepared(df, names)
+    steps, step = [], R._step
+    monkeypatch.setattr(R, "_step", lambda *a: steps.append(0) or step(*a))
+    whole = R.fit_forest(rows, bounds, 3, trees=9, seed=5)
+    assert not steps  # all trees in one job, however deep
+    apart = {}
+    for node_bytes in (0, 200):  # no node, nodes of up to 40 rows
+        steps.clear()
+        apart[node_bytes] = R.fit_forest(rows, bounds, 3, trees=9, seed=5, node_bytes=node_bytes), len(steps)
+    assert apart[0][1] > apart[200][1] > 0
+    for forest, _ in apart.values():
+        assert (forest.probabilities(bins) == whole.probabilities(bins)).all()
+        assert len(forest.trees.feature) == len(whole.trees.feature) and (forest.trees.feature != R.OPEN).all()
+        assert forest.importance == pytest.approx(whole.importance, abs=1e-12)
+
+
+def test_a_task_grows_many_nodes_in_turn(spark, monkeypatch):
+    df, names, _, _ = table(spark, 200)
+    bounds, rows, _, _, bins = prepared(df, names)
+    want = R.fit_forest(rows, bounds, 3, trees=7)
+    monkeypatch.setattr(R, "CELLS_AT_ONCE", 300)  # a node or two at a time
+    monkeypatch.setattr(R, "GROUP_BYTES", 2000)  # more groups than tasks
+    got = R.fit_forest(rows, bounds, 3, trees=7)
+    assert (got.probabilities(bins) == want.probabilities(bins)).all()
+    assert got.importance == pytest.approx(want.importance, abs=1e-12)
+    assert R.fit_forest(rows.limit(0), bounds, 3, trees=2).probabilities(bins).shape == bins[:, :3].shape
+
+
+def test_cuts_of_many_sets_are_those_of_each(spark):
+    df, names, _, _ = table(spark, 120)
+    sets = df.withColumn("k", (F.col("id") % 3).cast("int"))
+    got = R.cuts_by(sets, names, "k")
+    assert sorted(got) == [0, 1, 2]
+    for k, own in got.items():
+        for a, b in zip(own, R.cuts(sets.filter(F.col("k") == k), names), strict=True):
+            assert a.tolist() == b.tolist()
