@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +34,27 @@ def die_positions(cells: DataFrame, die_size: float = 10.0) -> DataFrame:
     )
 
 
-def die_map(cells: DataFrame, id_col: str = "wafer") -> DataFrame:
-    """Nested maps from die rows (id, height, width, x, y, v); places without a die are 0."""
-    place = F.col("y") * F.col("width") + F.col("x")
-    grouped = cells.groupBy(id_col, "height", "width").agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("v").cast("tinyint")))).alias("at"))
-    axis = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    value = lambda y, x: F.coalesce(F.try_element_at("at", y * F.col("width") + x), F.lit(0).cast("tinyint"))
-    return grouped.select(id_col, F.transform(axis("height"), lambda y: F.transform(axis("width"), lambda x: value(y, x))).alias("wafer_map"))
+def die_map(cells: DataFrame, id_col: str = "wafer", carry: Sequence[str] = ()) -> DataFrame:
+    """Nested maps (id, carry..., wafer_map) from die rows (id, height, width, x, y, v); places without a die are 0, dies at the same place
+    or without one an error.
+
+    carry: columns that all dies of a wafer share.  A wafer's dies are gathered as numbers, put in order, and the gaps between them
+    filled: the work grows with the cells of a map, not with cells times dies."""
+    size = F.col("height").cast("long") * F.col("width")
+    place = F.col("y").cast("long") * F.col("width") + F.col("x")
+    placed = F.coalesce(place, F.when(place.isNull(), F.raise_error(F.lit("a die without a place"))).cast("long"))
+    packed = F.shiftleft(placed, 8) + F.coalesce(F.col("v").cast("tinyint").cast("long"), F.lit(0)) + 128
+    grouped = cells.groupBy(id_col, *carry, "height", "width").agg(F.sort_array(F.collect_list(packed)).alias("dies"))
+    held = F.filter("dies", lambda d: (d >= 0) & (F.shiftright(d, 8) < size))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("tinyint"), n.cast("int"))
+    gap = lambda d, i: F.shiftright(d, 8) - F.coalesce(F.shiftright(F.get("held", i - 1), 8), F.lit(-1)) - 1
+    twice = F.raise_error(F.lit("two dies at one place")).cast("int")
+    filled = lambda d, i: F.concat(zeros(F.when(gap(d, i) < 0, twice).otherwise(gap(d, i))), F.array((F.pmod(d, F.lit(256)) - 128).cast("tinyint")))
+    rest = size - F.coalesce(F.shiftright(F.get("held", F.size("held") - 1), 8), F.lit(-1)) - 1
+    flat = F.concat(F.flatten(F.transform("held", filled)), zeros(rest))
+    rows = lambda flat: F.transform(F.array_repeat(F.lit(0), F.col("height").cast("int")), lambda _, y: F.slice(flat, y * F.col("width") + 1, F.col("width")))
+    once = F.get(F.transform(F.array(flat), rows), 0)  # a variable: the optimizer would put a column's expression into every row's slice
+    return grouped.withColumn("held", held).select(id_col, *carry, once.alias("wafer_map"))
 
 
 def wafer_yield(cells: DataFrame, id_col: str = "wafer") -> DataFrame:

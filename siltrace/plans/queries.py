@@ -227,11 +227,11 @@ def map_shapes(spark, sf):
 
 
 def _raw_maps(spark: SparkSession, sf: str) -> DataFrame:
-    cells = A.wafer_cells(spark, sf).withColumn("wafer", F.struct("lot", "wafer", "y_true"))
+    maps = D.die_map(A.wafer_cells(spark, sf), carry=("lot", "y_true"))
     raw = {v: k for k, v in RAW_LABELS.items()} | {"CLEAN": "none"}
-    label = mapped(raw, F.col("wafer.y_true"))
-    nested = F.when(F.col("wafer.wafer") % 7 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array(label)))
-    return D.die_map(cells).select("wafer.lot", F.col("wafer.wafer").alias("wafer_index"), "wafer_map", nested.alias("failure_type"))
+    label = mapped(raw, F.col("y_true"))
+    nested = F.when(F.col("wafer") % 7 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(F.array(label)))
+    return maps.select("lot", F.col("wafer").alias("wafer_index"), "wafer_map", nested.alias("failure_type"))
 
 
 @query

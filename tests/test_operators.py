@@ -1,7 +1,10 @@
 """Hand-made cases: sequences with known answers, planted patterns, and defined edge cases."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from siltrace.operators import commonality as C
@@ -252,6 +255,26 @@ def test_maps_round_trip(spark, modes):
     assert back.count() == modes.count()
 
 
+def test_maps_of_odd_dies(spark):
+    schema = "wafer int, lot string, height int, width int, x int, y int, v int"
+    rows = [(1, "a", 2, 3, 2, 1, 2), (1, "a", 2, 3, 0, 0, 1), (1, "a", 2, 3, 1, 1, -3), (1, "a", 2, 3, 0, 7, 1), (1, "a", 2, 3, -1, 0, 1), (2, None, 2, 2, 1, 0, None), (3, "c", None, 2, 1, 0, 1)]
+    found = D.die_map(spark.createDataFrame(rows, schema), carry=("lot",)).collect()
+    assert {(r.wafer, r.lot): r.wafer_map for r in found} == {(1, "a"): [[1, 0, 0], [0, -3, 2]], (2, None): [[0, 0], [0, 0]], (3, "c"): None}
+    for bad in ([(1, "a", 2, 3, 0, 0, 1), (1, "a", 2, 3, 0, 0, 2)], [(1, "a", 2, 3, None, 0, 1)]):
+        with pytest.raises(SparkRuntimeException):
+            D.die_map(spark.createDataFrame(bad, schema)).collect()
+
+
+def test_large_maps_take_time_by_their_cells(spark):
+    n = 220
+    place = spark.range(n * n).filter("id % 5 <> 0")
+    cells = place.select(F.lit(1).alias("wafer"), F.lit(n).alias("height"), F.lit(n).alias("width"), (F.col("id") % n).alias("x"), F.floor(F.col("id") / n).alias("y"), (F.col("id") % 2 + 1).alias("v"))
+    began = time.perf_counter()
+    got = D.die_map(cells).first().wafer_map
+    assert time.perf_counter() - began < 20  # looked up die by die it takes minutes
+    assert got == [[0 if i % 5 == 0 else i % 2 + 1 for i in range(y * n, y * n + n)] for y in range(n)]
+
+
 def test_features_are_finite_and_point_the_right_way(spark, modes):
     f = {r.wafer: r for r in W.wafer_features(modes).collect()}
     for r in f.values():
